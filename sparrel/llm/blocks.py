@@ -78,9 +78,9 @@ def combined(table: pa.Table, dtype, combine: Callable[[np.ndarray, np.ndarray],
     ranked = every[order]
     first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
     starts = np.flatnonzero(first)
-    answer = combine(vals[order], starts)
-    back = np.empty(len(every), answer.dtype)
-    back[order] = answer[np.cumsum(first) - 1]
+    answer = combine(vals[order].astype(np.int64), starts)
+    back = np.empty(len(every), dtype)
+    back[order] = np.minimum(answer, np.iinfo(dtype).max)[np.cumsum(first) - 1]
     return pa.table(
         {
             "block": table["block"],

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparrel.llm import media, packing, pieces
+from sparrel.llm import media, ngram_join, packing, pieces
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = os.environ.get("SPARREL_TOKENIZERS", "/opt/tokenizers")
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
@@ -28,4 +32,4 @@ def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.pieces_digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
-QUERIES = {f.__name__: f for f in (op3_media_columns, op8_curve_packing, op10_piece_coding)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_media_columns, op8_curve_packing, op10_piece_coding)}
