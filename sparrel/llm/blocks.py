@@ -68,8 +68,8 @@ def request_rows(block: int, keys: np.ndarray, vals: np.ndarray, shards: int) ->
     )
 
 
-def combined(table: pa.Table, dtype, combine: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pa.Table:
-    """Answers of one shard. combine: (values ordered by key, where each key starts) -> one value per key."""
+def combined(table: pa.Table, dtype, combine: Callable[[np.ndarray, np.ndarray], np.ndarray], respond: Callable[[np.ndarray], np.ndarray] | None = None) -> pa.Table:
+    """Answers of one shard. combine: (values ordered by key, where each key starts) -> one value per key; respond: what is answered of it."""
     keys = [unpacked(x) for x in table["keys"].to_pylist()]
     vals = np.concatenate([np.frombuffer(x, dtype) for x in table["vals"].to_pylist()])
     ends = np.cumsum([0] + [len(k) for k in keys])
@@ -79,6 +79,8 @@ def combined(table: pa.Table, dtype, combine: Callable[[np.ndarray, np.ndarray],
     first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
     starts = np.flatnonzero(first)
     answer = combine(vals[order].astype(np.int64), starts)
+    if respond is not None:
+        answer = respond(answer)
     back = np.empty(len(every), dtype)
     back[order] = np.minimum(answer, np.iinfo(dtype).max)[np.cumsum(first) - 1]
     return pa.table(
@@ -100,12 +102,16 @@ def answers(table: pa.Table, dtype) -> np.ndarray:
 def ask(
     blocks: DataFrame,
     request: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]],
-    combine: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    combine: Callable[[np.ndarray, np.ndarray], np.ndarray] | None,
     dtype,
     shards: int,
     earlier: DataFrame | None = None,
+    respond: Callable[[np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
-    """Replies (block, shard, payload). request gets a block's rows, and the replies to an earlier question if given."""
+    """Replies (block, shard, payload). request gets a block's rows, and the replies to an earlier question if given.
+
+    Without ``combine``, the requests themselves are returned, for a caller that answers in another form.
+    """
     dtype = np.dtype(dtype)
 
     def rows(table: pa.Table, *replies: pa.Table) -> pa.Table:
@@ -118,7 +124,9 @@ def ask(
         asked = blocks.groupBy("block").applyInArrow(rows, REQUEST)
     else:
         asked = blocks.groupBy("block").cogroup(earlier.groupBy("block")).applyInArrow(rows, REQUEST)
-    return asked.groupBy("shard").applyInArrow(lambda t: combined(t, dtype, combine), REPLY)
+    if combine is None:
+        return asked
+    return asked.groupBy("shard").applyInArrow(lambda t: combined(t, dtype, combine, respond), REPLY)
 
 
 def finish(blocks: DataFrame, replies: DataFrame, function: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:

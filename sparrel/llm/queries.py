@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparrel.llm import media, ngram_join, packing, pieces
+from sparrel.llm import language_model, media, ngram_join, packing, pieces, substrings
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = os.environ.get("SPARREL_TOKENIZERS", "/opt/tokenizers")
@@ -20,10 +20,18 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.keep_first(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -32,4 +40,4 @@ def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.pieces_digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_media_columns, op8_curve_packing, op10_piece_coding)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_language_model, op3_media_columns, op6_substring_dedup, op8_curve_packing, op10_piece_coding)}
