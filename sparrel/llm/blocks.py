@@ -114,16 +114,20 @@ def ask(
     """
     dtype = np.dtype(dtype)
 
-    def rows(table: pa.Table, *replies: pa.Table) -> pa.Table:
+    def first(table: pa.Table) -> pa.Table:
+        keys, vals = request(table)
+        return request_rows(table["block"][0].as_py(), keys, vals.astype(dtype), shards)
+
+    def later(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):
             return request_rows(0, np.empty(0, np.uint64), np.empty(0, dtype), shards)
-        keys, vals = request(table, *replies)
+        keys, vals = request(table, replies)
         return request_rows(table["block"][0].as_py(), keys, vals.astype(dtype), shards)
 
     if earlier is None:
-        asked = blocks.groupBy("block").applyInArrow(rows, REQUEST)
+        asked = blocks.groupBy("block").applyInArrow(first, REQUEST)
     else:
-        asked = blocks.groupBy("block").cogroup(earlier.groupBy("block")).applyInArrow(rows, REQUEST)
+        asked = blocks.groupBy("block").cogroup(earlier.groupBy("block")).applyInArrow(later, REQUEST)
     if combine is None:
         return asked
     return asked.groupBy("shard").applyInArrow(lambda t: combined(t, dtype, combine, respond), REPLY)

@@ -26,8 +26,6 @@ END_ID = 1
 DIMENSIONS, BITS = 3, 10
 #: Half the side of the cube, in standard deviations of a projected vector.
 REACH = 3.0
-#: Text chunks whose ids a worker keeps; when full it starts anew.
-CACHE_CHUNKS = 400_000
 
 
 def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
@@ -69,66 +67,53 @@ def curve_keys(flat: np.ndarray, ends: np.ndarray, table: np.ndarray, bits: int
     return hilbert_key(np.clip((place + REACH) * (side / (2 * REACH)), 0, side - 1).astype(np.int64), bits)
 
 
+#: How a byte-level BPE of this family cuts a text before merging (fixed value of the format).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_characters() -> dict[str, int]:
+    """The byte that each character of a byte-level piece stands for: itself if it prints, else the next free one from 256."""
+    prints = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    table = {chr(b): b for b in prints}
+    table.update({chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(prints))})
+    return table
+
+
 class Encoder:
     """Ids of a byte-level BPE tokenizer as little-endian 16- or 32-bit bytes.
 
-    No token crosses a single space between other characters, so a text is cut there and
-    each chunk's ids are kept; chunks not seen before are encoded in one call. Texts with
-    runs of spaces, or with a special token's string, go to the tokenizer whole.
+    Where the tokenizer's file is of the family that tiktoken reads (ids in the order of the
+    merges), tiktoken gives the same ids several times faster; other files, and texts
+    with a special token's string, go through tokenizers itself.
     """
 
     def __init__(self, source: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source)
         self.size = self.tokenizer.get_vocab_size()
         self.type = np.dtype("<u2" if max(self.size, END_ID + 1) <= 1 << 16 else "<u4")
-        vocabulary = self.tokenizer.get_vocab()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.widths = np.zeros(self.size, np.int64)
-        for piece, i in vocabulary.items():
-            self.widths[i] = len(piece)  # one character for each byte
-        self.cache: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks (each starts with a space) joined, and cut the ids where a chunk's bytes end."""
-        if len(self.cache) + len(chunks) > CACHE_CHUNKS:
-            self.cache.clear()
-        ids = np.asarray(self.tokenizer.encode("".join(chunks), add_special_tokens=False).ids, np.int64)
-        cuts = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(c.encode()) for c in chunks]))
-        data, at, width = ids.astype(self.type).tobytes(), 0, self.type.itemsize
-        for chunk, cut in zip(chunks, cuts.tolist(), strict=True):
-            self.cache[chunk] = data[at : (cut + 1) * width]
-            at = (cut + 1) * width
+        self.fast = None
+        model, bytes_of = json.loads(source), byte_characters()
+        vocabulary = {k: v for k, v in model["model"].get("vocab", {}).items() if k not in self.special} if model["model"]["type"] == "BPE" else {}
+        merges = [m if isinstance(m, str) else " ".join(m) for m in model["model"].get("merges", [])]
+        level = (model.get("pre_tokenizer") or {}) == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        if level and not model.get("normalizer") and all(vocabulary.get(m.replace(" ", "")) == 256 + k for k, m in enumerate(merges)):
+            ranks = {bytes(bytes_of[c] for c in piece): i for piece, i in vocabulary.items()}
+            self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text and then the end id."""
-        end = np.asarray([END_ID], self.type).tobytes()
-        out: list[bytes | None] = [None] * len(texts)
-        split: dict[int, list[str]] = {}
-        for k, text in enumerate(texts):
-            if not text:
-                out[k] = end
-            elif "  " in text or text[0] == " " or text[-1].isspace() or any(s in text for s in self.special):
-                out[k] = self._whole(text) + end
+        out = []
+        for text in texts:
+            if self.fast is None or text and any(s in text for s in self.special):
+                ids = self.tokenizer.encode(text or "", add_special_tokens=False).ids
             else:
-                first, *rest = text.split(" ")
-                split[k] = [first, *[" " + r for r in rest]]
-        cache = self.cache
-        new = {c for parts in split.values() for c in parts[1:] if c not in cache}
-        own: dict[str, bytes] = {}
-        if new:
-            whole = [c for c in new if c[-1].isspace() or c[1:2].isspace()]
-            own = {c: self._whole(c) for c in whole}
-            self._learn(sorted(new.difference(whole)))
-            missing = {c for parts in split.values() for c in parts[1:] if c not in cache and c not in own}
-            own |= {c: self._whole(c) for c in missing}
-        for k, parts in split.items():
-            ids = [own[c] if c in own else cache[c] for c in parts[1:]] if own else list(map(cache.__getitem__, parts[1:]))
-            out[k] = b"".join([self._whole(parts[0]), *ids, end])
+                ids = self.fast.encode_ordinary(text or "")
+            ids.append(END_ID)
+            out.append(np.array(ids, self.type).tobytes())
         return out
 
 

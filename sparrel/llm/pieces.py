@@ -28,6 +28,10 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 MERGES = 2
 #: Chunks whose ids a worker keeps; when full it starts anew.
 CACHE_CHUNKS = 500_000
+#: Chunks of up to so many characters are looked up side by side, so many at once.
+SHORT, SIDE_BY_SIDE = 48, 4096
+#: Texts whose chunks are in memory at once.
+TEXTS = 128
 
 
 def read_model(data: bytes) -> list[tuple[str, float, int]]:
@@ -145,7 +149,17 @@ class Vocabulary:
         self.trie = DoubleArray([self.pieces[i][0].encode() for i in usable], usable)
         #: Where no piece has a marker behind another character, texts can be cut before each run of markers.
         self.cuttable = not any(re.search(f"[^{MARK}]{MARK}", self.pieces[i][0]) for i in usable)
-        self._cache: dict[str, tuple[bytes, float]] = {}
+        self._cache: dict[str, bytes] = {}
+        t = self.trie
+        self.arrays = np.asarray(t.base, np.int64), np.asarray(t.check, np.int64), np.asarray(t.value, np.int64), np.asarray(self.scores)
+        self.costs = np.asarray(self.scores)
+        for byte, i in self.bytes.items():
+            self.costs[i] = self.floor if byte < 0x80 or byte >= 0xC0 else 0.0
+        self.costs[self.unknown] = self.floor
+        #: What a piece stands for by itself; bytes of longer characters do not.
+        self.plain = {i: p for i, (p, _, k) in enumerate(self.pieces) if k in (NORMAL, USER, UNUSED)}
+        self.plain |= {i: "" if k == CONTROL else " ⁇ " for i, (_, _, k) in enumerate(self.pieces) if k in (CONTROL, UNKNOWN)}
+        self.plain |= {i: chr(byte) for byte, i in self.bytes.items() if byte < 0x80}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -196,34 +210,113 @@ class Vocabulary:
             at = start
         return ids[::-1], top[size]
 
-    def _cached(self, chunk: str) -> tuple[bytes, float]:
-        found = self._cache.get(chunk)
-        if found is None:
-            ids, score = self.best(chunk)
-            found = np.asarray(ids, "<u4").tobytes(), score
-            if len(self._cache) >= CACHE_CHUNKS:
-                self._cache.clear()
-            if len(chunk) <= 64:
-                self._cache[chunk] = found
-        return found
+    def best_many(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of the best path over each of many short chunks, a place and a depth of the trie at a time for all of them."""
+        base, check, value, scores = self.arrays
+        data = [c.encode() for c in chunks]
+        size = max(map(len, data))
+        codes = np.zeros((len(data), size + 1), np.int64)
+        for row, d in enumerate(data):
+            codes[row, : len(d)] = np.frombuffer(d, np.uint8)
+            codes[row, : len(d)] += 1
+        top = np.full((len(data), size + 1), -np.inf)
+        top[:, 0] = 0.0
+        start = np.zeros((len(data), size + 1), np.int64)
+        piece = np.full((len(data), size + 1), -1, np.int64)
+        for at in range(size):
+            rows = np.flatnonzero((top[:, at] > -np.inf) & (codes[:, at] > 0))
+            if not len(rows):
+                continue
+            lead = codes[rows, at] - 1
+            width = 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+            whole = np.zeros(len(rows), bool)
+            live, state = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+            for end in range(at + 1, size + 1):
+                code = codes[rows[live], end - 1]
+                step = base[state] + code
+                ok = (code > 0) & (base[state] > 0) & (step < len(check))
+                ok &= check[np.where(ok, step, 0)] == state
+                live, state = live[ok], step[ok]
+                if not len(live):
+                    break
+                found = value[state]
+                on = found >= 0
+                hit, found = live[on], found[on]
+                whole[hit] |= width[hit] == end - at
+                score = top[rows[hit], at] + scores[found]
+                better = score > top[rows[hit], end]
+                hit, found, score = rows[hit[better]], found[better], score[better]
+                top[hit, end], start[hit, end], piece[hit, end] = score, at, found
+            alone = np.flatnonzero(~whole)
+            end, row = at + width[alone], rows[alone]
+            score = top[row, at] + self.floor
+            better = score > top[row, end]
+            row, end = row[better], end[better]
+            top[row, end], start[row, end], piece[row, end] = score[better], at, -1
+        out = []
+        for d, starts, found in zip(data, start.tolist(), piece.tolist(), strict=True):
+            ids, at = [], len(d)
+            while at:
+                if found[at] >= 0:
+                    ids.append(found[at])
+                elif self.bytes:
+                    ids += [self.bytes[b] for b in reversed(d[starts[at] : at])]
+                else:
+                    ids.append(self.unknown)
+                at = starts[at]
+            out.append(ids[::-1])
+        return out
+
+    def _learn(self, chunks: set[str]) -> None:
+        long = [c for c in chunks if len(c) > SHORT]
+        for chunk in long:
+            self._cache[chunk] = np.asarray(self.best(chunk)[0], "<u4").tobytes()
+        short = sorted(chunks.difference(long), key=len)
+        for k in range(0, len(short), SIDE_BY_SIDE):
+            part = short[k : k + SIDE_BY_SIDE]
+            for chunk, ids in zip(part, self.best_many(part), strict=True):
+                self._cache[chunk] = np.asarray(ids, "<u4").tobytes()
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each whole text; none for an empty or null text."""
+        if not self.cuttable:
+            return [np.asarray(self.best(MARK + t.replace(" ", MARK))[0] if t else [], np.uint32) for t in texts]
+        parts = []
+        for text in texts:
+            if not text:
+                parts.append([])
+            elif "  " in text or MARK in text or text[0] == " ":
+                parts.append(re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", MARK + text.replace(" ", MARK)))
+            else:
+                parts.append([MARK + p for p in text.split(" ")])
+        new = {c for p in parts for c in p if c not in self._cache}
+        if len(self._cache) + len(new) > CACHE_CHUNKS:
+            self._cache.clear()
+            new = {c for p in parts for c in p}
+        if new:
+            self._learn(new)
+        return [np.frombuffer(b"".join(map(self._cache.__getitem__, p)), "<u4") for p in parts]
 
     def encode(self, text: str | None) -> tuple[np.ndarray, float]:
-        """Ids of the whole text and their score; nothing for an empty or null text."""
-        if not text:
-            return np.empty(0, np.uint32), 0.0
-        marked = MARK + text.replace(" ", MARK)
-        if not self.cuttable:
-            ids, score = self.best(marked)
-            return np.asarray(ids, np.uint32), score
-        parts = marked.split(MARK)
-        if "" in parts[1:] or parts[0]:
-            found = [self._cached(c) for c in re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", marked)]
-        else:
-            found = [self._cached(MARK + p) for p in parts[1:]]
-        return np.frombuffer(b"".join([f[0] for f in found]), "<u4"), sum(f[1] for f in found)
+        """Ids of the whole text and their score."""
+        ids = self.encode_all([text])[0]
+        return ids, self.score(ids)
+
+    def score(self, ids: np.ndarray) -> float:
+        """Sum over the path; a character spelled in bytes costs the floor once."""
+        return float(self.costs[ids].sum())
 
     def decode(self, ids) -> str:
         """The text of ids: byte pieces joined as UTF-8 (malformed bytes become the replacement mark), markers as spaces."""
+        ids = ids if isinstance(ids, list) else list(ids)
+        try:
+            text = "".join(map(self.plain.__getitem__, ids))
+        except KeyError:
+            text = self._spelled(ids)
+        text = text.replace(MARK, " ")
+        return text[1:] if text.startswith(" ") else text
+
+    def _spelled(self, ids: list[int]) -> str:
         out, run = [], bytearray()
         for i in ids:
             piece, _, kind = self.pieces[i]
@@ -233,12 +326,10 @@ class Vocabulary:
             if run:
                 out.append(run.decode(errors="replace"))
                 run = bytearray()
-            if kind != CONTROL:
-                out.append(" ⁇ " if kind == UNKNOWN else piece)
+            out.append(self.plain[i])
         if run:
             out.append(run.decode(errors="replace"))
-        text = "".join(out).replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+        return "".join(out)
 
 
 _LOADED: dict[str, Vocabulary] = {}
@@ -266,7 +357,7 @@ def encode_column(table: DataFrame, model_path: str, text: str = "text", ids: st
     def run(batches):
         vocab = vocabulary(*shared.value)
         for b in batches:
-            coded = [vocab.encode(t)[0].tolist() for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            coded = [x.tolist() for x in vocab.encode_all(b.column(b.schema.get_field_index(text)).to_pylist())]
             columns = [b.column(b.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(coded, pa.list_(pa.int32()))], [*names, ids])
 
@@ -307,11 +398,12 @@ def pieces_digest(docs: DataFrame, model_path: str) -> DataFrame:
             if not len(b):
                 continue
             rows = []
-            for text in b.column(1).to_pylist():
-                text = text or ""
-                ids, score = vocab.encode(text)
-                decoded = vocab.decode(ids.tolist())
-                rows.append((len(ids), int(spelled[ids].sum()), zlib.crc32(ids.astype("<u4").tobytes()), score, hashlib.sha256(decoded.encode()).hexdigest(), decoded == text))
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for k in range(0, len(texts), TEXTS):
+                some = texts[k : k + TEXTS]
+                for text, ids in zip(some, vocab.encode_all(some), strict=True):
+                    decoded = vocab.decode(ids.tolist())
+                    rows.append((len(ids), int(spelled[ids].sum()), zlib.crc32(ids.tobytes()), vocab.score(ids), hashlib.sha256(decoded.encode()).hexdigest(), decoded == text))
             arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.bool_()), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *arrays], [f.split()[0] for f in DIGEST.split(", ")])
 
