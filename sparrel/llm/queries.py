@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparrel.llm import language_model, media, ngram_join, packing, pieces, secrets, substrings
+from sparrel.llm import language_model, media, near_vectors, ngram_join, packing, pieces, secrets, substrings
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = os.environ.get("SPARREL_TOKENIZERS", "/opt/tokenizers")
@@ -32,6 +32,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.keep_first(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
@@ -44,4 +48,4 @@ def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.pieces_digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_language_model, op3_media_columns, op4_secret_scan, op6_substring_dedup, op8_curve_packing, op10_piece_coding)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_language_model, op3_media_columns, op4_secret_scan, op5_near_vectors, op6_substring_dedup, op8_curve_packing, op10_piece_coding)}
