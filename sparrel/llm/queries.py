@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparrel.llm import language_model, media, near_vectors, ngram_join, packing, pieces, secrets, substrings
+from sparrel.llm import language_model, media, near_vectors, ngram_join, packing, pieces, quality, secrets, substrings, warc
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = os.environ.get("SPARREL_TOKENIZERS", "/opt/tokenizers")
@@ -40,12 +40,34 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.keep_first(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op9_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.revisit_digest(table(spark, sf_dir, "pages"))
+
+
 def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.pieces_digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_language_model, op3_media_columns, op4_secret_scan, op5_near_vectors, op6_substring_dedup, op8_curve_packing, op10_piece_coding)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_join,
+        op2_language_model,
+        op3_media_columns,
+        op4_secret_scan,
+        op5_near_vectors,
+        op6_substring_dedup,
+        op7_importance_resampling,
+        op8_curve_packing,
+        op9_revisit_resolution,
+        op10_piece_coding,
+    )
+}
