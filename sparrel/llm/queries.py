@@ -71,3 +71,4 @@ QUERIES = {
         op10_piece_coding,
     )
 }
+ORACLE_SQL: dict[str, str] = {}

@@ -19,6 +19,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from sparrel.llm.blocks import answers, ask, block_count, finish, in_blocks, packed, unpacked
 from sparrel.llm.words import hashed_texts, mix, seeded, window_hashes, words
@@ -100,16 +101,19 @@ KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept stri
 REPEATS = "block long, keys binary, least binary"
 
 
-def keep_first(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
-    """One row per document: its words, how many are removed, and what is left, joined by single spaces.
+def keep_first(docs: DataFrame, window: int = WINDOW, others: list[str] | None = None, with_text: bool = True) -> DataFrame:
+    """One row per document: its words, how many are removed, what is left, joined by single spaces, and the columns ``others``.
 
     A word goes if it lies in a window of ``window`` consecutive words that also starts in a
     document with a smaller doc_id. Rows without doc_id come after all others and are
     compared with them. Null and empty texts have no words; rows with equal doc_id remove nothing from
-    each other. Windows are compared by 64-bit hashes of their words.
+    each other. Windows are compared by 64-bit hashes of their words. Where nothing is removed,
+    ``kept`` is the text as it was.
     """
     count = block_count(docs)
-    blocks = in_blocks(docs, count)
+    others = others or []
+    blocks = in_blocks(docs, count, others)
+    schema = T.StructType([*T.StructType.fromDDL(KEPT).fields, *docs.select(*others).schema.fields])
 
     def ask_anchors(table: pa.Table):
         _, ends, first, anchor = _window_rows(table, window)
@@ -183,14 +187,15 @@ def keep_first(docs: DataFrame, window: int = WINDOW, with_text: bool = True) ->
                 removed = int(gone[d].sum())
                 parts = [w for w, g in zip(parts, gone[d].tolist(), strict=True) if not g]
             kept = b" ".join(parts)
-            out.append((n, removed, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
+            out.append((n, removed, hashlib.sha256(kept).hexdigest(), None if not with_text else kept.decode() if removed else text))
         columns = zip(*out, strict=True) if out else [[], [], [], []]
         types = (pa.int64(), pa.int64(), pa.string(), pa.string())
-        return pa.table([table["doc_id"].cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[f.split()[0] for f in KEPT.split(", ")])
+        made = (pa.array(c, t) for c, t in zip(columns, types, strict=True))
+        return pa.table([table["doc_id"].cast(pa.int64()), *made, *(table[c] for c in others)], names=schema.fieldNames())
 
     shared = ask(blocks, ask_anchors, np.add.reduceat, np.uint8, count, respond=lambda sums: sums > 1)
     asked = ask(blocks, ask_windows, None, VALUE, count, earlier=shared)
-    return finish(blocks, asked.groupBy("shard").applyInArrow(least_of, REPEATS), rows, KEPT)
+    return finish(blocks, asked.groupBy("shard").applyInArrow(least_of, REPEATS), rows, schema)
 
 
 VALUE = np.dtype([("least", "<i8"), ("more", "?")])
