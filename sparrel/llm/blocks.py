@@ -9,6 +9,8 @@ all rows holds costs one entry per block; no task gathers a key's rows.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 from collections.abc import Callable
 
@@ -18,20 +20,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text in a block on average; a block also holds its longest document whole.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: With little text, blocks of this size at least are made until each shuffle partition has one.
 LEAST_BYTES = 256 << 10
 
 
+def trimmed(function):
+    """The function, after which the worker gives freed memory back, so that idle workers don't hold a block's peak."""
+
+    def run(*tables):
+        out = function(*tables)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+        return out
+
+    return run
+
+
 def block_count(docs: DataFrame) -> int:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(1, math.ceil(total / BLOCK_BYTES), min(partitions, math.ceil(total / LEAST_BYTES)))
 
 
-def in_blocks(docs: DataFrame, count: int) -> DataFrame:
-    """(block, doc_id, text); rows are dealt by a hash, so each block has rows of every source."""
-    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).alias("block"), "doc_id", "text")
+def in_blocks(docs: DataFrame, count: int, others: list[str] | None = None) -> DataFrame:
+    """(block, doc_id, text, other columns); rows are dealt by a hash, so each block has rows of every source."""
+    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).alias("block"), "doc_id", "text", *(others or []))
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -116,13 +131,13 @@ def ask(
 
     def first(table: pa.Table) -> pa.Table:
         keys, vals = request(table)
-        return request_rows(table["block"][0].as_py(), keys, vals.astype(dtype), shards)
+        return trimmed(request_rows)(table["block"][0].as_py(), keys, vals.astype(dtype), shards)
 
     def later(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):
             return request_rows(0, np.empty(0, np.uint64), np.empty(0, dtype), shards)
         keys, vals = request(table, replies)
-        return request_rows(table["block"][0].as_py(), keys, vals.astype(dtype), shards)
+        return trimmed(request_rows)(table["block"][0].as_py(), keys, vals.astype(dtype), shards)
 
     if earlier is None:
         asked = blocks.groupBy("block").applyInArrow(first, REQUEST)
@@ -130,9 +145,17 @@ def ask(
         asked = blocks.groupBy("block").cogroup(earlier.groupBy("block")).applyInArrow(later, REQUEST)
     if combine is None:
         return asked
-    return asked.groupBy("shard").applyInArrow(lambda t: combined(t, dtype, combine, respond), REPLY)
 
+    def answer(table: pa.Table) -> pa.Table:
+        return trimmed(combined)(table, dtype, combine, respond)
 
-def finish(blocks: DataFrame, replies: DataFrame, function: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    return asked.groupBy("shard").applyInArrow(answer, REPLY)
+
+
+def finish(blocks: DataFrame, replies: DataFrame, function: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
     """Apply a function to each block with the replies to it."""
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(function, schema)
+
+    def last(table: pa.Table, answered: pa.Table) -> pa.Table:
+        return trimmed(function)(table, answered)
+
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(last, schema)

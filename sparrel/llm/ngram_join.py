@@ -3,17 +3,19 @@
 1. A document is the set of hashes of its shingles; documents with equal sets are one
    node. Each block of documents learns how many nodes hold each of its shingles.
 2. Two sets with Jaccard similarity of at least t share one of the |x| - ceil(t |x|) + 1
-   rarest shingles of each. Only those that another node holds are posted, so text
-   that nothing shares posts nothing.
-3. A shingle's nodes, in random order within like sizes, are linked candidates with their
-   neighbours in that order: a number of pairs in proportion to the list. Lists
+   rarest shingles of each; and all they share stands, in the order of rarity, from the first of
+   these on, so a posting says how many shingles stand there. Only shingles that another
+   node holds are posted, so text that nothing shares posts nothing.
+3. A shingle's nodes, in one of ORDERS random orders within like sizes, are candidates with
+   their neighbours in that order: a number of pairs in proportion to the list. Lists
    of up to ALL_PAIRS nodes give all their pairs.
-4. Candidates of a node are searched together by DivideSkip: inverted lists over the
-   candidates, the longest set aside, the short ones merged by a heap that skips, what
-   occurs often enough probed in the long ones by binary search.
-5. Components of the links found contract the lists. A list that still holds nodes of
-   different components gives the pairs across components, which are searched too:
-   then every pair that can reach the threshold was searched or is connected already.
+4. A node is searched in the inverted index of its candidates by DivideSkip: the longest of its
+   lists are set aside, the short ones merged by a heap that skips, and what occurs often
+   enough is probed in the long ones by binary search.
+5. Components of the links found contract the lists. Lists that still hold nodes of different
+   components connect groups; a group's sets become indexes of bounded size, and each
+   node outside of its largest component is searched in all of them. Then every pair that
+   can reach the threshold was searched, or is connected already.
 """
 
 from __future__ import annotations
@@ -36,10 +38,12 @@ from sparrel.llm.words import mix, ngrams, seeded, word_hashes, words
 SHINGLE_WORDS, PERCENT = 5, 75
 #: Lists up to this many nodes give all their pairs at once.
 ALL_PAIRS = 4
+#: Different orders in which lists are gone through, so that a node has few neighbours over all of its lists.
+ORDERS = 4
 #: A shingle that more nodes hold is dealt over as many tasks as it has such parts.
 LIST_NODES = 20_000
-#: Candidates of one node that are searched together.
-SEARCHED = 64
+#: Sets of one inverted index, on average; rows that a worker turns into Python values at once.
+INDEXED, ROWS = 256, 64
 
 
 def shingle_set(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
@@ -63,55 +67,58 @@ def least_overlap(percent: int, size: int) -> int:
     return -(-percent * size // 100)
 
 
-def divide_skip(query: list[int], sets: dict[int, list[int]], least: int) -> dict[int, int]:
-    """Overlap of a query with each set that shares at least ``least`` of its values.
-
-    query and sets: sorted. The inverted lists of the query's values hold the sets' names
-    in order. Any set sought occurs ``least - set_aside`` times in the short lists.
-    """
-    wanted = set(query)
-    inverted: dict[int, list[int]] = defaultdict(list)
-    for name in sorted(sets):
-        for value in sets[name]:
-            if value in wanted:
-                inverted[value].append(name)
-    lists = sorted(inverted.values(), key=len)
-    if least < 1 or len(lists) < least:
-        return {}
-    aside = min(least - 1, len(lists))
-    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    need = least - aside
-    heap = [(names[0], k, 0) for k, names in enumerate(short)]
-    heapq.heapify(heap)
-    found: dict[int, int] = {}
-    while heap:
-        name, popped = heap[0][0], []
-        while heap and heap[0][0] == name:
-            popped.append(heapq.heappop(heap))
-        if len(popped) >= need:
-            count = len(popped)
-            for k in range(len(long) - 1, -1, -1):
-                names = long[k]
-                at = bisect_left(names, name)
-                if at < len(names) and names[at] == name:
-                    count += 1
-                elif count + k < least:
-                    break
-            if count >= least:
-                found[name] = count
-            skip_to = name + 1
-        else:
-            while heap and len(popped) < need - 1:
+class Index:
+    """Inverted lists over some sets: for each value, the places (in the order given) of the sets that hold it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.lists: dict[int, list[int]] = defaultdict(list)
+        for place, values in enumerate(sets):
+            for value in values.tolist():
+                self.lists[value].append(place)
+
+    def search(self, query: np.ndarray, least: int) -> dict[int, int]:
+        """Overlap of a query with each set that shares at least ``least`` of its values, by DivideSkip.
+
+        Any set sought occurs at least ``least - aside`` times in the lists that are not set aside.
+        """
+        found_in = self.lists
+        lists = sorted((found_in[v] for v in query.tolist() if v in found_in), key=len)
+        if least < 1 or len(lists) < least:
+            return {}
+        aside = min(least - 1, len(lists))
+        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+        need = least - aside
+        heap = [(places[0], k, 0) for k, places in enumerate(short)]
+        heapq.heapify(heap)
+        found: dict[int, int] = {}
+        while heap:
+            place, popped = heap[0][0], []
+            while heap and heap[0][0] == place:
                 popped.append(heapq.heappop(heap))
-            if not heap:
-                break
-            skip_to = heap[0][0]
-        for _, k, at in popped:
-            names = short[k]
-            at = bisect_left(names, skip_to, at)
-            if at < len(names):
-                heapq.heappush(heap, (names[at], k, at))
-    return found
+            if len(popped) >= need:
+                count = len(popped)
+                for k in range(len(long) - 1, -1, -1):
+                    places = long[k]
+                    at = bisect_left(places, place)
+                    if at < len(places) and places[at] == place:
+                        count += 1
+                    elif count + k < least:
+                        break
+                if count >= least:
+                    found[place] = count
+                skip_to = place + 1
+            else:
+                while heap and len(popped) < need - 1:
+                    popped.append(heapq.heappop(heap))
+                if not heap:
+                    break
+                skip_to = heap[0][0]
+            for _, k, at in popped:
+                places = short[k]
+                at = bisect_left(places, skip_to, at)
+                if at < len(places):
+                    heapq.heappush(heap, (places[at], k, at))
+        return found
 
 
 def _block_sets(table: pa.Table, size: int) -> tuple[list, list, list]:
@@ -123,7 +130,7 @@ def _block_sets(table: pa.Table, size: int) -> tuple[list, list, list]:
     return sets, nodes, first
 
 
-FEATURES = "kind int, doc_id long, node long, n long, token long, held long, tokens binary"
+FEATURES = "kind int, doc_id long, node long, n long, token long, held long, rest long, tokens binary"
 DOCUMENT, POSTING, SET = 0, 1, 2
 
 
@@ -140,9 +147,8 @@ def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def rows(table: pa.Table, replies: pa.Table) -> pa.Table:
         sets, nodes, first = _block_sets(table, size)
-        out = {f.split()[0]: [] for f in FEATURES.split(", ")}
         parts: list[pa.Table] = []
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("held", pa.int64()), ("tokens", pa.binary())])
+        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("held", pa.int64()), ("rest", pa.int64()), ("tokens", pa.binary())])
 
         def add(rows_: int, **columns):
             parts.append(pa.table([columns[f.name] if f.name in columns else pa.nulls(rows_, f.type) for f in schema], schema=schema))
@@ -152,7 +158,7 @@ def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
             every = np.concatenate([sets[k] for k in first])
             keys, back = np.unique(every, return_inverse=True)
             held = answers(replies, np.uint32)[back].astype(np.int64)
-            token, node, n, often, shared_rows = [], [], [], [], []
+            token, node, n, often, rest, shared_rows = [], [], [], [], [], []
             at = 0
             for k in first:
                 values, holders = every[at : at + len(sets[k])], held[at : at + len(sets[k])]
@@ -166,10 +172,11 @@ def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 often.append(holders[order])
                 node.append(np.full(len(order), nodes[k]))
                 n.append(np.full(len(order), len(values)))
+                rest.append(len(values) - np.arange(alone, prefix))
                 shared_rows.append((nodes[k], len(values), values[holders >= 2].tobytes()))
             if token:
                 size_ = sum(map(len, token))
-                add(size_, kind=pa.array(np.full(size_, POSTING, np.int32)), node=pa.array(np.concatenate(node)), n=pa.array(np.concatenate(n)), token=pa.array(np.concatenate(token).view(np.int64)), held=pa.array(np.concatenate(often)))
+                add(size_, kind=pa.array(np.full(size_, POSTING, np.int32)), node=pa.array(np.concatenate(node)), n=pa.array(np.concatenate(n)), token=pa.array(np.concatenate(token).view(np.int64)), held=pa.array(np.concatenate(often)), rest=pa.array(np.concatenate(rest)))
                 add(len(shared_rows), kind=pa.array(np.full(len(shared_rows), SET, np.int32)), node=pa.array([r[0] for r in shared_rows]), n=pa.array([r[1] for r in shared_rows]), tokens=pa.array([r[2] for r in shared_rows], pa.binary()))
         return pa.concat_tables(parts)
 
@@ -177,7 +184,7 @@ def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return finish(blocks, held, rows, FEATURES)
 
 
-CANDIDATES = "u long, v long, token long, n long"
+CANDIDATES = "u long, v long, token long"
 
 
 def _neighbours(percent: int):
@@ -188,13 +195,13 @@ def _neighbours(percent: int):
         if not tables:
             return
         table = pa.Table.from_batches(tables)
-        token, part, node, n = (table[c].to_numpy() for c in ("token", "part", "node", "n"))
+        token, part, node, n, rest = (table[c].to_numpy() for c in ("token", "part", "node", "n", "rest"))
         like = np.floor(np.log(n) / np.log(1.15)).astype(np.int64)
-        chance = seeded(node.view(np.uint64) ^ mix(token.view(np.uint64)), 3)
+        chance = seeded(node.view(np.uint64) ^ mix(token.view(np.uint64) % np.uint64(ORDERS)), 3)
         order = np.lexsort((node, chance, like, part, token))
-        token, part, node, n = token[order], part[order], node[order], n[order]
-        again = np.concatenate([[False], (token[1:] == token[:-1]) & (part[1:] == part[:-1]) & (node[1:] == node[:-1])])
-        token, part, node, n = token[~again], part[~again], node[~again], n[~again]
+        token, part, node = token[order], part[order], node[order]
+        order = order[np.concatenate([[True], (token[1:] != token[:-1]) | (part[1:] != part[:-1]) | (node[1:] != node[:-1])])]
+        token, part, node, n, rest = (table[c].to_numpy()[order] for c in ("token", "part", "node", "n", "rest"))
         new = np.concatenate([[True], (token[1:] != token[:-1]) | (part[1:] != part[:-1])])
         run_of = np.cumsum(new) - 1
         length = np.bincount(run_of)[run_of]
@@ -204,58 +211,81 @@ def _neighbours(percent: int):
             ok = run_of[left] == run_of[right]
             if step > 1:
                 ok &= length[left] <= ALL_PAIRS
-            ok &= 100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right])
+            ok &= (100 + percent) * np.minimum(rest[left], rest[right]) >= percent * (n[left] + n[right])
             pairs.append(np.stack([np.minimum(node[left], node[right])[ok], np.maximum(node[left], node[right])[ok]], axis=1))
         pair = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
         nothing = pa.nulls(len(pair), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), nothing, nothing], ["u", "v", "token", "n"])
-        rest = (length > ALL_PAIRS) | (part >= 0)
-        if rest.any():
-            yield pa.RecordBatch.from_arrays([pa.array(node[rest]), pa.nulls(int(rest.sum()), pa.int64()), pa.array(token[rest]), pa.array(n[rest])], ["u", "v", "token", "n"])
+        names = ["u", "v", "token"]
+        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), nothing], names)
+        some = (length > ALL_PAIRS) | (part >= 0)
+        if some.any():
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.nulls(int(some.sum()), pa.int64()), pa.array(token[some])], names)
 
     return run
 
 
-def search(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b, overlap) among candidate pairs (u, v), each found by a T-occurrence search of u among its candidates."""
-    spark = pairs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    degree = pairs.groupBy("u").agg(F.count("*").alias("degree"))
-    dealt = pairs.join(degree, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.ceil(F.col("degree") / SEARCHED)))
-    one = sets.dropDuplicates(["node"])
-    candidates = dealt.join(one, F.col("v") == F.col("node")).select("u", "part", F.lit(1).alias("role"), "node", "n", "tokens")
-    asked = dealt.select("u", "part").distinct().join(one, F.col("u") == F.col("node")).select("u", "part", F.lit(0).alias("role"), "node", "n", "tokens")
-    together = asked.union(candidates).repartition(partitions, "u", "part").sortWithinPartitions("u", "part", "role", "node")
-
-    def linked(query, found_in):
-        node, n, values = query
-        sets_, sizes = {}, {}
-        for name, size, other in found_in:
-            sets_[name], sizes[name] = other, size
-        for name, overlap in divide_skip(values, sets_, least_overlap(percent, n)).items():
-            if overlap >= required(percent, n, sizes[name]):
-                yield node, name, overlap
+LINKED = "a long, b long, overlap long"
+
+
+def _searched(percent: int):
+    """Of rows (unit, part, role, node, n, tokens), sorted so: each query (role 1) is searched in the index of its unit's sets (role 0)."""
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["a", "b", "overlap"])
 
     def run(batches):
-        key, query, others = None, None, []
-        for b in batches:
+        key, index, held = None, None, []
+        for b in (whole.slice(k, ROWS) for whole in batches for k in range(0, len(whole), ROWS)):
             out = []
-            for u, part, role, node, n, tokens in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-                if (u, part) != key:
-                    if others:
-                        out += linked(query, others)
-                    key, others = (u, part), []
-                values = np.frombuffer(tokens, np.uint64).tolist()
+            for unit, part, role, node, n, tokens in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                if (unit, part) != key:
+                    key, index, held = (unit, part), None, []
+                values = np.frombuffer(tokens, np.uint64)
                 if role == 0:
-                    query = node, n, values
-                else:
-                    others.append((node, n, values))
+                    held.append((node, n, values))
+                    continue
+                if index is None:
+                    index = Index([v for _, _, v in held])
+                for place, overlap in index.search(values, least_overlap(percent, n)).items():
+                    other, size, _ = held[place]
+                    if other != node and overlap >= required(percent, n, size):
+                        out.append((node, other, overlap))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "overlap"])
-        if others and (out := list(linked(query, others))):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "overlap"])
+                yield batch(out)
+
+    return run
+
+
+def search_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b, overlap) among candidate pairs (u, v): u is the query, its candidates are the index."""
+    partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    degree = pairs.groupBy("u").agg(F.count("*").alias("degree"))
+    dealt = pairs.join(degree, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.ceil(F.col("degree") / INDEXED)))
+    names = ["u", "part", "role", "node", "n", "tokens"]
+    candidates = dealt.join(sets, F.col("v") == F.col("node")).withColumn("role", F.lit(0)).select(*names)
+    asked = dealt.select("u", "part").distinct().join(sets, F.col("u") == F.col("node")).withColumn("role", F.lit(1)).select(*names)
+    together = candidates.union(asked).repartition(partitions, "u", "part").sortWithinPartitions("u", "part", "role", "node")
+    return together.mapInArrow(_searched(percent), LINKED)
 
-    return together.mapInArrow(run, "a long, b long, overlap long")
+
+def search_groups(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b, overlap) across components among nodes that lists (token, node, component) connect.
+
+    A group's sets are dealt into indexes of about INDEXED; nodes outside of the group's largest
+    component are the queries, sent to each of them. No pairs are made.
+    """
+    partitions = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = open_.groupBy("token").agg(F.min("node").alias("first"))
+    grouped = components(open_.join(first, "token").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    nodes = open_.select("node", "component").distinct().join(grouped.select("node", F.col("component").alias("unit")), "node")
+    by_component = nodes.groupBy("unit", "component").agg(F.count("*").alias("size"))
+    units = by_component.groupBy("unit").agg(F.ceil(F.sum("size") / INDEXED).alias("parts"), F.max_by("component", F.struct("size", "component")).alias("largest"))
+    placed = nodes.join(units, "unit").join(sets, "node")
+    names = ["unit", "part", "role", "node", "n", "tokens"]
+    indexed = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("role", F.lit(0)).select(*names)
+    asked = placed.where("component <> largest").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("role", F.lit(1)).select(*names)
+    together = indexed.union(asked).repartition(partitions, "unit", "part").sortWithinPartitions("unit", "part", "role", "node")
+    return together.mapInArrow(_searched(percent), LINKED)
 
 
 def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -271,30 +301,22 @@ def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = materialize(features(docs, size, percent), "ngram-features", ["kind"])
     documents = made.where(F.col("kind") == DOCUMENT).select("doc_id", "node", "n")
-    sets = made.where(F.col("kind") == SET).select("node", "n", "tokens")
+    sets = made.where(F.col("kind") == SET).select("node", "n", "tokens").dropDuplicates(["node"])
     postings = (
         made.where(F.col("kind") == POSTING)
-        .select("token", "node", "n", F.when(F.col("held") > LIST_NODES, F.pmod(F.xxhash64("node"), F.ceil(F.col("held") / LIST_NODES))).otherwise(F.lit(-1)).cast("long").alias("part"))
+        .select("token", "node", "n", "rest", F.when(F.col("held") > LIST_NODES, F.pmod(F.xxhash64("node"), F.ceil(F.col("held") / LIST_NODES))).otherwise(F.lit(-1)).cast("long").alias("part"))
         .repartition(partitions, "token", "part")
     )
     listed = materialize(postings.mapInArrow(_neighbours(percent), CANDIDATES), "ngram-lists")
     near = listed.where("v is not null").select("u", "v").distinct()
-    links = materialize(search(near, sets, percent), "ngram-links")
-    first = materialize(components(links), "ngram-components")
+    links = materialize(search_pairs(near, sets, percent), "ngram-links")
+    joined = materialize(components(links), "ngram-components")
 
-    members = listed.where("v is null").select("token", F.col("u").alias("node"), "n").distinct().join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = listed.where("v is null").select("token", F.col("u").alias("node")).distinct().join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = members.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     open_ = materialize(members.join(mixed, "token"), "ngram-open")
-    left, right = (open_.select("token", *(F.col(c).alias(c + s) for c in ("node", "n", "component"))) for s in ("1", "2"))
-    across = (
-        left.join(right, "token")
-        .where(f"component1 <> component2 and node1 < node2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
-        .select(F.col("node1").alias("u"), F.col("node2").alias("v"))
-        .distinct()
-        .join(near, ["u", "v"], "left_anti")
-    )
-    more = materialize(search(across, sets, percent), "ngram-links-across")
-    final = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
+    more = materialize(search_groups(open_, sets, percent), "ngram-links-across")
+    final = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
     least = documents.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     named = least.join(final, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id")
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
