@@ -33,7 +33,9 @@ KEPT = 0.01
 #: Labelled documents that the target model and the cut are fitted on: those with the least hash of their id.
 SAMPLE = 50_000
 #: Tokens whose hashes a worker keeps; when full it starts anew.
-CACHE_TOKENS = 300_000
+CACHE_TOKENS = 100_000
+#: Texts whose n-grams are in memory at once.
+TEXTS = 128
 CHUNK = 1 << 14
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -133,9 +135,7 @@ def scored(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
 
     def score(batches):
         ratios = shared.value
-        for b in batches:
-            if not len(b):
-                continue
+        for b in (whole.slice(k, TEXTS) for whole in batches for k in range(0, len(whole), TEXTS)):
             found = [buckets(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
             size = np.asarray([len(f) for f in found])
             weight = np.asarray([ratios[f].sum(dtype=np.float64) for f in found]) / np.maximum(size, 1) * AS_TOKENS

@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Words that a worker keeps hashed; when full the table starts anew, so its memory is bounded.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
