@@ -1,7 +1,8 @@
 """Agent evaluation as one plan over all queries: understand, retrieve, describe, re-rank, settle.
 
 Models are asked about distinct queries and distinct videos of the windows only; a stage's
-rows that fell back before are not asked further. Everything between is joins and windows.
+rows that fell back before are not asked further. Answers are written before they are used, so none is
+asked twice. Everything between is joins and windows.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sparrel.operators import checkers, rerank
 from sparrel.operators.checkers import Checker
+from sparrel.sources.kept import kept
 
 #: Retrieves hits (query_id, rank, item_id, score, ...) for (query_id, key, audio_mode).
 Retriever = Callable[[DataFrame], DataFrame]
@@ -31,30 +33,30 @@ def t2v_agent(queries: DataFrame, videos: DataFrame, retrieve: Retriever, checke
 
     runs: hints, stage of the fallback if any, calls, and the final result. Candidates of a window count as calls even where their description is shared.
     """
-    told = queries.join(checkers.understand(queries, checker), "query_text")
+    told = queries.join(kept(checkers.understand(queries, checker)), "query_text")
     hinted = told.withColumn("hints", rerank.query_hints(F.col("query_text"), F.col("understanding")))
     asked = hinted.select("query_id", F.coalesce("hints.query_text_override", "query_text").alias("key"), F.col("hints.audio_mode").alias("audio_mode"))
-    initial = retrieve(asked)
+    initial = kept(retrieve(asked))
 
     sound = hinted.where("not understanding.fallback_used").select("query_id", F.to_json("understanding").alias("context"))
     candidates = initial.where(F.col("rank") <= max(1, int(window))).join(sound, "query_id")
-    described = checkers.describe(candidates.select(F.col("item_id").alias("video_id")).distinct().join(videos, "video_id"), checker)
+    described = kept(checkers.describe(candidates.select(F.col("item_id").alias("video_id")).distinct().join(videos, "video_id"), checker))
     shown = candidates.join(described.withColumnRenamed("video_id", "item_id").select("item_id", "description"), "item_id")
     state = shown.groupBy("query_id").agg(F.count("*").alias("described"), F.bool_or("description.fallback_used").alias("description_fell"))
     whole = shown.join(state.where("not description_fell"), "query_id")
     fields = (F.col("item_id").alias("video_id"), F.col("rank").alias("original_rank"), F.col("score").alias("original_score"), F.col("description").alias("video_description"))
-    results = checkers.order(_payload(whole, *fields).join(sound, "query_id"), checker, "video").select("query_id", "result")
+    results = kept(checkers.order(_payload(whole, *fields).join(sound, "query_id"), checker, "video").select("query_id", "result"))
     return _settle(hinted, initial, results, state, window, "t2v")
 
 
 def v2t_agent(queries: DataFrame, retrieve: Retriever, checker: Checker) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The same for video queries (query_id, video_id, video_path): one description, and all hits are re-ranked."""
-    described = checkers.describe(queries.select("video_id", "video_path"), checker).select("video_id", "description")
+    described = kept(checkers.describe(queries.select("video_id", "video_path"), checker).select("video_id", "description"))
     hinted = queries.join(described, "video_id").withColumn("hints", rerank.description_hints(F.col("description")))
-    initial = retrieve(hinted.select("query_id", F.col("video_id").alias("key"), F.col("hints.audio_mode").alias("audio_mode")))
+    initial = kept(retrieve(hinted.select("query_id", F.col("video_id").alias("key"), F.col("hints.audio_mode").alias("audio_mode"))))
     sound = hinted.where("not description.fallback_used").select("query_id", F.to_json("description").alias("context"))
     fields = (F.col("item_id").alias("text_id"), F.col("rank").alias("original_rank"), F.col("score").alias("original_score"), "text")
-    results = checkers.order(_payload(initial.join(sound, "query_id"), *fields).join(sound, "query_id"), checker, "text").select("query_id", "result")
+    results = kept(checkers.order(_payload(initial.join(sound, "query_id"), *fields).join(sound, "query_id"), checker, "text").select("query_id", "result"))
     state = initial.groupBy("query_id").agg(F.count("*").alias("described"), F.lit(False).alias("description_fell"))
     return _settle(hinted, initial, results, state, None, "v2t")
 

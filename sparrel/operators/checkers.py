@@ -133,7 +133,7 @@ class HttpChecker:
 
 def answered(keys: DataFrame, ask: Callable[..., str], *columns: str) -> DataFrame:
     """Add answer and failure (exception's name) to rows, asked once each from the given columns. Make keys distinct before."""
-    schema = T.StructType(keys.schema.fields).add("answer", "string").add("failure", "string")
+    schema = T.StructType([*keys.schema.fields]).add("answer", "string").add("failure", "string")
 
     def one(*values):
         try:
@@ -158,7 +158,7 @@ def _reason(stage: str, required: tuple[str, ...], json_text):
 def _or_fallback(table: DataFrame, stage: str, kind: str, made, fallback, schema: T.StructType, name: str) -> DataFrame:
     with_json = table.withColumn("_json", model_json.extract_json(F.col("answer")))
     with_reason = with_json.withColumn("_reason", _reason(stage, model_json.REQUIRED[kind], F.col("_json")))
-    return with_reason.withColumn(name, F.when(F.col("_reason").isNull(), made(F.col("_json"))).otherwise(fallback(F.col("_reason"))).cast(schema)).drop("answer", "failure", "_json", "_reason")
+    return with_reason.withColumn(name, F.when(F.col("_reason").isNull(), made(F.col("_json")).cast(schema)).otherwise(fallback(F.col("_reason")).cast(schema))).drop("answer", "failure", "_json", "_reason")
 
 
 def _empty():
