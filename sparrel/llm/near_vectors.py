@@ -12,8 +12,6 @@ at any size. A cap that holds many (a dense cluster) is cut into cells of two pa
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +24,8 @@ from sparrel.llm.scratch import materialize
 COSINE = 0.98
 #: Caps that a vector is in, on average.
 CAPS = 24
+#: Caps that a vector is in at least, and by how many standard deviations of a random cosine its bound falls in a step.
+LEAST, STEP = 12, 0.1
 #: Code words of a block, at most; with more vectors there are more blocks.
 BLOCK_WORDS = 1024
 #: Vectors of a part of a cap's cell.
@@ -42,6 +42,14 @@ def code_shape(largest: int, dimensions: int, caps: int = CAPS) -> tuple[int, in
     return 1, 2
 
 
+def cap_height(dimensions: int, share: float) -> float:
+    """The cosine that a random direction reaches with a given one in this share of cases."""
+    t = np.linspace(-1, 1, 200_001)[1:-1]
+    log_density = (dimensions - 3) / 2 * np.log1p(-t * t)
+    mass = np.cumsum(np.exp(log_density - log_density.max()))
+    return float(t[np.searchsorted(mass, (1 - share) * mass[-1])])
+
+
 class ProductCode:
     def __init__(self, dimensions: int, blocks: int, words: int, caps: int = CAPS, seed: int = SEED):
         rng = np.random.default_rng(seed + 1000 * dimensions)
@@ -50,29 +58,31 @@ class ProductCode:
         for low, high in zip(self.cuts[:-1], self.cuts[1:], strict=True):
             c = rng.standard_normal((words, high - low))
             self.code.append(c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(blocks))
-        share = min(0.5, caps / float(words) ** blocks)
-        self.alpha = NormalDist().inv_cdf(1 - share) / np.sqrt(dimensions)
+        self.alpha = cap_height(dimensions, min(0.5, caps / float(words) ** blocks))
 
     def caps_of(self, unit: np.ndarray) -> np.ndarray:
-        """Sorted numbers of the code words whose cosine with the vector reaches ALPHA; the nearest word if none does."""
+        """Sorted numbers of the code words whose cosine with the vector reaches ALPHA.
+
+        A vector that few words are near to gets a lower bound, step by step, until LEAST do.
+        """
         scores = [c @ unit[low:high] for c, low, high in zip(self.code, self.cuts[:-1], self.cuts[1:], strict=True)]
         order = [np.argsort(-s) for s in scores]
-        best = [float(s.max()) for s in scores]
+        ranked = [s[o] for s, o in zip(scores, order, strict=True)]
+        bound, least = self.alpha, min(LEAST, self.words ** len(scores))
+        while len(name := self._decoded(order, ranked, bound)) < least:
+            bound -= STEP / np.sqrt(self.cuts[-1])
+        return np.sort(name)
+
+    def _decoded(self, order: list[np.ndarray], ranked: list[np.ndarray], bound: float) -> np.ndarray:
         name, total = np.zeros(1, np.int64), np.zeros(1)
-        for k, s in enumerate(scores):
-            ranked = s[order[k]]
-            rest = sum(best[k + 1 :])
-            reach = np.searchsorted(-ranked, total - (self.alpha - rest), side="right")
+        for k, row in enumerate(ranked):
+            rest = sum(float(r[0]) for r in ranked[k + 1 :])
+            reach = np.searchsorted(-row, total - (bound - rest), side="right")
             at = np.repeat(np.arange(len(total)), reach)
             nth = np.arange(len(at)) - np.repeat(np.cumsum(reach) - reach, reach)
             name = name[at] * self.words + order[k][nth]
-            total = total[at] + ranked[nth]
-        if not len(name):
-            word = 0
-            for o in order:
-                word = word * self.words + int(o[0])
-            return np.asarray([word])
-        return np.sort(name)
+            total = total[at] + row[nth]
+        return name
 
 
 def _usable(embedding: str, label: str):
