@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 MARK = "▁"
 #: Below the least score by so much lies an uncovered character (fixed value of the unigram method).
@@ -361,7 +362,7 @@ def encode_column(table: DataFrame, model_path: str, text: str = "text", ids: st
             columns = [b.column(b.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(coded, pa.list_(pa.int32()))], [*names, ids])
 
-    return table.mapInArrow(run, table.select(*names).schema.add(ids, "array<int>"))
+    return table.mapInArrow(run, table.select(*names).schema.add(ids, T.ArrayType(T.IntegerType())))
 
 
 def decode_column(table: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from sparrel.llm import language_model, media, near_vectors, ngram_join, packing, pieces, quality, secrets, substrings, warc
+from sparrel.llm.oracle import ORACLE_SQL
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = os.environ.get("SPARREL_TOKENIZERS", "/opt/tokenizers")
@@ -56,6 +57,8 @@ def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.pieces_digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,4 +74,3 @@ QUERIES = {
         op10_piece_coding,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
