@@ -109,6 +109,12 @@ def recall_at(ranks: DataFrame, ks: list[int]) -> DataFrame:
     return best.agg(*hits, F.count("*").alias("queries"))
 
 
+def recall_of_hits(hits: DataFrame, targets: DataFrame, ks: list[int]) -> DataFrame:
+    """``recall_at`` from hits that hold the best max(ks) of each query of targets (query_id, item_idx); other ranks aren't needed."""
+    best = hits.join(targets, ["query_id", "item_idx"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("rank"))
+    return recall_at(targets.select("query_id").distinct().join(best, "query_id", "left"), ks)
+
+
 def contrastive_loss(scores: DataFrame) -> DataFrame:
     """Mean over i of ln(sum over j of exp(s_ij)) - s_ii for (i, j, score)."""
     rows = scores.groupBy("i").agg(F.ln(F.sum(F.exp("score"))).alias("whole"), F.max(F.when(F.col("i") == F.col("j"), F.col("score"))).alias("own"))

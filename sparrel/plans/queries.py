@@ -103,15 +103,18 @@ RECALL = ", ".join(f"avg((rank <= {k})::INT::DOUBLE) AS recall_{k}" for k in (1,
 
 @query(f"WITH {RANKED} SELECT {RECALL} FROM r WHERE item_idx = query_id + 100")
 def recall_t2v(spark, sf_dir):
-    s = scores(spark, sf_dir)
-    targets = s.where("item_idx = query_id + 100").select("query_id", "item_idx")
-    return scoring.recall_at(scoring.target_ranks(s, targets), [1, 5, 10])
+    left, right = sides(spark, sf_dir)
+    targets = left.select("query_id", (F.col("query_id") + QUERIES).alias("item_idx")).join(right.select("item_idx"), "item_idx", "left_semi")
+    return scoring.recall_of_hits(scoring.score_top_k(left, right, 10), targets, [1, 5, 10])
 
 
 @query(f"WITH {RANKED}, b AS (SELECT query_id, min(rank) AS rank FROM r WHERE ql = cl GROUP BY query_id) SELECT {RECALL} FROM b")
 def recall_v2t(spark, sf_dir):
-    ranked = scoring.top_k(scores(spark, sf_dir), "query_id", 1 << 30)
-    return scoring.recall_at(ranked.where("ql = cl"), [1, 5, 10])
+    left, right = sides(spark, sf_dir)
+    hits = scoring.score_top_k(left, right, 10).join(left.select("query_id", F.col("label").alias("ql")), "query_id").join(right.select("item_idx", F.col("label").alias("cl")), "item_idx")
+    best = hits.where("ql = cl").groupBy("query_id").agg(F.min("rank").alias("rank"))
+    known = left.join(right.select("label").distinct(), "label", "left_semi").select("query_id")
+    return scoring.recall_at(known.join(best, "query_id", "left"), [1, 5, 10])
 
 
 @query(f"WITH {RANKED} SELECT query_id, item_idx, rank FROM r WHERE ql = cl")
@@ -381,10 +384,10 @@ def answer() -> Column:
     return F.when(number == 0, F.concat(F.lit("```json\n"), props, F.lit("\n```"))).when(number == 1, F.concat(F.lit("Here: "), props, F.lit(" done"))).otherwise(F.lit("nothing"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 < 2 THEN props END AS json, CASE WHEN event_id % 3 < 2 THEN (props ->> '$.k')::BIGINT END AS k FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 3 < 2 THEN props END AS json, CASE WHEN event_id % 3 < 2 THEN (props ->> '$.k')::BIGINT ELSE -1 END AS k FROM events")
 def json_extract(spark, sf_dir):
     json = model_json.extract_json(answer())
-    return load(spark, sf_dir, "events").select("event_id", json.alias("json"), F.get_json_object(json, "$.k").cast("long").alias("k"))
+    return load(spark, sf_dir, "events").select("event_id", json.alias("json"), F.coalesce(F.get_json_object(json, "$.k").cast("long"), F.lit(-1).cast("long")).alias("k"))
 
 
 @query("SELECT event_id, array_to_string([r for r in ['k', 'value', 'event'] if NOT list_contains(json_keys(props), r)], ',') AS missing FROM events")
