@@ -41,7 +41,7 @@ SELECT w.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS
 
 _PREFIX = "^(?:[A-Za-z][A-Za-z0-9+.-]*://)?"
 
-OP9 = f"""
+OP9 = rf"""
 WITH u AS (SELECT page_id AS p, md5(coalesce(html, '')) AS digest, octet_length(encode(html)) AS size, regexp_replace(trim(url), '#.*$', '') AS url FROM pages),
 c AS (SELECT *, '"' || substring(digest, 1, 16) || '"' AS tag, 'day ' || (p % 365) AS day,
 regexp_replace(regexp_replace(lower(regexp_extract(url, '{_PREFIX}([^/?]*)', 1)), '^www[0-9]*\.', ''), ':(80|443)$', '') || regexp_replace(regexp_extract(url, '{_PREFIX}[^/?]*([^?]*)', 1), '/(index\.html?)?$', '') AS base,
@@ -52,7 +52,7 @@ SELECT 2 * p + 1, canonical_url, 'revisit', NULL, NULL, NULL, NULL, CASE WHEN p
 x AS (SELECT *, last_value(CASE WHEN kind = 'response' THEN {{'id': id, 'digest': digest, 'tag': tag, 'day': day, 'size': size}} END IGNORE NULLS) OVER (PARTITION BY canonical_url ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM r),
 y AS (SELECT *, CASE WHEN kind = 'response' THEN 'full' WHEN f IS NULL THEN 'missing' WHEN mine IS NOT NULL THEN CASE WHEN regexp_replace(mine, '^W/', '') = f.tag THEN 'resolved' ELSE 'stale' END
 WHEN mine_day IS NOT NULL THEN CASE WHEN mine_day = f.day THEN 'resolved' ELSE 'stale' END ELSE 'unvalidated' END AS outcome FROM x)
-SELECT id AS record_id, canonical_url, kind, CASE WHEN outcome = 'resolved' THEN f.id END AS refers_to, outcome, CASE WHEN outcome = 'resolved' THEN f.digest ELSE digest END AS payload_digest,
+SELECT id AS record_id, canonical_url, kind, CASE WHEN outcome = 'resolved' THEN f.id ELSE -1 END AS refers_to, outcome, CASE WHEN outcome = 'resolved' THEN f.digest ELSE digest END AS payload_digest,
 CASE WHEN kind = 'response' THEN concat_ws(chr(10), 'content-length: ' || size, 'content-type: text/html', 'date: ' || id, 'etag: ' || tag, 'last-modified: ' || day)
 WHEN outcome = 'resolved' THEN concat_ws(chr(10), 'cache-control: max-age=60', 'content-length: ' || f.size, 'content-type: text/html', 'date: ' || id, 'etag: ' || coalesce(mine, f.tag), 'last-modified: ' || f.day)
 ELSE concat_ws(chr(10), 'cache-control: max-age=60', 'content-length: 0', 'date: ' || id, 'etag: ' || mine, 'last-modified: ' || mine_day) END AS headers FROM y

@@ -123,8 +123,9 @@ def captures_of_pages(pages: DataFrame) -> DataFrame:
 
 
 def revisit_digest(pages: DataFrame) -> DataFrame:
+    """What became of each record of ``captures_of_pages``; refers_to is -1 where there is none."""
     made = resolve_revisits(captures_of_pages(pages))
-    return made.select("record_id", "canonical_url", "kind", "refers_to", "outcome", "payload_digest", header_lines(F.col("headers")).alias("headers"))
+    return made.select("record_id", "canonical_url", "kind", F.coalesce("refers_to", F.lit(-1).cast("long")).alias("refers_to"), "outcome", "payload_digest", header_lines(F.col("headers")).alias("headers"))
 
 
 RECORD = "record_id long, url string, captured string, kind string, status int, headers map<string,string>, payload_digest string, payload binary"
