@@ -45,8 +45,9 @@ def block_count(docs: DataFrame) -> int:
 
 
 def in_blocks(docs: DataFrame, count: int, others: list[str] | None = None) -> DataFrame:
-    """(block, doc_id, text, other columns); rows are dealt by a hash, so each block has rows of every source."""
-    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).alias("block"), "doc_id", "text", *(others or []))
+    """(block, doc_id, text, and a struct of other columns if there are any); rows are dealt by a hash, so each block has rows of every source."""
+    carried = [F.struct(*others).alias("others")] if others else []
+    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).alias("block"), "doc_id", "text", *carried)
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -54,15 +55,23 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Values with their first bytes side by side, then their second ones: small values shrink to little in the shuffle's codec."""
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T).tobytes()
+
+
+def unplanes(data: bytes, dtype) -> np.ndarray:
+    dtype = np.dtype(dtype)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(dtype.itemsize, len(data) // dtype.itemsize).T).view(dtype).ravel()
+
+
 def packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences with equal bytes side by side, which the shuffle's codec shortens."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Sorted keys as the planes of their differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(unplanes(data, np.uint64), dtype=np.uint64)
 
 
 REQUEST = "block long, shard long, keys binary, vals binary"
@@ -78,7 +87,7 @@ def request_rows(block: int, keys: np.ndarray, vals: np.ndarray, shards: int) ->
             "block": pa.array(np.full(len(full), block), pa.int64()),
             "shard": pa.array(full, pa.int64()),
             "keys": pa.array([packed(keys[cuts[s] : cuts[s + 1]]) for s in full], pa.binary()),
-            "vals": pa.array([vals[cuts[s] : cuts[s + 1]].tobytes() for s in full], pa.binary()),
+            "vals": pa.array([planes(vals[cuts[s] : cuts[s + 1]]) for s in full], pa.binary()),
         }
     )
 
@@ -86,7 +95,7 @@ def request_rows(block: int, keys: np.ndarray, vals: np.ndarray, shards: int) ->
 def combined(table: pa.Table, dtype, combine: Callable[[np.ndarray, np.ndarray], np.ndarray], respond: Callable[[np.ndarray], np.ndarray] | None = None) -> pa.Table:
     """Answers of one shard. combine: (values ordered by key, where each key starts) -> one value per key; respond: what is answered of it."""
     keys = [unpacked(x) for x in table["keys"].to_pylist()]
-    vals = np.concatenate([np.frombuffer(x, dtype) for x in table["vals"].to_pylist()])
+    vals = np.concatenate([unplanes(x, dtype) for x in table["vals"].to_pylist()])
     ends = np.cumsum([0] + [len(k) for k in keys])
     every = np.concatenate(keys)
     order = np.argsort(every, kind="stable")
@@ -102,7 +111,7 @@ def combined(table: pa.Table, dtype, combine: Callable[[np.ndarray, np.ndarray],
         {
             "block": table["block"],
             "shard": table["shard"],
-            "payload": pa.array([back[ends[k] : ends[k + 1]].tobytes() for k in range(len(keys))], pa.binary()),
+            "payload": pa.array([planes(back[ends[k] : ends[k + 1]]) for k in range(len(keys))], pa.binary()),
         }
     )
 
@@ -111,7 +120,7 @@ def answers(table: pa.Table, dtype) -> np.ndarray:
     """The replies to one block, in the order of its sorted keys."""
     order = np.argsort(table["shard"].to_numpy())
     payload = table["payload"].to_pylist()
-    return np.frombuffer(b"".join(payload[k] for k in order), dtype)
+    return np.concatenate([np.empty(0, dtype), *(unplanes(payload[k], dtype) for k in order)])
 
 
 def ask(
