@@ -34,12 +34,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Without the passages that an earlier document has; documents of which nothing is left go."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     kept = substrings.keep_first(docs, others=others).where("n_removed = 0 or n_removed < n_words")
-    return _with_text(kept, docs, F.col("kept"))
+    made = [F.col("doc_id"), F.col("kept").alias("text"), *(F.col("others")[c].alias(c) for c in others)]
+    return _with_text(kept.select(*made), docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With every secret replaced by a mark."""
-    return _with_text(secrets.redacted(docs), docs, F.col("text"))
+    return _with_text(secrets.redacted(docs), docs)
 
 
 def curve_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +48,10 @@ def curve_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
-def _with_text(table: DataFrame, docs: DataFrame, text) -> DataFrame:
-    made = {"text": text.alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
-    return table.select(*(made.get(c, F.col(c)) for c in docs.columns))
+def _with_text(table: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, with the length of the new text."""
+    length = F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars")
+    return table.select(*(length if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 STAGES = [

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sparrel.llm.blocks import answers, ask, block_count, finish, in_blocks, packed, unpacked
+from sparrel.llm.blocks import answers, ask, block_count, finish, in_blocks, packed, planes, unpacked, unplanes
 from sparrel.llm.words import hashed_texts, mix, seeded, window_hashes, words
 
 WINDOW = 50
@@ -102,7 +102,7 @@ REPEATS = "block long, keys binary, least binary"
 
 
 def keep_first(docs: DataFrame, window: int = WINDOW, others: list[str] | None = None, with_text: bool = True) -> DataFrame:
-    """One row per document: its words, how many are removed, what is left, joined by single spaces, and the columns ``others``.
+    """One row per document: its words, how many are removed, what is left, joined by single spaces, and a struct of the columns ``others``.
 
     A word goes if it lies in a window of ``window`` consecutive words that also starts in a
     document with a smaller doc_id. Rows without doc_id come after all others and are
@@ -111,9 +111,9 @@ def keep_first(docs: DataFrame, window: int = WINDOW, others: list[str] | None =
     ``kept`` is the text as it was.
     """
     count = block_count(docs)
-    others = others or []
     blocks = in_blocks(docs, count, others)
-    schema = T.StructType([*T.StructType.fromDDL(KEPT).fields, *docs.select(*others).schema.fields])
+    carried = [f for f in blocks.schema.fields if f.name == "others"]
+    schema = T.StructType([*T.StructType.fromDDL(KEPT).fields, *carried])
 
     def ask_anchors(table: pa.Table):
         _, ends, first, anchor = _window_rows(table, window)
@@ -138,7 +138,7 @@ def keep_first(docs: DataFrame, window: int = WINDOW, others: list[str] | None =
 
     def least_of(table: pa.Table) -> pa.Table:
         keys = [unpacked(x) for x in table["keys"].to_pylist()]
-        vals = np.concatenate([np.frombuffer(x, VALUE) for x in table["vals"].to_pylist()])
+        vals = np.concatenate([unplanes(x, VALUE) for x in table["vals"].to_pylist()])
         ends = np.cumsum([0] + [len(k) for k in keys])
         every = np.concatenate(keys)
         order = np.argsort(every, kind="stable")
@@ -154,12 +154,12 @@ def keep_first(docs: DataFrame, window: int = WINDOW, others: list[str] | None =
             if on.any():
                 out["block"].append(block)
                 out["keys"].append(packed(keys[k][on]))
-                out["least"].append(least[part][on].tobytes())
+                out["least"].append(planes(least[part][on]))
         return pa.table([pa.array(out["block"], pa.int64()), pa.array(out["keys"], pa.binary()), pa.array(out["least"], pa.binary())], names=list(out))
 
     def rows(table: pa.Table, replies: pa.Table) -> pa.Table:
         texts, ids = table["text"].to_pylist(), _ids(table)
-        found = [(unpacked(k), np.frombuffer(v, np.int64)) for k, v in zip(replies["keys"].to_pylist(), replies["least"].to_pylist(), strict=True)]
+        found = [(unpacked(k), unplanes(v, np.int64)) for k, v in zip(replies["keys"].to_pylist(), replies["least"].to_pylist(), strict=True)]
         keys = np.concatenate([k for k, _ in found]) if found else np.empty(0, np.uint64)
         least = np.concatenate([v for _, v in found]) if found else np.empty(0, np.int64)
         order = np.argsort(keys)
@@ -191,7 +191,7 @@ def keep_first(docs: DataFrame, window: int = WINDOW, others: list[str] | None =
         columns = zip(*out, strict=True) if out else [[], [], [], []]
         types = (pa.int64(), pa.int64(), pa.string(), pa.string())
         made = (pa.array(c, t) for c, t in zip(columns, types, strict=True))
-        return pa.table([table["doc_id"].cast(pa.int64()), *made, *(table[c] for c in others)], names=schema.fieldNames())
+        return pa.table([table["doc_id"].cast(pa.int64()), *made, *(table[f.name] for f in carried)], names=schema.fieldNames())
 
     shared = ask(blocks, ask_anchors, np.add.reduceat, np.uint8, count, respond=lambda sums: sums > 1)
     asked = ask(blocks, ask_windows, None, VALUE, count, earlier=shared)

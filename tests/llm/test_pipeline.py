@@ -50,7 +50,7 @@ def test_stages(spark, small):
 
 
 def test_missing_and_empty_texts_pass(spark, small):
-    docs = spark.createDataFrame([(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "a b c", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "a b c", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(1) for c in ("kept", "block", "n_words", "others", "node", "key")})
     for _, stage in corpus_pipeline.STAGES[:4]:
         docs = stage(spark, docs, small)
         assert sorted(r["doc_id"] for r in docs.collect()) == [1, 2, 3]
