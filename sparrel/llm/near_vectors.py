@@ -6,7 +6,7 @@ decoding block by block, keeping only beginnings that the best rest can still br
 the bound. Vectors of a label are joined on caps, and each pair in one is verified by its cosine in double
 precision; a pair in several caps counts in the first. Equal vectors are one class throughout.
 
-The number of code words follows the largest label, so a cap holds about one vector by chance
+The number of code words follows the largest label, so few caps hold two vectors by chance
 at any size. A cap that holds many (a dense cluster) is cut into cells of two parts each.
 """
 
@@ -27,16 +27,18 @@ CAPS = 24
 #: Caps that a vector is in at least, and by how many standard deviations of a random cosine its bound falls in a step.
 LEAST, STEP = 12, 0.1
 #: Code words of a block, at most; with more vectors there are more blocks.
-BLOCK_WORDS = 1024
+BLOCK_WORDS = 4096
+#: Vectors that a cap holds by chance: so few that nearly all caps with two hold near ones.
+LOAD = 0.1
 #: Vectors of a part of a cap's cell.
 PART = 1024
 SEED = 11
 
 
 def code_shape(largest: int, dimensions: int, caps: int = CAPS) -> tuple[int, int]:
-    """(blocks, words of each) so that a cap holds about one of ``largest`` vectors by chance."""
+    """(blocks, words of each) so that a cap holds about LOAD of ``largest`` vectors by chance."""
     for blocks in range(min(2, dimensions), dimensions + 1):
-        words = int(np.ceil((caps * max(largest, 64)) ** (1 / blocks)))
+        words = int(np.ceil((caps * max(largest, 64) / LOAD) ** (1 / blocks)))
         if words <= BLOCK_WORDS or blocks == dimensions:
             return blocks, max(2, min(words, BLOCK_WORDS))
     return 1, 2
@@ -54,7 +56,7 @@ class ProductCode:
     def __init__(self, dimensions: int, blocks: int, words: int, caps: int = CAPS, seed: int = SEED):
         rng = np.random.default_rng(seed + 1000 * dimensions)
         self.cuts = np.linspace(0, dimensions, blocks + 1).astype(int)
-        self.words, self.code = words, []
+        self.words, self.code, self.signs = words, [], rng.choice([-1.0, 1.0], dimensions)
         for low, high in zip(self.cuts[:-1], self.cuts[1:], strict=True):
             c = rng.standard_normal((words, high - low))
             self.code.append(c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(blocks))
@@ -64,7 +66,10 @@ class ProductCode:
         """Sorted numbers of the code words whose cosine with the vector reaches ALPHA.
 
         A vector that few words are near to gets a lower bound, step by step, until LEAST do.
+        Vectors are turned first, by signs and a Hartley transform, which spreads each dimension over all blocks.
         """
+        turned = np.fft.fft(unit * self.signs, norm="ortho")
+        unit = turned.real - turned.imag
         scores = [c @ unit[low:high] for c, low, high in zip(self.code, self.cuts[:-1], self.cuts[1:], strict=True)]
         order = [np.argsort(-s) for s in scores]
         ranked = [s[o] for s, o in zip(scores, order, strict=True)]
