@@ -275,8 +275,7 @@ def search_groups(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     component are the queries, sent to each of them. No pairs are made.
     """
     partitions = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = open_.groupBy("token").agg(F.min("node").alias("first"))
-    grouped = components(open_.join(first, "token").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    grouped = components(open_.select(F.col("node").alias("a"), F.col("token").alias("b")))  # a list is one more node
     nodes = open_.select("node", "component").distinct().join(grouped.select("node", F.col("component").alias("unit")), "node")
     by_component = nodes.groupBy("unit", "component").agg(F.count("*").alias("size"))
     units = by_component.groupBy("unit").agg(F.ceil(F.sum("size") / INDEXED).alias("parts"), F.max_by("component", F.struct("size", "component")).alias("largest"))
