@@ -25,6 +25,11 @@ from sparrel.llm.words import _MUL, seeded, word_hashes, words
 
 #: Weight of the shorter context. A small one trusts contexts seen once or twice: on held-out text of sf0.1 it scores below the base.
 ORDER, MU = 2, 300.0
+#: Order of the registered query.
+PRODUCTION_ORDER = 3
+#: n-grams up to this length are asked for; of longer ones, those of which every pair of words also occurs in other blocks.
+#: The others occur in no other block, and the block counts them itself: nothing is left out.
+SHORT = 2
 #: Key of the token that ends each text (no word has this hash but by a chance of 2**-64).
 END = np.uint64(0x5DEECE66D1234567)
 #: Texts are walked side by side in segments of so many tokens.
@@ -163,31 +168,68 @@ def score_documents(docs: DataFrame, order: int = ORDER, mu: float = MU, held_ou
         tokens, ends = token_stream(table["text"].to_pylist())
         return gram_keys(tokens, ends, order), ends, np.asarray([held_out(d) for d in table["doc_id"].to_pylist()])
 
-    def request(table: pa.Table):
-        keys, ends, out = keyed(table)
-        learned = np.tile(~np.repeat(out, np.diff(ends)), order)
-        every = np.concatenate(keys)
+    def named(keys: list[np.ndarray], learned: np.ndarray):
+        """Distinct keys, how often training texts of the block have them, which places have one and which it is."""
+        every = np.concatenate([np.empty(0, np.uint64), *keys])
         real = every != 0
         distinct, back = np.unique(every[real], return_inverse=True)
-        return distinct, np.bincount(back, learned[real], len(distinct))
+        return distinct, np.bincount(back, np.tile(learned, len(keys))[real], len(distinct)).astype(np.int64), real, back
+
+    def placed(values: np.ndarray, real: np.ndarray, back: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(real), np.int64)
+        out[real] = values[back]
+        return out
+
+    def summed(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Twice the sum, and 1 where more than one block names the key."""
+        return 2 * np.add.reduceat(values, starts) + (np.diff(starts, append=len(values)) > 1)
+
+    def longer(keys: list[np.ndarray], learned: np.ndarray, replies: np.ndarray):
+        """Counts by order as far as the block knows them, and the distinct keys of longer n-grams that others may hold, with their own counts."""
+        distinct, _, real, back = named(keys[:SHORT], learned)
+        answered = np.split(placed(replies[: len(distinct)].astype(np.int64), real, back), len(keys[:SHORT]))
+        counts = [x >> 1 for x in answered]
+        if order <= SHORT:
+            return counts, np.empty(0, np.uint64), np.empty(0, np.int64), None, None
+        elsewhere = (answered[-1] & 1) > 0
+        everywhere, asked = elsewhere, []
+        for m in range(SHORT, order):
+            everywhere = elsewhere & np.concatenate([[False], everywhere[:-1]])
+            asked.append(np.where(everywhere, keys[m], np.uint64(0)))
+        of_block, n, there, which = named(keys[SHORT:], learned)
+        counts += np.split(placed(n, there, which), order - SHORT)
+        more, own, real, back = named(asked, learned)
+        return counts, more, n[np.searchsorted(of_block, more)], real, back
+
+    def request(table: pa.Table):
+        keys, ends, out = keyed(table)
+        distinct, own, _, _ = named(keys[:SHORT], ~np.repeat(out, np.diff(ends)))
+        return distinct, own
+
+    def request_longer(table: pa.Table, replies: pa.Table):
+        keys, ends, out = keyed(table)
+        _, more, own, _, _ = longer(keys, ~np.repeat(out, np.diff(ends)), answers(replies, np.uint32))
+        return more, own
 
     def rows(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):
             return pa.table({f.split()[0]: pa.nulls(0, t) for f, t in zip(SCORES.split(", "), TYPES, strict=True)})
         keys, ends, out = keyed(table)
-        every = np.concatenate(keys)
-        real = every != 0
-        _, back = np.unique(every[real], return_inverse=True)
-        counts = np.zeros(len(every), np.int64)
-        counts[real] = answers(replies, np.uint32)[back]
-        by_order = np.split(counts, order)
+        replied = answers(replies, np.uint32)
+        by_order, more, _, real, back = longer(keys, ~np.repeat(out, np.diff(ends)), replied)
+        if len(more):
+            told = np.split(placed(replied[-len(more) :].astype(np.int64), real, back), order - SHORT)
+            by_order[SHORT:] = [np.where(r, t, c) for r, t, c in zip(np.split(real, order - SHORT), told, by_order[SHORT:], strict=True)]
         base = np.add.reduceat(np.log10((by_order[0] + 1.0) / (total + types + 1.0)), ends[:-1])
         known = np.add.reduceat((by_order[0] > 0).astype(np.int64), ends[:-1])
         score = Automaton(by_order, total, types, mu).walk(ends)
         columns = [table["doc_id"].cast(pa.int64()), pa.array(out), pa.array(np.diff(ends)), pa.array(known), pa.array(np.full(len(out), total)), pa.array(base), pa.array(score)]
         return pa.table(columns, names=[f.split()[0] for f in SCORES.split(", ")])
 
-    counted = ask(blocks, request, np.add.reduceat, np.uint32, count)
+    counted = ask(blocks, request, summed, np.uint32, count)
+    if order > SHORT:
+        rest = ask(blocks, request_longer, np.add.reduceat, np.uint32, count, earlier=counted)
+        counted = counted.union(rest.withColumn("shard", F.col("shard") + count))  # answers come after those of the first question
     return finish(blocks, counted, rows, SCORES)
 
 

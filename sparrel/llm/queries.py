@@ -22,7 +22,7 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.score_documents(table(spark, sf_dir, "documents"))
+    return language_model.score_documents(table(spark, sf_dir, "documents"), language_model.PRODUCTION_ORDER)
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

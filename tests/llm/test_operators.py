@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 import sys
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -11,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparrel.llm import blocks, components, language_model, media, near_vectors, ngram_join, packing, pieces, quality, secrets, substrings, warc, words
-from sparrel.llm.queries import TOKENIZERS
+from sparrel.llm.queries import TOKENIZERS, op2_language_model
 
 PIECES, BPE = f"{TOKENIZERS}/piece_bpe_32k.model", f"{TOKENIZERS}/byte_bpe_50k.json"
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "one"), (6, "One two three four"), (7, "a " * 300), (8, "a " * 400), (None, "nobody's own words stand here now"), (9, "é" * 5000), (4, "one")]
@@ -122,6 +124,38 @@ def test_automaton_is_normalized():
     assert mass == pytest.approx(1)
 
 
+def test_query_scores_trigrams(spark, small, real):
+    _, rows = real
+    tokens = {d: [*brute.lowered(t), None] for d, t in rows}
+    grams = [Counter() for _ in range(3)]
+    for d, w in tokens.items():
+        if not language_model.is_held_out(d):
+            for m, c in enumerate(grams):
+                c.update(zip(*(w[k:] for k in range(m + 1)), strict=False))
+    total, types, mu = sum(grams[0].values()), len(grams[0]), language_model.MU
+    got = by_id(op2_language_model(spark, small), "score")
+    assert got.keys() == tokens.keys()
+    for d, w in tokens.items():
+        score = 0.0
+        for k in range(len(w)):
+            p = (grams[0][w[k],] + 1) / (total + types + 1)
+            for m in (1, 2):
+                context = tuple(w[k - m : k])
+                if k >= m and grams[m - 1][context]:
+                    p = (grams[m][*context, w[k]] + mu * p) / (grams[m - 1][context] + mu)
+            score += math.log10(p)
+        assert got[d] == pytest.approx((score,))
+
+
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_any_order_counts_in_blocks_as_in_one(monkeypatch, real, order):
+    df, _ = real
+    cut = by_id(language_model.score_documents(df, order), "score")
+    monkeypatch.setattr(language_model, "block_count", lambda docs: 1)
+    whole = by_id(language_model.score_documents(df, order), "score")
+    assert cut.keys() == whole.keys() and all(cut[d] == pytest.approx(whole[d]) for d in cut)
+
+
 def test_language_model_of_odd_rows(documents):
     got = language_model.score_documents(documents(ODD)).collect()
     assert len(got) == len(ODD) and {r["n_tokens"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
