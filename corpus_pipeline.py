@@ -24,10 +24,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest doc_id; documents without words are no copies."""
-    groups = ngram_join.ngram_jaccard_join(docs)
-    firsts = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of near copies, one row: that with the smallest doc_id, nulls last; rows without words are no copies."""
+    return ngram_join.first_of_copies(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,8 +26,9 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrel.llm.blocks import answers, ask, block_count, finish, in_blocks
@@ -130,14 +131,14 @@ def _block_sets(table: pa.Table, size: int) -> tuple[list, list, list]:
     return sets, nodes, first
 
 
-FEATURES = "kind int, doc_id long, node long, n long, token long, held long, rest long, tokens binary"
+FEATURES = "kind int, row long, doc_id long, node long, n long, token long, held long, rest long, tokens binary"
 DOCUMENT, POSTING, SET = 0, 1, 2
 
 
 def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Rows of three kinds: each document's node and size; postings of nodes' prefixes; nodes' shared shingles."""
     count = block_count(docs)
-    blocks = in_blocks(docs, count)
+    blocks = in_blocks(docs.select("doc_id", "text", row_key().alias("row")), count, ["row"])
 
     def request(table: pa.Table):
         sets, _, first = _block_sets(table, size)
@@ -148,12 +149,12 @@ def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def rows(table: pa.Table, replies: pa.Table) -> pa.Table:
         sets, nodes, first = _block_sets(table, size)
         parts: list[pa.Table] = []
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("held", pa.int64()), ("rest", pa.int64()), ("tokens", pa.binary())])
+        schema = pa.schema([("kind", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("held", pa.int64()), ("rest", pa.int64()), ("tokens", pa.binary())])
 
         def add(rows_: int, **columns):
             parts.append(pa.table([columns[f.name] if f.name in columns else pa.nulls(rows_, f.type) for f in schema], schema=schema))
 
-        add(len(sets), kind=pa.array([DOCUMENT] * len(sets), pa.int32()), doc_id=table["doc_id"].cast(pa.int64()).combine_chunks(), node=pa.array(nodes, pa.int64()), n=pa.array([len(s) for s in sets], pa.int64()))
+        add(len(sets), kind=pa.array([DOCUMENT] * len(sets), pa.int32()), row=pc.struct_field(table["others"].combine_chunks(), "row"), doc_id=table["doc_id"].cast(pa.int64()).combine_chunks(), node=pa.array(nodes, pa.int64()), n=pa.array([len(s) for s in sets], pa.int64()))
         if first:
             every = np.concatenate([sets[k] for k in first])
             keys, back = np.unique(every, return_inverse=True)
@@ -296,10 +297,42 @@ def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int
     component of only such rows has a null id. Repeated rows return as often as they occur.
     Sets are compared by 64-bit hashes of shingles.
     """
+    documents, named = _grouped(docs, size, percent)
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_node = named.join(smallest, "component").select("node", "component_id")
+    return documents.join(of_node, "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    )
+
+
+def first_of_copies(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """Of each component of ``ngram_jaccard_join`` one row: the least by doc_id (nulls last), then by hash of id and text.
+
+    Rows are chosen, not ids: of rows that repeat an id and are copies one stays, and rows with different texts under one id
+    are judged apart. A component of rows with null ids keeps one of them. Rows without words are no copies and all stay.
+    """
+    documents, named = _grouped(docs, size, percent)
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    least = documents.where("node is not null").groupBy("node").agg(F.min(rank).alias("least"))
+    chosen = least.join(named.select("node", "component"), "node").groupBy("component").agg(F.min("least").alias("least"))
+    worded = chosen.select(F.col("least.row").alias("_row"), F.lit(True).alias("_single"))
+    bare = documents.where("node is null").select(F.col("row").alias("_row"), F.lit(False).alias("_single")).distinct()
+    # equal rows have one key; the window needs no exchange beyond the join's
+    found = docs.withColumn("_row", row_key()).join(worded.union(bare), "_row")
+    nth = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
+    return found.withColumn("_nth", nth).where("not _single or _nth = 1").select(*docs.columns)
+
+
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def _grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, node, n) of each row of ``docs``, and (node, component, doc_id) of each node: its component and its smallest id."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = materialize(features(docs, size, percent), "ngram-features", ["kind"])
-    documents = made.where(F.col("kind") == DOCUMENT).select("doc_id", "node", "n")
+    documents = made.where(F.col("kind") == DOCUMENT).select("row", "doc_id", "node", "n")
     sets = made.where(F.col("kind") == SET).select("node", "n", "tokens").dropDuplicates(["node"])
     postings = (
         made.where(F.col("kind") == POSTING)
@@ -318,8 +351,4 @@ def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int
     final = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
     least = documents.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     named = least.join(final, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id")
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_node = named.join(smallest, "component").select("node", "component_id")
-    return documents.join(of_node, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    return documents, named

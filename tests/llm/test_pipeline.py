@@ -49,6 +49,16 @@ def test_stages(spark, small):
     assert made.select("doc_id").distinct().count() == masked.count()
 
 
+def test_one_row_of_each_group_of_copies(spark, small, documents):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, "a text whose rows have no id at all"), (None, "a text whose rows have no id at all"), (None, "this one is alone and has none"), (7, "one text under seven here"), (7, "quite another text under seven"), (3, text), (3, text), (3, text + " more"), (9, text), (None, text), (None, None), (None, None), (5, ""), (5, "")]
+    got = corpus_pipeline.near_duplicates(spark, documents(rows), small).collect()
+    told = sorted(((r["doc_id"], r["text"]) for r in got), key=str)
+    least = [r for r in told if r[0] == 3]
+    assert len(least) == 1 and least[0][1] in (text, text + " more")
+    assert sorted((r for r in told if r[0] != 3), key=str) == sorted([rows[0], rows[2], rows[3], rows[4], (None, None), (None, None), (5, ""), (5, "")], key=str)
+
+
 def test_missing_and_empty_texts_pass(spark, small):
     docs = spark.createDataFrame([(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "a b c", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(1) for c in ("kept", "block", "n_words", "others", "node", "key")})
     for _, stage in corpus_pipeline.STAGES[:4]:
