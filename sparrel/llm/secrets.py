@@ -13,6 +13,9 @@ less than REACH apart always meet, no pairs are made, and a row's work grows wit
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +27,11 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 #: Weak parts: an upper-case id with a digit, a secret with both cases and a digit, an address with a host.
-KEY_ID = r"(?<![A-Za-z0-9])(?=[A-Z0-9]{0,40}[0-9])[A-Z][A-Z0-9]{15,40}(?![A-Za-z0-9])"
-KEY_SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,99}[0-9])(?=[A-Za-z0-9+/_-]{0,99}[a-z])(?=[A-Za-z0-9+/_-]{0,99}[A-Z])[A-Za-z0-9+/_-]{32,100}(?![A-Za-z0-9+/_-])"
-ENDPOINT = r"(?<![A-Za-z0-9])(?:https?|s3|redis|postgres|mysql|amqp)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{4,200}"
+#: Runs of any length; which characters one must have (NEEDS) is judged on the run found.
+KEY_ID = r"(?<![A-Za-z0-9])[A-Z][A-Z0-9]{15,}(?![A-Za-z0-9])"
+KEY_SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}"
+NEEDS = {"key_id": ("[0-9]",), "key_secret": ("[0-9]", "[a-z]", "[A-Z]")}
+ENDPOINT = r"(?<![A-Za-z0-9])(?:https?|s3|redis|postgres|mysql|amqp)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{4,}"
 #: Kinds in the order that settles equal starts.
 KINDS = ("assign", "access", "hex", "key_id", "key_secret", "endpoint")
 
@@ -53,7 +58,7 @@ def _spans(text: Column, kind: str, pattern: str, least: int = 0) -> Column:
         parts = F.arrays_zip(found.alias("m"), starts.alias("s"), sizes.alias("n"))
         kept = F.filter(parts, lambda p: p["m"].isNotNull() & (p["n"] >= least))
     else:
-        kept = F.filter(parts, lambda p: p["m"].isNotNull() & (F.length(p["m"]) >= least))
+        kept = F.filter(parts, lambda p: reduce(and_, (F.regexp_like(p["m"], F.lit(x)) for x in NEEDS.get(kind, ())), p["m"].isNotNull() & (F.length(p["m"]) >= least)))
     spans = F.transform(kept, lambda p: F.struct(p["s"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (p["s"] + F.length(p["m"])).alias("end")))
     return F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(F.array().cast(SPAN)).cast(SPAN)
 

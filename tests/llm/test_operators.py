@@ -244,6 +244,15 @@ def test_parts_are_reported_together(documents, text, kinds):
     assert [(s["start"], s["rank"], s["kind"], s["end"]) for s in row["spans"] if s["rank"] < 3] == whole
 
 
+def test_weak_parts_of_any_length(documents):
+    key, secret, address = "Q" + "W7" * 40, SECRET * 4, "https://db.example.com/" + "a1/" * 150
+    texts = [f"{KEY} {secret} .", f"{key} {SECRET} .", f"{address} {KEY} {SECRET} .", f"{KEY} {'g' * 120}", f"{'Q' * 50} {SECRET}"]
+    docs = documents(list(enumerate(texts)))
+    found = by_id(secrets.with_spans(docs), "spans")
+    assert [[texts[d][s["start"] : s["end"]] for s in found[d][0]] for d in range(5)] == [[KEY, secret], [key, SECRET], [address, KEY, SECRET], [], []]
+    assert [r["text"] for r in secrets.redacted(docs).orderBy("doc_id").collect()][:3] == ["[secret] [secret] .", "[secret] [secret] .", "[secret] [secret] [secret] ."]
+
+
 def test_redaction(documents):
     texts = ["x token=abcdefghijklmnop y", None, "", "plain", "é " + "f" * 20 + " password: " + "0123456789abcdef" * 2]
     got = [r["text"] for r in secrets.redacted(documents(list(enumerate(texts)))).orderBy("doc_id").collect()]
