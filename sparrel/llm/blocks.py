@@ -50,6 +50,49 @@ def in_blocks(docs: DataFrame, count: int, others: list[str] | None = None) -> D
     return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).alias("block"), "doc_id", "text", *carried)
 
 
+#: UTF-8 bytes of text that a task gathers before it passes them on by block.
+GATHERED_BYTES = 16 << 20
+DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+
+def chunked(docs: DataFrame, count: int) -> DataFrame:
+    """(block, rows): as ``in_blocks`` deals, but a task's rows of a block go together, as a compressed Arrow stream of doc_id and text."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def out():
+            table = pa.Table.from_batches(held).combine_chunks()
+            block = table["block"].to_numpy()
+            by_block = np.argsort(block, kind="stable")
+            table, block = table.take(pa.array(by_block)), block[by_block]
+            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            streams = []
+            for a, b in zip(starts, np.append(starts[1:], len(block)), strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, DOCUMENTS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                    stream.write_table(table[int(a) : int(b)].select(["doc_id", "text"]).cast(DOCUMENTS).combine_chunks())
+                streams.append(sink.getvalue().to_pybytes())
+            return pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array(streams, pa.binary())], ["block", "rows"])
+
+        for b in batches:
+            if len(b):
+                held.append(b)
+                size += b.nbytes
+            if size > GATHERED_BYTES:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    return in_blocks(docs, count).mapInArrow(run, "block long, rows binary")
+
+
+def dechunked(table: pa.Table) -> pa.Table:
+    """The documents of a block's streams."""
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table["rows"].to_pylist()])
+
+
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     """In the order of the keys: the shards of sorted keys never fall."""
     return ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
@@ -65,6 +108,15 @@ def unplanes(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(dtype.itemsize, len(data) // dtype.itemsize).T).view(dtype).ravel()
 
 
+def squeezed(data: bytes) -> bytes:
+    """Compressed, behind its length: where the shuffle's own codec is a weak one, or has none of a row's neighbours to look at."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def packed(keys: np.ndarray) -> bytes:
     """Sorted keys as the planes of their differences."""
     return planes(np.diff(keys, prepend=np.uint64(0)))

@@ -2,17 +2,20 @@
 
 States are word contexts seen in training; an arc from a context over a word has the
 log probability of that n-gram, and a context's failure arc, to the context without its
-first word, has the log weight left to words not seen after it. Smoothing is by a
-Dirichlet prior: p(w | h) = (c(h w) + MU p(w | h')) / (c(h) + MU), down to
-p(w) = (c(w) + 1) / (N + V + 1). A text is scored in one pass from left to right that
-carries the state.
+first word, has the log weight left to words not seen after it. Smoothing is by absolute
+discounting: p(w | h) = (max(c(h w) - D, 0) + D n(h) p(w | h')) / c(h), n(h) being how many different
+words follow h, down to p(w) = (c(w) + 1) / (N + V + 1); D = n1 / (n1 + 2 n2) is fitted for each length to
+how many n-grams were seen once and twice. A text is scored in one pass from left to right
+that carries the state.
 
 The model is as large as the corpus, so no task holds it: each block of documents asks for
-the counts of its own n-grams and builds the part of the automaton that its texts reach.
+the counts of its own n-grams, then for n(h) of its contexts, and builds the part of the automaton that its
+texts reach. For n(h), each n-gram counts in one block, its owner: the first that learns it.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -20,22 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrel.llm.blocks import answers, ask, block_count, finish, in_blocks, packed, shard_of, unpacked
+from sparrel.llm.blocks import chunked, dechunked, finish, planes, squeezed, trimmed, unplanes, unsqueezed
 from sparrel.llm.words import _MUL, seeded, word_hashes, words
 
-#: Weight of the shorter context. A small one trusts contexts seen once or twice: on held-out text of sf0.1 it scores below the base.
-ORDER, MU = 2, 300.0
-#: Order of the registered query.
-PRODUCTION_ORDER = 3
-#: n-grams up to this length are asked for; of longer ones, those of which every pair of words also occurs in other blocks.
-#: The others occur in no other block, and the block counts them itself: nothing is left out.
-SHORT = 2
+ORDER = 3
+#: UTF-8 bytes of text in a block on average, and at least where there are fewer blocks than shuffle partitions.
+BLOCK_BYTES, LEAST_BYTES = 8 << 20, 256 << 10
 #: Key of the token that ends each text (no word has this hash but by a chance of 2**-64).
 END = np.uint64(0x5DEECE66D1234567)
+#: Bits of an n-gram's key beyond those that number the corpus's bytes: two of the corpus share a key with a chance under 2**-20.
+SPARE_BITS = 20
 #: Texts are walked side by side in segments of so many tokens.
 SEGMENT = 512
-#: Distinct words that a counting task gathers before it passes them on.
-GATHERED = 2_000_000
+#: Discounts stay within these bounds, so that every seen context leaves weight to words not seen after it.
+DISCOUNTS = 0.05, 0.95
 
 
 def is_held_out(doc_id: int | None, modulus: int = 7, rest: int = 2) -> bool:
@@ -49,188 +50,220 @@ def token_stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), ends
 
 
-def gram_keys(tokens: np.ndarray, ends: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each length m up to the order, the key of the m-gram ending at each token (0 where the text is too short)."""
-    place = np.arange(len(tokens)) - np.repeat(ends[:-1], np.diff(ends))
-    keys, raw = [], tokens
-    for m in range(1, order + 1):
-        if m > 1:
-            before = np.concatenate([[np.uint64(0)], raw[:-1]])
-            raw = before * _MUL + tokens
-        keys.append(np.where(place >= m - 1, seeded(raw, 100 + m) | np.uint64(1), np.uint64(0)))
-    return keys
+class Grams:
+    """The different n-grams of some texts, of all lengths up to the order, numbered by their sorted keys.
+
+    at[m - 1]: number of the m-gram that ends at each token (-1 where the text is too short). Of each n-gram: its
+    length, how often ``learned`` tokens end one, the n-gram without its last word (context) and without its first (suffix).
+    """
+
+    def __init__(self, tokens: np.ndarray, ends: np.ndarray, learned: np.ndarray, order: int, bits: int = 64):
+        tag = max(1, (order - 1).bit_length())
+        place = np.arange(len(tokens)) - np.repeat(ends[:-1], np.diff(ends))
+        keys, raw = [], tokens
+        for m in range(order):
+            if m:
+                raw = np.concatenate([[np.uint64(0)], raw[:-1]]) * _MUL + tokens
+            keys.append((seeded(raw, 101 + m)[place >= m] >> np.uint64(64 - bits + tag)) << np.uint64(tag) | np.uint64(m))
+        every = np.concatenate(keys)
+        by_key = np.argsort(every)
+        ranked = every[by_key]
+        new = np.ones(len(every), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        which = np.empty(len(every), np.int32)
+        which[by_key] = np.cumsum(new) - 1
+        self.ends, self.order, self.keys = ends, order, ranked[new]
+        self.length = (self.keys & np.uint64((1 << tag) - 1)).astype(np.int8) + 1
+        self.at = []
+        for m, numbers in enumerate(np.split(which, np.cumsum([len(k) for k in keys])[:-1])):
+            self.at.append(np.full(len(tokens), -1, np.int32))
+            self.at[m][place >= m] = numbers
+        self.own = np.bincount(np.concatenate([x[learned & (x >= 0)] for x in self.at]), minlength=len(self.keys))
+        self.context, self.suffix = (np.full(len(self.keys), -1, np.int32) for _ in range(2))
+        for m in range(1, order):
+            here = np.flatnonzero(self.at[m] >= 0)
+            self.context[self.at[m][here]] = self.at[m - 1][here - 1]
+            self.suffix[self.at[m][here]] = self.at[m - 1][here]
+
+    def followers(self, counted: np.ndarray) -> np.ndarray:
+        """How many of the n-grams chosen have each n-gram as their context."""
+        return np.bincount(self.context[counted & (self.context >= 0)], minlength=len(self.keys))
+
+    def census(self, counts: np.ndarray, counted: np.ndarray) -> np.ndarray:
+        """By length: how many of the n-grams chosen there are, how many seen once, and how many twice."""
+        return np.stack([np.bincount(self.length[counted & of], minlength=self.order + 1)[1:] for of in (counts > 0, counts == 1, counts == 2)], axis=1).ravel()
+
+
+def discounts(census: np.ndarray) -> np.ndarray:
+    """The discount of each length from (seen, once, twice) of each."""
+    once, twice = census.reshape(-1, 3)[:, 1:].T.astype(np.float64)
+    return np.clip(np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5), *DISCOUNTS)
 
 
 class Automaton:
-    """The part of the model that given tokens reach. counts[m - 1]: how often the m-gram ending at each token was seen."""
-
-    def __init__(self, counts: list[np.ndarray], total: int, types: int, mu: float = MU):
-        self.order = len(counts)
-        p = (counts[0] + 1.0) / (total + types + 1.0)
-        self.seen, self.arc, self.fail = [counts[0] > 0], [np.log10(p)], [np.zeros(len(p))]
-        for m in range(2, self.order + 1):
-            context = np.concatenate([[0], counts[m - 2][:-1]]).astype(np.float64)
-            p = np.where(context > 0, (counts[m - 1] + mu * p) / (context + mu), p)
-            self.seen.append(counts[m - 1] > 0)
-            self.arc.append(np.log10(p))
-            self.fail.append(np.log10(mu / (context + mu)))
-
-    def walk(self, ends: np.ndarray) -> np.ndarray:
+    """The part of the model that some texts reach. counts and follow: of each of their n-grams over the training texts."""
+
+    def __init__(self, grams: Grams, counts: np.ndarray, follow: np.ndarray, total: int, types: int, discount: np.ndarray):
+        self.grams, self.seen = grams, counts > 0
+        p = (counts + 1.0) / (total + types + 1.0)  # right for single words; longer ones are built on these
+        self.fail = np.zeros(len(p))  # weight of the failure arc that an n-gram's context has
+        for m in range(2, grams.order + 1):
+            of = np.flatnonzero(grams.length == m)
+            shorter, context = p[grams.suffix[of]], grams.context[of]
+            state = counts[context] > 0
+            n, left = np.maximum(counts[context], 1), discount[m - 1] * follow[context]
+            p[of] = np.where(state, (np.maximum(counts[of] - discount[m - 1], 0) + left * shorter) / n, shorter)
+            self.fail[of[state]] = np.log10(left[state] / n[state])
+        self.arc = np.log10(p)
+
+    def walk(self) -> np.ndarray:
         """Log10 probability of each text; texts advance side by side, a token at a time, each with its state."""
+        at, ends, longest = self.grams.at, self.grams.ends, self.grams.order - 1
         sizes = np.diff(ends)
         pieces = -(-sizes // SEGMENT)
         text = np.repeat(np.arange(len(sizes)), pieces)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         begin = ends[:-1][text] + nth * SEGMENT
         stop = np.minimum(begin + SEGMENT, ends[1:][text])
-        warm = np.maximum(begin - (self.order - 1), ends[:-1][text])  # a state depends on so many tokens only
-        at, state, score = warm.copy(), np.zeros(len(text), np.int64), np.zeros(len(text))
+        warm = np.maximum(begin - longest, ends[:-1][text])  # a state depends on so many tokens only
+        here, state, score = warm.copy(), np.zeros(len(text), np.int64), np.zeros(len(text))
         by_size = np.argsort(-(stop - warm), kind="stable")
         left = (stop - warm)[by_size]
         for step in range(int(left[0]) if len(left) else 0):
             live = by_size[: np.searchsorted(-left, -step, side="left")]
-            here, now = at[live], state[live]
-            gain, todo = np.zeros(len(live)), np.arange(len(live))
-            while len(todo):
-                arrived = np.zeros(len(todo), bool)
-                for m in range(self.order - 1, -1, -1):
-                    of = now[todo] == m
-                    if not of.any():
-                        continue
-                    rows = todo[of]
-                    place = here[rows]
-                    known = self.seen[m][place]
-                    taken = known | (m == 0)
-                    gain[rows] += np.where(taken, self.arc[m][place], self.fail[m][place])
-                    now[rows] = np.where(known, np.minimum(m + 1, self.order - 1), np.where(taken, 0, -m))
-                    arrived[of] = taken
-                todo = todo[~arrived]
-                now[todo] = -now[todo] - 1
-            score[live] += np.where(here >= begin[live], gain, 0.0)
-            state[live] = now
-            at[live] = here + 1
+            place, now = here[live], state[live]
+            gain, after = np.zeros(len(live)), np.zeros(len(live), np.int64)
+            for m in range(longest, -1, -1):  # those in a context of m words; what has no arc fails to m - 1
+                rows = np.flatnonzero(now == m)
+                gram = at[m][place[rows]]
+                known = self.seen[gram]
+                taken = known | (m == 0)
+                gain[rows] += np.where(taken, self.arc[gram], self.fail[gram])
+                after[rows[known]] = min(m + 1, longest)
+                now[rows] = np.where(taken, -1, m - 1)
+            score[live] += np.where(place >= begin[live], gain, 0.0)
+            state[live] = after
+            here[live] = place + 1
         return np.bincount(text, score, len(sizes)) if len(text) else np.zeros(len(sizes))
 
 
-def corpus_size(docs: DataFrame, held_out) -> tuple[int, int]:
-    """(tokens, distinct tokens) of the training documents."""
-    spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def gather(batches):
-        held: list[np.ndarray] = []
-        size = tokens = 0
-
-        def rows(last: bool):
-            keys = np.unique(np.concatenate(held)) if held else np.empty(0, np.uint64)
-            cuts = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1, dtype=np.uint64))
-            full = np.union1d(np.flatnonzero(np.diff(cuts)), [0] if last else []).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full), pa.array([packed(keys[cuts[s] : cuts[s + 1]]) for s in full], pa.binary()), pa.array([tokens * int(last and s == 0) for s in full], pa.int64())],
-                ["shard", "keys", "tokens"],
-            )
-
-        for b in batches:
-            rows_ = [t for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if not held_out(d)]
-            stream, _ = token_stream(rows_)
-            tokens += len(stream)
-            held.append(np.unique(stream))
-            size += len(held[-1])
-            if size > GATHERED:
-                yield from rows(False)
-                held, size = [], 0
-        yield from rows(True)
-
-    def types(table: pa.Table) -> pa.Table:
-        keys = np.unique(np.concatenate([unpacked(x) for x in table["keys"].to_pylist()]))
-        return pa.table({"tokens": pa.array([sum(table["tokens"].to_pylist())], pa.int64()), "types": pa.array([len(keys)], pa.int64())})
-
-    counted = docs.select("doc_id", "text").mapInArrow(gather, "shard long, keys binary, tokens long")
-    sums = counted.groupBy("shard").applyInArrow(types, "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
-    return int(sums[0] or 0), int(sums[1] or 0)
-
-
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-
-def score_documents(docs: DataFrame, order: int = ORDER, mu: float = MU, held_out=is_held_out) -> DataFrame:
+ASKED = "block long, shard long, keys binary, vals binary"
+TOLD = "block long, shard long, vals binary"
+#: The shard of what is summed over all blocks.
+SUMS = -1
+
+
+def asked_rows(block: int, keys: np.ndarray, vals: np.ndarray, sums: np.ndarray, shards: int, bits: int) -> pa.Table:
+    """Sorted keys with values for the shards that they belong to, and numbers to be summed."""
+    cuts = np.searchsorted(keys, [-(-(s << bits) // shards) for s in range(shards)] if len(keys) else np.zeros(shards, np.uint64))
+    cuts = np.append(cuts, len(keys))
+    full = np.flatnonzero(np.diff(cuts))
+    return pa.table(
+        {
+            "block": pa.array(np.full(len(full) + 1, block), pa.int64()),
+            "shard": pa.array([*full.tolist(), SUMS], pa.int64()),
+            "keys": pa.array([*(squeezed(planes(np.diff(keys[cuts[s] : cuts[s + 1]], prepend=np.uint64(0)))) for s in full), b""], pa.binary()),
+            "vals": pa.array([*(squeezed(planes(vals[cuts[s] : cuts[s + 1]].astype(np.uint64))) for s in full), sums.astype(np.int64).tobytes()], pa.binary()),
+        }
+    )
+
+
+def told_rows(table: pa.Table) -> pa.Table:
+    """What a shard answers its blocks: of each key 4 * sum + 2 * (several blocks name it) + (this block is its owner)."""
+    if table["shard"][0].as_py() == SUMS:
+        total = sum(np.frombuffer(x, np.int64) for x in table["vals"].to_pylist()).astype(np.int64).tobytes()
+        return pa.table([table["block"], table["shard"], pa.array([total] * len(table), pa.binary())], names=["block", "shard", "vals"])
+    table = table.take(pa.array(np.argsort(table["block"].to_numpy())))
+    keys = [np.cumsum(unplanes(unsqueezed(x), np.uint64), dtype=np.uint64) for x in table["keys"].to_pylist()]
+    sizes = [len(k) for k in keys]
+    every, vals = np.concatenate(keys), np.concatenate([unplanes(unsqueezed(x), np.uint64) for x in table["vals"].to_pylist()]).astype(np.int64)
+    by_key = np.argsort(every)
+    ranked, vals = every[by_key], vals[by_key]
+    row = np.repeat(np.arange(len(keys)), sizes)[by_key]
+    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    runs = np.diff(starts, append=len(ranked))
+    owner = np.minimum.reduceat(np.where(vals > 0, row, len(keys)), starts)
+    answer = np.repeat(4 * np.add.reduceat(vals, starts) + 2 * (runs > 1), runs) + (row == np.repeat(owner, runs))
+    back = np.empty(len(every), np.uint64)
+    back[by_key] = answer
+    parts = np.split(back, np.cumsum(sizes)[:-1])
+    return pa.table([table["block"], table["shard"], pa.array([squeezed(planes(p)) for p in parts], pa.binary())], names=["block", "shard", "vals"])
+
+
+def told(replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The answers to one block in the order of its sorted keys, and the sums."""
+    by_shard = replies.take(pa.array(np.argsort(replies["shard"].to_numpy())))["vals"].to_pylist()
+    return np.concatenate([np.empty(0, np.int64), *(unplanes(unsqueezed(x), np.uint64).astype(np.int64) for x in by_shard[1:])]), np.frombuffer(by_shard[0], np.int64)
+
+
+SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def score_documents(docs: DataFrame, order: int = ORDER, held_out=is_held_out, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Learn from the documents that ``held_out`` does not name, and score all; one row per row of ``docs``.
 
     Null and empty texts are the end token alone; a null doc_id counts as the empty string
     in the choice of held-out rows. base_score: the add-one unigram score; score: the
-    automaton's. Repeated rows count as often as they occur. n-grams are known by 64-bit hashes.
+    automaton's. Repeated rows count as often as they occur; other columns are dropped. n-grams are
+    known by hashes, whose width grows with the corpus (SPARE_BITS).
     """
-    count = block_count(docs)
-    total, types = corpus_size(docs, held_out)
-    blocks = in_blocks(docs, count)
-
-    def keyed(table: pa.Table):
-        tokens, ends = token_stream(table["text"].to_pylist())
-        return gram_keys(tokens, ends, order), ends, np.asarray([held_out(d) for d in table["doc_id"].to_pylist()])
-
-    def named(keys: list[np.ndarray], learned: np.ndarray):
-        """Distinct keys, how often training texts of the block have them, which places have one and which it is."""
-        every = np.concatenate([np.empty(0, np.uint64), *keys])
-        real = every != 0
-        distinct, back = np.unique(every[real], return_inverse=True)
-        return distinct, np.bincount(back, np.tile(learned, len(keys))[real], len(distinct)).astype(np.int64), real, back
-
-    def placed(values: np.ndarray, real: np.ndarray, back: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(real), np.int64)
-        out[real] = values[back]
-        return out
-
-    def summed(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Twice the sum, and 1 where more than one block names the key."""
-        return 2 * np.add.reduceat(values, starts) + (np.diff(starts, append=len(values)) > 1)
-
-    def longer(keys: list[np.ndarray], learned: np.ndarray, replies: np.ndarray):
-        """Counts by order as far as the block knows them, and the distinct keys of longer n-grams that others may hold, with their own counts."""
-        distinct, _, real, back = named(keys[:SHORT], learned)
-        answered = np.split(placed(replies[: len(distinct)].astype(np.int64), real, back), len(keys[:SHORT]))
-        counts = [x >> 1 for x in answered]
-        if order <= SHORT:
-            return counts, np.empty(0, np.uint64), np.empty(0, np.int64), None, None
-        elsewhere = (answered[-1] & 1) > 0
-        everywhere, asked = elsewhere, []
-        for m in range(SHORT, order):
-            everywhere = elsewhere & np.concatenate([[False], everywhere[:-1]])
-            asked.append(np.where(everywhere, keys[m], np.uint64(0)))
-        of_block, n, there, which = named(keys[SHORT:], learned)
-        counts += np.split(placed(n, there, which), order - SHORT)
-        more, own, real, back = named(asked, learned)
-        return counts, more, n[np.searchsorted(of_block, more)], real, back
-
-    def request(table: pa.Table):
-        keys, ends, out = keyed(table)
-        distinct, own, _, _ = named(keys[:SHORT], ~np.repeat(out, np.diff(ends)))
-        return distinct, own
-
-    def request_longer(table: pa.Table, replies: pa.Table):
-        keys, ends, out = keyed(table)
-        _, more, own, _, _ = longer(keys, ~np.repeat(out, np.diff(ends)), answers(replies, np.uint32))
-        return more, own
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = max(1, math.ceil(size / block_bytes), min(partitions, math.ceil(size / LEAST_BYTES)))
+    bits = min(64, math.ceil(math.log2(size + 2)) + SPARE_BITS)
+    blocks = chunked(docs, count)
+
+    def grams_of(table: pa.Table):
+        rows = dechunked(table)
+        tokens, ends = token_stream(rows["text"].to_pylist())
+        out = np.asarray([held_out(d) for d in rows["doc_id"].to_pylist()], bool)
+        learned = ~np.repeat(out, np.diff(ends))
+        return Grams(tokens, ends, learned, order, bits), rows["doc_id"], out, int(learned.sum())
+
+    def counted(grams: Grams, answer: np.ndarray):
+        """Counts, which n-grams this block owns, and which contexts other blocks may have other followers of."""
+        counts = answer >> 2
+        return counts, (answer & 1) > 0, ((answer & 2) > 0) & (grams.length < order) & (counts > 1)
+
+    def ask_counts(table: pa.Table) -> pa.Table:
+        grams, _, _, learned = grams_of(table)
+        return asked_rows(table["block"][0].as_py(), grams.keys, grams.own, np.array([learned]), count, bits)
+
+    def ask_followers(table: pa.Table, replies: pa.Table) -> pa.Table:
+        if not len(table):
+            return asked_rows(0, np.empty(0, np.uint64), np.empty(0), np.empty(0), count, bits)[:0]
+        grams, *_ = grams_of(table)
+        counts, owned, asked = counted(grams, told(replies)[0])
+        return asked_rows(table["block"][0].as_py(), grams.keys[asked], grams.followers(owned)[asked], grams.census(counts, owned), count, bits)
 
     def rows(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):
-            return pa.table({f.split()[0]: pa.nulls(0, t) for f, t in zip(SCORES.split(", "), TYPES, strict=True)})
-        keys, ends, out = keyed(table)
-        replied = answers(replies, np.uint32)
-        by_order, more, _, real, back = longer(keys, ~np.repeat(out, np.diff(ends)), replied)
-        if len(more):
-            told = np.split(placed(replied[-len(more) :].astype(np.int64), real, back), order - SHORT)
-            by_order[SHORT:] = [np.where(r, t, c) for r, t, c in zip(np.split(real, order - SHORT), told, by_order[SHORT:], strict=True)]
-        base = np.add.reduceat(np.log10((by_order[0] + 1.0) / (total + types + 1.0)), ends[:-1])
-        known = np.add.reduceat((by_order[0] > 0).astype(np.int64), ends[:-1])
-        score = Automaton(by_order, total, types, mu).walk(ends)
-        columns = [table["doc_id"].cast(pa.int64()), pa.array(out), pa.array(np.diff(ends)), pa.array(known), pa.array(np.full(len(out), total)), pa.array(base), pa.array(score)]
-        return pa.table(columns, names=[f.split()[0] for f in SCORES.split(", ")])
-
-    counted = ask(blocks, request, summed, np.uint32, count)
-    if order > SHORT:
-        rest = ask(blocks, request_longer, np.add.reduceat, np.uint32, count, earlier=counted)
-        counted = counted.union(rest.withColumn("shard", F.col("shard") + count))  # answers come after those of the first question
-    return finish(blocks, counted, rows, SCORES)
-
-
-TYPES = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            return SCORES.empty_table()
+        grams, ids, out, _ = grams_of(table)
+        second = replies["shard"].to_numpy() > count
+        answer, (total,) = told(replies.filter(pa.array(~second)))
+        counts, owned, asked = counted(grams, answer)
+        answer, census = told(replies.filter(pa.array(second)))
+        follow = np.where(counts > 1, grams.followers(owned), counts)
+        follow[asked] = answer >> 2
+        types, ends = int(census[0]), grams.ends
+        single = counts[grams.at[0]]
+        base = np.add.reduceat(np.log10((single + 1.0) / (total + types + 1.0)), ends[:-1])
+        known = np.add.reduceat((single > 0).astype(np.int64), ends[:-1])
+        score = Automaton(grams, counts, follow, total, types, discounts(census)).walk()
+        return pa.table([ids.cast(pa.int64()), pa.array(out), *map(pa.array, (np.diff(ends), known, np.full(len(out), total), base, score))], schema=SCORES)
+
+    def on_shard(table: pa.Table) -> pa.Table:
+        return trimmed(told_rows)(table)
+
+    def on_block(table: pa.Table) -> pa.Table:
+        return trimmed(ask_counts)(table)
+
+    def on_answers(table: pa.Table, replies: pa.Table) -> pa.Table:
+        return trimmed(ask_followers)(table, replies)
+
+    first = blocks.groupBy("block").applyInArrow(on_block, ASKED).groupBy("shard").applyInArrow(on_shard, TOLD)
+    later = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(on_answers, ASKED).groupBy("shard").applyInArrow(on_shard, TOLD)
+    replies = first.union(later.withColumn("shard", F.col("shard") + count + 2))  # a second answer's shards come after those of the first
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return finish(blocks, replies, rows, schema)

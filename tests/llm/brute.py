@@ -42,25 +42,32 @@ def near_copies(rows, percent=75):
     return {d: (len(s), first[d]) for d, s in sets.items()}
 
 
-def language_model(rows, mu):
+def language_model(rows, order=3, held_out=lambda d: zlib.crc32(str(d).encode()) % 7 == 2):
+    """Scores by absolute discounting, written as the recursion it is."""
     tokens = {d: [*lowered(t), None] for d, t in rows}
-    out = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in tokens}
-    one, two = Counter(), Counter()
+    out = {d: held_out(d) for d in tokens}
+    grams = [Counter() for _ in range(order)]
     for d, w in tokens.items():
         if not out[d]:
-            one.update(w)
-            two.update(zip(w, w[1:], strict=False))
-    total, types = sum(one.values()), len(one)
+            for m, c in enumerate(grams):
+                c.update(zip(*(w[k:] for k in range(m + 1)), strict=False))
+    follow = [Counter(g[:-1] for g in c) for c in grams]
+    once, twice = ([sum(n == k for n in c.values()) for c in grams] for k in (1, 2))
+    discount = [min(max(a / (a + 2 * b) if a else 0.5, 0.05), 0.95) for a, b in zip(once, twice, strict=True)]
+    total, types = sum(grams[0].values()), len(grams[0])
+
+    def p(context, w):
+        if not context:
+            return (grams[0][w,] + 1) / (total + types + 1)
+        m, n = len(context), grams[len(context) - 1][context]
+        shorter = p(context[1:], w)
+        return (max(grams[m][*context, w] - discount[m], 0) + discount[m] * follow[m][context] * shorter) / n if n else shorter
+
     made = {}
     for d, w in tokens.items():
-        base = score = 0.0
-        for k, x in enumerate(w):
-            p = (one[x] + 1) / (total + types + 1)
-            base += math.log10(p)
-            if k and one[w[k - 1]]:
-                p = (two[w[k - 1], x] + mu * p) / (one[w[k - 1]] + mu)
-            score += math.log10(p)
-        made[d] = out[d], len(w), sum(one[x] > 0 for x in w), total, base, score
+        base = sum(math.log10(p((), x)) for x in w)
+        score = sum(math.log10(p(tuple(w[max(0, k - order + 1) : k]), x)) for k, x in enumerate(w))
+        made[d] = out[d], len(w), sum(grams[0][x,] > 0 for x in w), total, base, score
     return made
 
 

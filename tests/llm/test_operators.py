@@ -93,69 +93,60 @@ def test_components(spark, links):
 # 2
 
 
-def test_language_model_equals_brute_force(real):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_language_model_equals_brute_force(real, order):
     df, rows = real
-    got = by_id(language_model.score_documents(df), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    want = brute.language_model(rows, language_model.MU)
+    got = by_id(language_model.score_documents(df, order), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    want = brute.language_model(rows, order)
     assert got.keys() == want.keys()
     for d, w in want.items():
-        assert got[d][:4] == w[:4] and got[d][4:] == pytest.approx(w[4:])
+        assert got[d][:4] == w[:4] and got[d][4:] == pytest.approx(w[4:], rel=1e-9)
+
+
+def test_longer_contexts_help(spark, small):
+    held_out = op2_language_model(spark, small).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held_out[0] / held_out[1] < 0.9
+
+
+def test_any_number_of_blocks(real):
+    df, _ = real
+    cut, whole = (by_id(language_model.score_documents(df, block_bytes=n), "score") for n in (20_000, 1 << 40))
+    assert cut.keys() == whole.keys() and all(cut[d] == pytest.approx(whole[d], rel=1e-9) for d in cut)
+
+
+def automaton(texts, learned, order):
+    """Of one block: every n-gram is its own."""
+    tokens, ends = language_model.token_stream(texts)
+    grams = language_model.Grams(tokens, ends, np.repeat(learned, np.diff(ends)), order)
+    counts, every = grams.own, grams.own > 0
+    census = grams.census(counts, every)
+    return language_model.Automaton(grams, counts, grams.followers(every), int(counts[grams.length == 1].sum()), int(census[0]), language_model.discounts(census))
 
 
 def test_walk_carries_state_over_segments(monkeypatch):
-    rng = np.random.default_rng(0)
-    counts = [rng.integers(0, 3, 500), rng.integers(0, 2, 500), rng.integers(0, 2, 500)]
-    counts[1] = np.minimum(counts[1], counts[0])
-    counts[2] = np.minimum(counts[2], counts[1])
-    ends = np.array([0, 1, 200, 500])
-    whole = language_model.Automaton(counts, 50, 9).walk(ends)
+    rng = random.Random(0)
+    texts = [" ".join(rng.choice("abcde") for _ in range(n)) for n in (0, 1, 200, 300, 50)]
+    learned = [True, True, True, True, False]
+    whole = automaton(texts, learned, 3).walk()
     monkeypatch.setattr(language_model, "SEGMENT", 7)
-    cut = language_model.Automaton(counts, 50, 9).walk(ends)
-    assert cut == pytest.approx(whole, abs=0.5) and cut[0] == whole[0]
+    assert automaton(texts, learned, 3).walk() == pytest.approx(whole, abs=1e-9)
 
 
 def test_automaton_is_normalized():
-    counts = {("a",): 3, ("b",): 2, ("a", "b"): 2, ("a", "a"): 1}
-    total, types, mu = 5, 2, language_model.MU
+    """After a seen context, the words of the model and a new one share all the weight there is."""
+    train = ["a b a b a a c", "b a"]
     mass = 0.0
-    for w in ("a", "b", "new"):
-        made = language_model.Automaton([np.array([3, counts.get((w,), 0)]), np.array([0, counts.get(("a", w), 0)])], total, types, mu)
-        mass += 10 ** (made.walk(np.array([0, 2]))[0] - made.walk(np.array([0, 1]))[0])
+    for w in ("a", "b", "c", "new", None):
+        walked = automaton([*train, f"a b {w}" if w else "a b"], [True, True, False], 3)
+        tokens, place = walked.grams.ends[2], walked.grams.at
+        gram = place[2][tokens + 2]  # the third token's, after the context a b
+        p = walked.arc[gram] if walked.seen[gram] else walked.fail[gram] + (walked.arc if walked.seen[walked.grams.suffix[gram]] else walked.fail)[walked.grams.suffix[gram]]
+        if not walked.seen[gram] and not walked.seen[walked.grams.suffix[gram]]:
+            p += walked.arc[place[0][tokens + 2]]
+        mass += 10**p
     assert mass == pytest.approx(1)
 
 
-def test_query_scores_trigrams(spark, small, real):
-    _, rows = real
-    tokens = {d: [*brute.lowered(t), None] for d, t in rows}
-    grams = [Counter() for _ in range(3)]
-    for d, w in tokens.items():
-        if not language_model.is_held_out(d):
-            for m, c in enumerate(grams):
-                c.update(zip(*(w[k:] for k in range(m + 1)), strict=False))
-    total, types, mu = sum(grams[0].values()), len(grams[0]), language_model.MU
-    got = by_id(op2_language_model(spark, small), "score")
-    assert got.keys() == tokens.keys()
-    for d, w in tokens.items():
-        score = 0.0
-        for k in range(len(w)):
-            p = (grams[0][w[k],] + 1) / (total + types + 1)
-            for m in (1, 2):
-                context = tuple(w[k - m : k])
-                if k >= m and grams[m - 1][context]:
-                    p = (grams[m][*context, w[k]] + mu * p) / (grams[m - 1][context] + mu)
-            score += math.log10(p)
-        assert got[d] == pytest.approx((score,))
-
-
-@pytest.mark.parametrize("order", [1, 3, 4])
-def test_any_order_counts_in_blocks_as_in_one(monkeypatch, real, order):
-    df, _ = real
-    cut = by_id(language_model.score_documents(df, order), "score")
-    monkeypatch.setattr(language_model, "block_count", lambda docs: 1)
-    whole = by_id(language_model.score_documents(df, order), "score")
-    assert cut.keys() == whole.keys() and all(cut[d] == pytest.approx(whole[d]) for d in cut)
-
-
 def test_language_model_of_odd_rows(documents):
     got = language_model.score_documents(documents(ODD)).collect()
     assert len(got) == len(ODD) and {r["n_tokens"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
