@@ -12,6 +12,9 @@ from sparrel.llm.scratch import materialize
 #: So many links at most are finished by one task (two longs each); more go through further star rounds.
 ONE_TASK_LINKS = 200_000
 
+#: Links of a forest that a task holds before it passes them on.
+HELD_LINKS = 1_000_000
+
 LINKS = "a long, b long"
 
 
@@ -33,10 +36,13 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contracted(batches):
-    """Of a partition's links only a spanning forest is needed; links beyond a bound are contracted as they come."""
+    """Of links only a spanning forest is needed; one of more than HELD_LINKS is passed on, and the next begun."""
     a = b = np.empty(0, np.int64)
     for batch in batches:
         a, b = forest(np.concatenate([a, batch.column(0).to_numpy()]), np.concatenate([b, batch.column(1).to_numpy()]))
+        if len(a) > HELD_LINKS:
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            a = b = np.empty(0, np.int64)
     if len(a):
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 

@@ -13,9 +13,10 @@
    lists are set aside, the short ones merged by a heap that skips, and what occurs often
    enough is probed in the long ones by binary search.
 5. Components of the links found contract the lists. Lists that still hold nodes of different
-   components connect groups; a group's sets become indexes of bounded size, and each
-   node outside of its largest component is searched in all of them. Then every pair that
-   can reach the threshold was searched, or is connected already.
+   components connect groups; a group's sets become indexes of bounded size, each of sets of like
+   size. Nodes outside of the group's largest component are searched in those indexes that
+   hold a node on one of their lists, of a size that can reach the threshold. Then every pair
+   that can reach it was searched, or is connected already.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from sparrel.llm.blocks import answers, ask, block_count, finish, in_blocks
 from sparrel.llm.components import components
 from sparrel.llm.scratch import materialize
-from sparrel.llm.words import mix, ngrams, seeded, word_hashes, words
+from sparrel.llm.words import distinct, mix, ngrams, seeded, word_hashes, words
 
 SHINGLE_WORDS, PERCENT = 5, 75
 #: Lists up to this many nodes give all their pairs at once.
@@ -45,6 +46,12 @@ ORDERS = 4
 LIST_NODES = 20_000
 #: Sets of one inverted index, on average; rows that a worker turns into Python values at once.
 INDEXED, ROWS = 256, 64
+#: Rows of postings that a task goes through at once; a list (LIST_NODES on average) is never cut.
+HELD = 200_000
+#: Sizes fall into bands by powers of this similarity.
+SIMILAR = 75
+#: Shares of a list in joins on its token, so that a hot one is not one task's.
+SALTS = 8
 
 
 def shingle_set(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
@@ -52,7 +59,7 @@ def shingle_set(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
     hashes = word_hashes(words(text))
     if not len(hashes):
         return hashes
-    return np.unique(ngrams(hashes, size)) if len(hashes) >= size else seeded(ngrams(hashes, len(hashes)), 1000)
+    return distinct(ngrams(hashes, size)) if len(hashes) >= size else seeded(ngrams(hashes, len(hashes)), 1000)
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -189,13 +196,9 @@ CANDIDATES = "u long, v long, token long"
 
 
 def _neighbours(percent: int):
-    """Of each list, whole in the partition: pairs (u < v), and the list's members where not all pairs are given."""
+    """Of each list, of rows sorted by token and part: pairs (u < v), and the list's members where not all pairs are given."""
 
-    def run(batches):
-        tables = [b for b in batches if len(b)]
-        if not tables:
-            return
-        table = pa.Table.from_batches(tables)
+    def pairs_of(table: pa.Table):
         token, part, node, n, rest = (table[c].to_numpy() for c in ("token", "part", "node", "n", "rest"))
         like = np.floor(np.log(n) / np.log(1.15)).astype(np.int64)
         chance = seeded(node.view(np.uint64) ^ mix(token.view(np.uint64) % np.uint64(ORDERS)), 3)
@@ -206,22 +209,42 @@ def _neighbours(percent: int):
         new = np.concatenate([[True], (token[1:] != token[:-1]) | (part[1:] != part[:-1])])
         run_of = np.cumsum(new) - 1
         length = np.bincount(run_of)[run_of]
-        pairs = []
+        lows, highs = [], []
         for step in range(1, ALL_PAIRS):
             left, right = np.arange(len(token) - step), np.arange(step, len(token))
             ok = run_of[left] == run_of[right]
             if step > 1:
                 ok &= length[left] <= ALL_PAIRS
             ok &= (100 + percent) * np.minimum(rest[left], rest[right]) >= percent * (n[left] + n[right])
-            pairs.append(np.stack([np.minimum(node[left], node[right])[ok], np.maximum(node[left], node[right])[ok]], axis=1))
-        pair = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
-        nothing = pa.nulls(len(pair), pa.int64())
+            lows.append(np.minimum(node[left], node[right])[ok])
+            highs.append(np.maximum(node[left], node[right])[ok])
+        low, high = np.concatenate(lows), np.concatenate(highs)
+        order = np.lexsort((high, low))
+        low, high = low[order], high[order]
+        new = np.ones(len(low), bool)
+        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
         names = ["u", "v", "token"]
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), nothing], names)
+        yield pa.RecordBatch.from_arrays([pa.array(low[new]), pa.array(high[new]), pa.nulls(int(new.sum()), pa.int64())], names)
         some = (length > ALL_PAIRS) | (part >= 0)
         if some.any():
             yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.nulls(int(some.sum()), pa.int64()), pa.array(token[some])], names)
 
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += len(b)
+            if size > HELD:
+                table = pa.Table.from_batches(held).combine_chunks()
+                token, part = table["token"].to_numpy(), table["part"].to_numpy()
+                last = int(np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (part[1:] != part[:-1])]))[-1])
+                if last:
+                    yield from pairs_of(table[:last])
+                held = table[last:].to_batches()
+                size = len(table) - last
+        if size:
+            yield from pairs_of(pa.Table.from_batches(held))
+
     return run
 
 
@@ -269,23 +292,40 @@ def search_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return together.mapInArrow(_searched(percent), LINKED)
 
 
+def _band(n: Column) -> Column:
+    """Sets that reach a similarity of at least SIMILAR percent are of one band or of neighbouring ones."""
+    return F.floor(F.log(n) / np.log(100 / SIMILAR)).cast("int")
+
+
 def search_groups(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b, overlap) across components among nodes that lists (token, node, component) connect.
 
-    A group's sets are dealt into indexes of about INDEXED; nodes outside of the group's largest
-    component are the queries, sent to each of them. No pairs are made.
+    A group's sets of one band are dealt into indexes of about INDEXED. The queries, nodes outside of the group's
+    largest component, go to the indexes of their own and the neighbouring bands that hold a node of one of
+    their lists. No pairs are made.
     """
-    partitions = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = open_.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bands = 1 if percent >= SIMILAR else int(np.ceil(np.log(percent / 100) / np.log(SIMILAR / 100)))
     grouped = components(open_.select(F.col("node").alias("a"), F.col("token").alias("b")))  # a list is one more node
     nodes = open_.select("node", "component").distinct().join(grouped.select("node", F.col("component").alias("unit")), "node")
+    nodes = nodes.join(sets.select("node", _band(F.col("n")).alias("band")), "node")
     by_component = nodes.groupBy("unit", "component").agg(F.count("*").alias("size"))
-    units = by_component.groupBy("unit").agg(F.ceil(F.sum("size") / INDEXED).alias("parts"), F.max_by("component", F.struct("size", "component")).alias("largest"))
-    placed = nodes.join(units, "unit").join(sets, "node")
-    names = ["unit", "part", "role", "node", "n", "tokens"]
-    indexed = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("role", F.lit(0)).select(*names)
-    asked = placed.where("component <> largest").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("role", F.lit(1)).select(*names)
-    together = indexed.union(asked).repartition(partitions, "unit", "part").sortWithinPartitions("unit", "part", "role", "node")
-    return together.mapInArrow(_searched(percent), LINKED)
+    largest = by_component.groupBy("unit").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
+    parts = nodes.groupBy("unit", "band").agg(F.ceil(F.count("*") / INDEXED).alias("parts"))
+    placed = nodes.join(parts, ["unit", "band"]).join(largest, "unit").select("node", "unit", "band", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), (F.col("component") != F.col("largest")).alias("asks"))
+    placed = materialize(placed, "ngram-placed")
+    lists = open_.select("token", "node").join(placed, "node")
+    holding = lists.select("token", F.col("band").alias("in_band"), "part").distinct()
+    salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    asking = lists.where("asks").select("token", "node", "unit", "band", F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
+    sent = asking.join(holding.withColumn("salt", salt), ["token", "salt"]).where(F.abs(F.col("band") - F.col("in_band")) <= bands)
+    sent = sent.select("node", "unit", F.col("in_band").alias("band"), "part").distinct()
+    names = ["unit", "band", "part", "role", "node", "n", "tokens"]
+    indexed = placed.join(sets, "node").withColumn("role", F.lit(0)).select(*names)
+    asked = sent.join(sets, "node").withColumn("role", F.lit(1)).select(*names)
+    together = indexed.union(asked).repartition(partitions, "unit", "band", "part").sortWithinPartitions("unit", "band", "part", "role", "node")
+    return together.select("unit", (F.col("band") * F.lit(1 << 40) + F.col("part")).alias("part"), "role", "node", "n", "tokens").mapInArrow(_searched(percent), LINKED)
 
 
 def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -338,6 +378,7 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
         made.where(F.col("kind") == POSTING)
         .select("token", "node", "n", "rest", F.when(F.col("held") > LIST_NODES, F.pmod(F.xxhash64("node"), F.ceil(F.col("held") / LIST_NODES))).otherwise(F.lit(-1)).cast("long").alias("part"))
         .repartition(partitions, "token", "part")
+        .sortWithinPartitions("token", "part")
     )
     listed = materialize(postings.mapInArrow(_neighbours(percent), CANDIDATES), "ngram-lists")
     near = listed.where("v is not null").select("u", "v").distinct()
@@ -345,8 +386,10 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     joined = materialize(components(links), "ngram-components")
 
     members = listed.where("v is null").select("token", F.col("u").alias("node")).distinct().join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = members.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    open_ = materialize(members.join(mixed, "token"), "ngram-open")
+    members = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    shares = members.groupBy("token", "salt").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = shares.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("salt").alias("salts")).where("low <> high")
+    open_ = materialize(members.join(mixed.select("token", F.explode("salts").alias("salt")), ["token", "salt"]).select("token", "node", "component"), "ngram-open")
     more = materialize(search_groups(open_, sets, percent), "ngram-links-across")
     final = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
     least = documents.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
