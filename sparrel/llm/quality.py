@@ -4,12 +4,13 @@ Three families of n-grams are hashed, each into BUCKETS: tokens (words, and runs
 marks), pairs of tokens, and beginnings of words (PREFIX letters). The raw model counts them
 in all documents, the target model in those labelled good. A bucket's log ratio is
 log((target + PRIOR) / (expected + PRIOR)), expected being the raw count scaled to the
-target's size; it counts as far as it lies beyond Z standard errors, and is clipped at 0, so
-that neither chance nor much ordinary text outweighs what good text does not hold.
+target's size. It is drawn towards 0 by Z standard errors on either side, so that n-grams too rare to
+tell do not set labelled documents apart from others.
 
-A document's log weight is its mean log ratio times AS_TOKENS. With Gumbel noise added, the
-k largest are a sample without replacement in proportion to the weights; k is the
-number of documents whose log weight reaches the KEPT quantile of the good ones.
+A document's log weight is the sum of its n-grams' log ratios: the log of how much likelier
+the target model makes it than the raw one. With Gumbel noise added, the k largest are a
+sample without replacement in proportion to the weights. k is given, or else the number of
+documents whose log weight reaches the KEPT quantile of the good labelled ones.
 """
 
 from __future__ import annotations
@@ -26,8 +27,7 @@ from sparrel.llm.scratch import materialize
 from sparrel.llm.words import seeded
 
 BUCKETS, FAMILIES, PREFIX = 1 << 18, 3, 4
-PRIOR, Z = 3.0, 3.0
-AS_TOKENS = 1000
+PRIOR, Z = 3.0, 1.0
 #: Share of the good labelled documents whose log weight lies under the cut.
 KEPT = 0.01
 #: Labelled documents that the target model and the cut are fitted on: those with the least hash of their id.
@@ -72,13 +72,13 @@ def label_sample(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Clipped log ratio of each bucket, family by family."""
+    """Log ratio of each bucket, family by family, less Z standard errors of its size."""
     out = np.zeros(len(raw), np.float32)
     for family in range(FAMILIES):
         part = slice(family * BUCKETS, (family + 1) * BUCKETS)
         t, expected = target[part] + PRIOR, raw[part] * (target[part].sum() / max(1, raw[part].sum())) + PRIOR
         ratio = np.log(t / expected)
-        out[part] = -np.maximum(0, -ratio - Z * np.sqrt(1 / t + 1 / expected))
+        out[part] = np.sign(ratio) * np.maximum(0, np.abs(ratio) - Z * np.sqrt(1 / t + 1 / expected))
     return out
 
 
@@ -126,46 +126,50 @@ def kth_largest(table: DataFrame, column: str, k: int) -> int | None:
     return prefix
 
 
-def scored(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of each document with good, log_weight, n_features and key (log weight and noise, as a long that sorts alike)."""
-    sampled = label_sample(labels)
+def noise_of(tie: np.ndarray) -> np.ndarray:
+    """Standard Gumbel noise from a hash."""
+    uniform = (seeded(tie.view(np.uint64), 21) >> np.uint64(11)).astype(np.float64) / 2**53 + 2**-54
+    return -np.log(-np.log(uniform))
+
+
+def _scored(docs: DataFrame, sampled: DataFrame, keep: list[str]) -> DataFrame:
+    """(row: the columns ``keep``, good, n_features, log_weight, key: log weight and noise, as a long that sorts alike) of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, sampled))
-    own = docs.select(*keep, *(c for c in ("doc_id", "text") if c not in keep)).withColumn("_tie", F.xxhash64("doc_id", "text"))
-    joined = own.join(F.broadcast(sampled.withColumnRenamed("good", "_good")), "doc_id", "left")
+    inside = "text" in keep
+    row = F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in keep)).alias("row")
+    named = docs.select("doc_id", row, F.xxhash64("doc_id", "text").alias("tie"), *([] if inside else ["text"]))
+    own = named.join(F.broadcast(sampled), "doc_id", "left").select("row", "tie", "good", *([] if inside else ["text"]))
 
     def score(batches):
         ratios = shared.value
         for b in (whole.slice(k, TEXTS) for whole in batches for k in range(0, len(whole), TEXTS)):
-            found = [buckets(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            size = np.asarray([len(f) for f in found])
-            weight = np.asarray([ratios[f].sum(dtype=np.float64) for f in found]) / np.maximum(size, 1) * AS_TOKENS
-            tie = b.column(b.schema.get_field_index("_tie")).to_numpy().view(np.uint64)
-            uniform = (seeded(tie, 21) >> np.uint64(11)).astype(np.float64) / 2**53 + 2**-54
-            key = (weight - np.log(-np.log(uniform))).view(np.int64)
+            texts = b.column(0).field("text") if inside else b.column(3)
+            found = [buckets(t) for t in texts.to_pylist()]
+            size = np.asarray([len(f) for f in found], np.int64)
+            weight = np.asarray([ratios[f].sum(dtype=np.float64) for f in found], np.float64)
+            key = (weight + noise_of(b.column(1).to_numpy())).view(np.int64)
             key = key ^ ((key >> 63) & np.int64(2**63 - 1))
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(b.schema.get_field_index(c)) for c in keep), b.column(b.schema.get_field_index("_good")), *map(pa.array, (weight, size, key))], [*keep, "_good", "_weight", "_size", "_key"]
-            )
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *map(pa.array, (size, weight, key))], ["row", "good", "n_features", "log_weight", "key"])
 
-    schema = docs.select(*keep).schema.add("_good", "integer").add("_weight", "double").add("_size", "long").add("_key", "long")
-    return joined.mapInArrow(score, schema)
+    return own.mapInArrow(score, own.select("row", "good").schema.add("n_features", "long").add("log_weight", "double").add("key", "long"))
 
 
-def importance_resample(docs: DataFrame, labels: DataFrame, keep: list[str], kept: float = KEPT) -> DataFrame:
-    """The columns ``keep`` of each document with _weight, _size and _kept: whether it is among the k drawn.
+def importance_resample(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, k: int | None = None) -> DataFrame:
+    """(row: the columns ``keep`` (all) of each document, n_features, log_weight, kept: whether it is among the k drawn).
 
     Texts without tokens (null or empty) have log weight 0. Equal rows have equal keys, so
     they are drawn together, and ties at the last place are all kept. Labels that name a
-    document more than once count as good only if all do. Without good labels, all are kept.
+    document more than once count as good only if all do. Without ``k`` and without good labels, all are kept. Columns may have any name.
     """
-    made = materialize(scored(docs, labels, keep), "quality")
-    cut = made.where("_good = 1").agg(F.percentile("_weight", kept)).first()[0]
-    k = made.count() if cut is None else made.where(F.col("_weight") >= cut).count()
-    least = kth_largest(made.select("_key"), "_key", k)
-    return made.withColumn("_kept", F.lit(False) if least is None else F.col("_key") >= least).drop("_good", "_key")
+    sampled = label_sample(labels)
+    made = materialize(_scored(docs, sampled, keep or docs.columns), "quality")
+    if k is None:
+        cut = made.where("good = 1").agg(F.percentile("log_weight", KEPT)).first()[0]
+        k = made.count() if cut is None else made.where(F.col("log_weight") >= cut).count()
+    least = kth_largest(made.select("key"), "key", k)
+    return made.withColumn("kept", F.lit(False) if least is None else F.col("key") >= least).drop("key", "good")
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, n_features, log_weight, kept) of each document."""
-    made = importance_resample(docs, labels, ["doc_id"])
-    return made.select("doc_id", F.col("_size").alias("n_features"), F.col("_weight").alias("log_weight"), F.col("_kept").alias("kept"))
+    return importance_resample(docs, labels, ["doc_id"]).select("row.doc_id", "n_features", "log_weight", "kept")
