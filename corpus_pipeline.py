@@ -20,7 +20,7 @@ ORACLE_SQL = None
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling draws; the others, junk and toxic text, go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.importance_resample(docs, labels, docs.columns).where("_kept").select(*docs.columns)
+    return quality.importance_resample(docs, labels).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
