@@ -20,11 +20,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrel.llm.blocks import chunked, dechunked, finish, planes, squeezed, trimmed, unplanes, unsqueezed
-from sparrel.llm.words import _MUL, seeded, word_hashes, words
+from sparrel.llm.words import _MUL, column_hashes, seeded
 
 ORDER = 3
 #: UTF-8 bytes of text in a block on average, and at least where there are fewer blocks than shuffle partitions.
@@ -43,55 +44,65 @@ def is_held_out(doc_id: int | None, modulus: int = 7, rest: int = 2) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % modulus == rest
 
 
-def token_stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def token_stream(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each text's last being END, and where each text starts."""
-    parts = [np.append(word_hashes(words(t)), END) for t in texts]
-    ends = np.cumsum([0] + [len(p) for p in parts])
-    return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), ends
+    hashes, ends = column_hashes(texts)
+    tokens = np.full(len(hashes) + len(ends) - 1, END)
+    tokens[np.arange(len(hashes)) + np.repeat(np.arange(len(ends) - 1), np.diff(ends))] = hashes
+    return tokens, ends + np.arange(len(ends))
+
+
+def gram_keys(tokens: np.ndarray, ends: np.ndarray, order: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length: the places where an n-gram of it ends, and its key there."""
+    place = np.arange(len(tokens), dtype=np.int32) - np.repeat(ends[:-1], np.diff(ends)).astype(np.int32)
+    made, raw = [], tokens
+    for m in range(order):
+        if m:
+            raw = np.concatenate([[np.uint64(0)], raw[:-1]]) * _MUL + tokens
+        here = np.flatnonzero(place >= m)
+        made.append((here, seeded(raw[here], 101 + m) >> np.uint64(64 - bits)))
+    return made
+
+
+def own_counts(keys: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, sorted, and how often ``learned`` places have each (a key leaves a bit free)."""
+    ranked = np.sort(keys << np.uint64(1) | learned.astype(np.uint64))
+    keys = ranked >> np.uint64(1)
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[starts], np.add.reduceat((ranked & np.uint64(1)).astype(np.int64), starts) if len(starts) else starts
 
 
 class Grams:
-    """The different n-grams of some texts, of all lengths up to the order, numbered by their sorted keys.
+    """The different n-grams of some texts, those of a length numbered by their sorted keys.
 
-    at[m - 1]: number of the m-gram that ends at each token (-1 where the text is too short). Of each n-gram: its
-    length, how often ``learned`` tokens end one, the n-gram without its last word (context) and without its first (suffix).
+    Lists by length: at, the number of the n-gram that ends at each token (-1 where the text is too short); keys; and of each
+    n-gram the number of that without its last word (context) and of that without its first (suffix).
     """
 
-    def __init__(self, tokens: np.ndarray, ends: np.ndarray, learned: np.ndarray, order: int, bits: int = 64):
-        tag = max(1, (order - 1).bit_length())
-        place = np.arange(len(tokens)) - np.repeat(ends[:-1], np.diff(ends))
-        keys, raw = [], tokens
-        for m in range(order):
-            if m:
-                raw = np.concatenate([[np.uint64(0)], raw[:-1]]) * _MUL + tokens
-            keys.append((seeded(raw, 101 + m)[place >= m] >> np.uint64(64 - bits + tag)) << np.uint64(tag) | np.uint64(m))
-        every = np.concatenate(keys)
-        by_key = np.argsort(every)
-        ranked = every[by_key]
-        new = np.ones(len(every), bool)
-        new[1:] = ranked[1:] != ranked[:-1]
-        which = np.empty(len(every), np.int32)
-        which[by_key] = np.cumsum(new) - 1
-        self.ends, self.order, self.keys = ends, order, ranked[new]
-        self.length = (self.keys & np.uint64((1 << tag) - 1)).astype(np.int8) + 1
-        self.at = []
-        for m, numbers in enumerate(np.split(which, np.cumsum([len(k) for k in keys])[:-1])):
-            self.at.append(np.full(len(tokens), -1, np.int32))
-            self.at[m][place >= m] = numbers
-        self.own = np.bincount(np.concatenate([x[learned & (x >= 0)] for x in self.at]), minlength=len(self.keys))
-        self.context, self.suffix = (np.full(len(self.keys), -1, np.int32) for _ in range(2))
-        for m in range(1, order):
-            here = np.flatnonzero(self.at[m] >= 0)
-            self.context[self.at[m][here]] = self.at[m - 1][here - 1]
-            self.suffix[self.at[m][here]] = self.at[m - 1][here]
-
-    def followers(self, counted: np.ndarray) -> np.ndarray:
-        """How many of the n-grams chosen have each n-gram as their context."""
-        return np.bincount(self.context[counted & (self.context >= 0)], minlength=len(self.keys))
-
-    def census(self, counts: np.ndarray, counted: np.ndarray) -> np.ndarray:
-        """By length: how many of the n-grams chosen there are, how many seen once, and how many twice."""
-        return np.stack([np.bincount(self.length[counted & of], minlength=self.order + 1)[1:] for of in (counts > 0, counts == 1, counts == 2)], axis=1).ravel()
+    def __init__(self, tokens: np.ndarray, ends: np.ndarray, order: int, bits: int = 63):
+        self.ends, self.order = ends, order
+        self.at, self.keys, self.context, self.suffix = [], [], [], []
+        for m, (here, keys) in enumerate(gram_keys(tokens, ends, order, bits)):
+            by_key = np.argsort(keys)
+            ranked = keys[by_key]
+            new = np.ones(len(keys), bool)
+            new[1:] = ranked[1:] != ranked[:-1]
+            at = np.full(len(tokens), -1, np.int32)
+            at[here[by_key]] = np.cumsum(new, dtype=np.int32) - 1
+            one = here[by_key[new]]  # a place of each
+            self.at.append(at)
+            self.keys.append(ranked[new])
+            self.context.append(self.at[m - 1][one - 1] if m else np.full(len(one), -1, np.int32))
+            self.suffix.append(self.at[m - 1][one] if m else np.full(len(one), -1, np.int32))
+
+    def followers(self, m: int, counted: np.ndarray) -> np.ndarray:
+        """Of each n-gram of list m: how many n-grams of the next list, of those chosen, have it as their context."""
+        return np.bincount(self.context[m + 1][counted], minlength=len(self.keys[m]))
+
+
+def census(counts: list[np.ndarray], counted: list[np.ndarray]) -> np.ndarray:
+    """By length: how many of the n-grams chosen were seen, how many once, and how many twice."""
+    return np.array([[(n[of] > 0).sum(), (n[of] == 1).sum(), (n[of] == 2).sum()] for n, of in zip(counts, counted, strict=True)], np.int64).ravel()
 
 
 def discounts(census: np.ndarray) -> np.ndarray:
@@ -101,20 +112,22 @@ def discounts(census: np.ndarray) -> np.ndarray:
 
 
 class Automaton:
-    """The part of the model that some texts reach. counts and follow: of each of their n-grams over the training texts."""
-
-    def __init__(self, grams: Grams, counts: np.ndarray, follow: np.ndarray, total: int, types: int, discount: np.ndarray):
-        self.grams, self.seen = grams, counts > 0
-        p = (counts + 1.0) / (total + types + 1.0)  # right for single words; longer ones are built on these
-        self.fail = np.zeros(len(p))  # weight of the failure arc that an n-gram's context has
-        for m in range(2, grams.order + 1):
-            of = np.flatnonzero(grams.length == m)
-            shorter, context = p[grams.suffix[of]], grams.context[of]
-            state = counts[context] > 0
-            n, left = np.maximum(counts[context], 1), discount[m - 1] * follow[context]
-            p[of] = np.where(state, (np.maximum(counts[of] - discount[m - 1], 0) + left * shorter) / n, shorter)
-            self.fail[of[state]] = np.log10(left[state] / n[state])
-        self.arc = np.log10(p)
+    """The part of the model that some texts reach. counts and follow: of each of their n-grams over the training texts, by length."""
+
+    def __init__(self, grams: Grams, counts: list[np.ndarray], follow: list[np.ndarray], total: int, types: int, discount: np.ndarray):
+        self.grams, self.seen = grams, [n > 0 for n in counts]
+        p = (counts[0] + 1.0) / (total + types + 1.0)
+        self.arc, self.fail = [np.log10(p)], [np.zeros(len(p))]  # fail: weight of the failure arc that an n-gram's context has
+        for m in range(1, grams.order):
+            context, shorter = grams.context[m], p[grams.suffix[m]]
+            n = counts[m - 1][context]
+            state = n > 0
+            left = discount[m] * follow[m - 1]
+            p = np.where(state, (np.maximum(counts[m] - discount[m], 0) + left[context] * shorter) / np.maximum(n, 1), shorter)
+            with np.errstate(divide="ignore"):
+                fail = np.log10(left / np.maximum(counts[m - 1], 1))
+            self.arc.append(np.log10(p))
+            self.fail.append(np.where(state, fail[context], 0.0))
 
     def walk(self) -> np.ndarray:
         """Log10 probability of each text; texts advance side by side, a token at a time, each with its state."""
@@ -136,9 +149,9 @@ class Automaton:
             for m in range(longest, -1, -1):  # those in a context of m words; what has no arc fails to m - 1
                 rows = np.flatnonzero(now == m)
                 gram = at[m][place[rows]]
-                known = self.seen[gram]
+                known = self.seen[m][gram]
                 taken = known | (m == 0)
-                gain[rows] += np.where(taken, self.arc[gram], self.fail[gram])
+                gain[rows] += np.where(taken, self.arc[m][gram], self.fail[m][gram])
                 after[rows[known]] = min(m + 1, longest)
                 now[rows] = np.where(taken, -1, m - 1)
             score[live] += np.where(place >= begin[live], gain, 0.0)
@@ -149,51 +162,83 @@ class Automaton:
 
 ASKED = "block long, shard long, keys binary, vals binary"
 TOLD = "block long, shard long, vals binary"
-#: The shard of what is summed over all blocks.
+#: The shard of what is summed over all blocks. List m of n-grams has the shards from m * shards on.
 SUMS = -1
+#: Added to the shards of the second answer.
+SECOND = 1 << 40
 
 
-def asked_rows(block: int, keys: np.ndarray, vals: np.ndarray, sums: np.ndarray, shards: int, bits: int) -> pa.Table:
-    """Sorted keys with values for the shards that they belong to, and numbers to be summed."""
-    cuts = np.searchsorted(keys, [-(-(s << bits) // shards) for s in range(shards)] if len(keys) else np.zeros(shards, np.uint64))
-    cuts = np.append(cuts, len(keys))
-    full = np.flatnonzero(np.diff(cuts))
-    return pa.table(
-        {
-            "block": pa.array(np.full(len(full) + 1, block), pa.int64()),
-            "shard": pa.array([*full.tolist(), SUMS], pa.int64()),
-            "keys": pa.array([*(squeezed(planes(np.diff(keys[cuts[s] : cuts[s + 1]], prepend=np.uint64(0)))) for s in full), b""], pa.binary()),
-            "vals": pa.array([*(squeezed(planes(vals[cuts[s] : cuts[s + 1]].astype(np.uint64))) for s in full), sums.astype(np.int64).tobytes()], pa.binary()),
-        }
-    )
+def cuts_of(keys: np.ndarray, shards: int, bits: int) -> np.ndarray:
+    """Where each shard's part of sorted keys starts, and their end."""
+    return np.append(np.searchsorted(keys, np.array([-(-(s << bits) // shards) for s in range(shards)], np.uint64)), len(keys))
 
 
-def told_rows(table: pa.Table) -> pa.Table:
-    """What a shard answers its blocks: of each key 4 * sum + 2 * (several blocks name it) + (this block is its owner)."""
-    if table["shard"][0].as_py() == SUMS:
-        total = sum(np.frombuffer(x, np.int64) for x in table["vals"].to_pylist()).astype(np.int64).tobytes()
-        return pa.table([table["block"], table["shard"], pa.array([total] * len(table), pa.binary())], names=["block", "shard", "vals"])
+def shard_rows(block: int, cuts: list[np.ndarray], vals: list[np.ndarray], sums: np.ndarray, keys: list[np.ndarray] | None = None) -> pa.Table:
+    """Values, by list and shard, with the keys that they belong to or without; and numbers to be summed."""
+    shard, named, valued = [SUMS], [b""], [sums.astype(np.int64).tobytes()]
+    for m, values in enumerate(vals):
+        for s in np.flatnonzero(np.diff(cuts[m])).tolist():
+            part = slice(cuts[m][s], cuts[m][s + 1])
+            shard.append(m * (len(cuts[m]) - 1) + s)
+            named.append(planes(np.diff(keys[m][part], prepend=np.uint64(0))) if keys else b"")
+            valued.append(squeezed(planes(values[part].astype(np.uint64))))
+    return pa.table([pa.array([block] * len(shard), pa.int64()), pa.array(shard, pa.int64()), pa.array(named, pa.binary()), pa.array(valued, pa.binary())], names=["block", "shard", "keys", "vals"])
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.int64) for x in table["vals"].to_pylist()).astype(np.int64).tobytes()
+    return pa.table([table["block"], table["shard"], pa.array([total] * len(table), pa.binary())], names=["block", "shard", "vals"])
+
+
+def _merged(table: pa.Table) -> tuple[pa.Table, list[int], np.ndarray, np.ndarray]:
+    """A shard's rows by block, how many keys each has, the order that sorts all of their keys, and where a new key starts there."""
     table = table.take(pa.array(np.argsort(table["block"].to_numpy())))
-    keys = [np.cumsum(unplanes(unsqueezed(x), np.uint64), dtype=np.uint64) for x in table["keys"].to_pylist()]
-    sizes = [len(k) for k in keys]
-    every, vals = np.concatenate(keys), np.concatenate([unplanes(unsqueezed(x), np.uint64) for x in table["vals"].to_pylist()]).astype(np.int64)
+    keys = [np.cumsum(unplanes(x, np.uint64), dtype=np.uint64) for x in table["keys"].to_pylist()]
+    every = np.concatenate(keys)
     by_key = np.argsort(every)
-    ranked, vals = every[by_key], vals[by_key]
-    row = np.repeat(np.arange(len(keys)), sizes)[by_key]
-    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    runs = np.diff(starts, append=len(ranked))
-    owner = np.minimum.reduceat(np.where(vals > 0, row, len(keys)), starts)
-    answer = np.repeat(4 * np.add.reduceat(vals, starts) + 2 * (runs > 1), runs) + (row == np.repeat(owner, runs))
-    back = np.empty(len(every), np.uint64)
+    ranked = every[by_key]
+    return table, [len(k) for k in keys], by_key, np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+
+
+def _values(table: pa.Table) -> np.ndarray:
+    return np.concatenate([unplanes(unsqueezed(x), np.uint64) for x in table["vals"].to_pylist()]).astype(np.int64)
+
+
+def _answered(table: pa.Table, sizes: list[int], by_key: np.ndarray, answer: np.ndarray) -> pa.Table:
+    back = np.empty(len(by_key), np.uint64)
     back[by_key] = answer
     parts = np.split(back, np.cumsum(sizes)[:-1])
     return pa.table([table["block"], table["shard"], pa.array([squeezed(planes(p)) for p in parts], pa.binary())], names=["block", "shard", "vals"])
 
 
-def told(replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The answers to one block in the order of its sorted keys, and the sums."""
+def count_rows(table: pa.Table) -> pa.Table:
+    """What a shard answers its blocks: of each key 4 * sum + 2 * (several blocks name it) + (this block is its owner)."""
+    if table["shard"][0].as_py() == SUMS:
+        return _summed(table)
+    table, sizes, by_key, starts = _merged(table)
+    vals = _values(table)[by_key]
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[by_key]
+    runs = np.diff(starts, append=len(by_key))
+    owner = np.minimum.reduceat(np.where(vals > 0, row, len(sizes)), starts)
+    return _answered(table, sizes, by_key, np.repeat(4 * np.add.reduceat(vals, starts) + 2 * (runs > 1), runs) + (row == np.repeat(owner, runs)))
+
+
+def follower_rows(table: pa.Table, later: pa.Table) -> pa.Table:
+    """The sum of each key's values in the later question, whose rows have no keys: those of the first are meant."""
+    if not len(later):
+        return later.select(["block", "shard", "vals"])
+    if later["shard"][0].as_py() == SUMS:
+        return _summed(later)
+    table, sizes, by_key, starts = _merged(table)
+    later = later.take(pa.array(np.argsort(later["block"].to_numpy())))
+    return _answered(later, sizes, by_key, np.repeat(np.add.reduceat(_values(later)[by_key], starts), np.diff(starts, append=len(by_key))))
+
+
+def told(replies: pa.Table, lists: list[np.ndarray], shards: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The answers to one block, list by list in the order of the sorted keys, and the sums."""
     by_shard = replies.take(pa.array(np.argsort(replies["shard"].to_numpy())))["vals"].to_pylist()
-    return np.concatenate([np.empty(0, np.int64), *(unplanes(unsqueezed(x), np.uint64).astype(np.int64) for x in by_shard[1:])]), np.frombuffer(by_shard[0], np.int64)
+    vals = np.concatenate([np.empty(0, np.int64), *(unplanes(unsqueezed(x), np.uint64).astype(np.int64) for x in by_shard[1:])])
+    return np.split(vals, np.cumsum([len(k) for k in lists])[:-1]), np.frombuffer(by_shard[0], np.int64)
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -210,60 +255,62 @@ def score_documents(docs: DataFrame, order: int = ORDER, held_out=is_held_out, b
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     count = max(1, math.ceil(size / block_bytes), min(partitions, math.ceil(size / LEAST_BYTES)))
-    bits = min(64, math.ceil(math.log2(size + 2)) + SPARE_BITS)
+    bits = min(63, math.ceil(math.log2(size + 2)) + SPARE_BITS)
     blocks = chunked(docs, count)
 
-    def grams_of(table: pa.Table):
+    def opened(table: pa.Table):
         rows = dechunked(table)
-        tokens, ends = token_stream(rows["text"].to_pylist())
+        tokens, ends = token_stream(rows["text"])
         out = np.asarray([held_out(d) for d in rows["doc_id"].to_pylist()], bool)
-        learned = ~np.repeat(out, np.diff(ends))
-        return Grams(tokens, ends, learned, order, bits), rows["doc_id"], out, int(learned.sum())
+        return rows["doc_id"], out, tokens, ends
 
-    def counted(grams: Grams, answer: np.ndarray):
-        """Counts, which n-grams this block owns, and which contexts other blocks may have other followers of."""
-        counts = answer >> 2
-        return counts, (answer & 1) > 0, ((answer & 2) > 0) & (grams.length < order) & (counts > 1)
+    def on_block(table: pa.Table) -> pa.Table:
+        _, out, tokens, ends = opened(table)
+        learned = ~np.repeat(out, np.diff(ends))
+        keys, vals = zip(*(own_counts(k, learned[here]) for here, k in gram_keys(tokens, ends, order, bits)), strict=True)
+        return shard_rows(table["block"][0].as_py(), [cuts_of(k, count, bits) for k in keys], vals, np.array([learned.sum()]), keys)
 
-    def ask_counts(table: pa.Table) -> pa.Table:
-        grams, _, _, learned = grams_of(table)
-        return asked_rows(table["block"][0].as_py(), grams.keys, grams.own, np.array([learned]), count, bits)
+    def counted(answer: list[np.ndarray]):
+        """Counts, which n-grams this block owns, and which it shares."""
+        return [a >> 2 for a in answer], [(a & 1) > 0 for a in answer], [(a & 2) > 0 for a in answer]
 
-    def ask_followers(table: pa.Table, replies: pa.Table) -> pa.Table:
-        if not len(table):
-            return asked_rows(0, np.empty(0, np.uint64), np.empty(0), np.empty(0), count, bits)[:0]
-        grams, *_ = grams_of(table)
-        counts, owned, asked = counted(grams, told(replies)[0])
-        return asked_rows(table["block"][0].as_py(), grams.keys[asked], grams.followers(owned)[asked], grams.census(counts, owned), count, bits)
+    def on_counts(table: pa.Table, replies: pa.Table) -> pa.Table:
+        _, _, tokens, ends = opened(table)
+        grams = Grams(tokens, ends, order, bits)
+        counts, owned, shared = counted(told(replies, grams.keys, count)[0])
+        known = census(counts, owned)
+        vals = [np.where(shared[m] & (counts[m] > 1), grams.followers(m, owned[m + 1]), 0) for m in range(order - 1)]
+        return shard_rows(table["block"][0].as_py(), [cuts_of(k, count, bits) for k in grams.keys], vals, known)
 
     def rows(table: pa.Table, replies: pa.Table) -> pa.Table:
-        if not len(table):
-            return SCORES.empty_table()
-        grams, ids, out, _ = grams_of(table)
-        second = replies["shard"].to_numpy() > count
-        answer, (total,) = told(replies.filter(pa.array(~second)))
-        counts, owned, asked = counted(grams, answer)
-        answer, census = told(replies.filter(pa.array(second)))
-        follow = np.where(counts > 1, grams.followers(owned), counts)
-        follow[asked] = answer >> 2
-        types, ends = int(census[0]), grams.ends
-        single = counts[grams.at[0]]
+        ids, out, tokens, ends = opened(table)
+        grams = Grams(tokens, ends, order, bits)
+        later = pc.greater_equal(replies["shard"], pa.scalar(SECOND + SUMS))
+        answer, (total,) = told(replies.filter(pc.invert(later)), grams.keys, count)
+        counts, owned, shared = counted(answer)
+        answer, known = told(replies.filter(later), grams.keys[:-1], count)
+        # what only this block has is followed only here, and what was seen once by one word
+        follow = [np.where(shared[m], np.where(counts[m] > 1, answer[m], counts[m]), grams.followers(m, owned[m + 1])) for m in range(order - 1)]
+        types = int(known[0])
+        single = counts[0][grams.at[0]]
         base = np.add.reduceat(np.log10((single + 1.0) / (total + types + 1.0)), ends[:-1])
-        known = np.add.reduceat((single > 0).astype(np.int64), ends[:-1])
-        score = Automaton(grams, counts, follow, total, types, discounts(census)).walk()
-        return pa.table([ids.cast(pa.int64()), pa.array(out), *map(pa.array, (np.diff(ends), known, np.full(len(out), total), base, score))], schema=SCORES)
+        n_known = np.add.reduceat((single > 0).astype(np.int64), ends[:-1])
+        score = Automaton(grams, counts, follow, total, types, discounts(known)).walk()
+        return pa.table([ids.cast(pa.int64()), pa.array(out), *map(pa.array, (np.diff(ends), n_known, np.full(len(out), total), base, score))], schema=SCORES)
 
-    def on_shard(table: pa.Table) -> pa.Table:
-        return trimmed(told_rows)(table)
+    def question(table: pa.Table) -> pa.Table:
+        return trimmed(on_block)(table)
 
-    def on_block(table: pa.Table) -> pa.Table:
-        return trimmed(ask_counts)(table)
+    def first_answer(table: pa.Table) -> pa.Table:
+        return trimmed(count_rows)(table)
 
-    def on_answers(table: pa.Table, replies: pa.Table) -> pa.Table:
-        return trimmed(ask_followers)(table, replies)
+    def second_answer(table: pa.Table, later: pa.Table) -> pa.Table:
+        return trimmed(follower_rows)(table, later)
 
-    first = blocks.groupBy("block").applyInArrow(on_block, ASKED).groupBy("shard").applyInArrow(on_shard, TOLD)
-    later = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(on_answers, ASKED).groupBy("shard").applyInArrow(on_shard, TOLD)
-    replies = first.union(later.withColumn("shard", F.col("shard") + count + 2))  # a second answer's shards come after those of the first
+    asked = blocks.groupBy("block").applyInArrow(question, ASKED)
+    first = asked.groupBy("shard").applyInArrow(first_answer, TOLD).repartition(partitions, "block")
+    again = finish(blocks, first, on_counts, ASKED)
+    second = asked.groupBy("shard").cogroup(again.groupBy("shard")).applyInArrow(second_answer, TOLD)
+    replies = first.union(second.withColumn("shard", F.col("shard") + SECOND).repartition(partitions, "block"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return finish(blocks, replies, rows, schema)

@@ -177,7 +177,7 @@ def keep_first(docs: DataFrame, window: int = WINDOW, others: list[str] | None =
             np.add.at(edge, hit, 1)
             np.add.at(edge, hit + window, -1)
             covered = np.cumsum(edge[:-1]) > 0
-            for d in np.unique(doc[right]).tolist():
+            for d in sorted(set(doc[right].tolist())):
                 gone[d] = covered[ends[d] : ends[d + 1]]
         out = []
         for d, text in enumerate(texts):

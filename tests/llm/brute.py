@@ -96,3 +96,38 @@ def strong_spans(text):
     found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
     found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
     return sorted(found)
+
+
+#: Weak kinds: rank, name, pattern, and what a match must hold.
+WEAK = (
+    (3, "key_id", re.compile(r"(?<![A-Za-z0-9])[A-Z][A-Z0-9]{15,}(?![A-Za-z0-9])"), ("[0-9]",)),
+    (4, "key_secret", re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}"), ("[0-9]", "[a-z]", "[A-Z]")),
+    (5, "endpoint", re.compile(r"(?<![A-Za-z0-9])(?:https?|s3|redis|postgres|mysql|amqp)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{4,}"), ()),
+)
+
+
+def all_spans(text, reach=256):
+    """Strong spans, and the weak ones that are linked: every scope is looked at alone."""
+    strong = strong_spans(text)
+    weak = []
+    for rank, kind, pattern, needs in WEAK:
+        for m in pattern.finditer(text or ""):
+            if all(re.search(n, m[0]) for n in needs):
+                weak.append((m.start(), rank, kind, m.end()))
+    weak = [w for w in weak if w[1] == 5 or not any(s[0] < w[3] and w[0] < s[3] for s in strong)]
+    linked = set()
+    for k in range(-1, len(text or "") // reach + 1):
+        inside = [s for s in strong + weak if s[0] < (k + 2) * reach and s[3] > k * reach]
+        kinds = {s[2] for s in inside}
+        if kinds & {"access", "key_id"} and kinds & {"assign", "hex", "key_secret"}:
+            linked |= {s for s in inside if s[1] > 2}
+    return sorted([*strong, *linked])
+
+
+def redacted(text, mark="[secret]"):
+    out, at = "", 0
+    for start, _, _, end in all_spans(text):
+        if start >= at:
+            out += text[at:start] + mark
+        at = max(at, end)
+    return out + text[at:]

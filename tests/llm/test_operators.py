@@ -116,11 +116,15 @@ def test_any_number_of_blocks(real):
 
 def automaton(texts, learned, order):
     """Of one block: every n-gram is its own."""
-    tokens, ends = language_model.token_stream(texts)
-    grams = language_model.Grams(tokens, ends, np.repeat(learned, np.diff(ends)), order)
-    counts, every = grams.own, grams.own > 0
-    census = grams.census(counts, every)
-    return language_model.Automaton(grams, counts, grams.followers(every), int(counts[grams.length == 1].sum()), int(census[0]), language_model.discounts(census))
+    import pyarrow as pa
+
+    tokens, ends = language_model.token_stream(pa.array(texts, pa.string()))
+    grams = language_model.Grams(tokens, ends, order)
+    learned = np.repeat(learned, np.diff(ends))
+    counts = [language_model.own_counts(k, learned[here])[1] for here, k in language_model.gram_keys(tokens, ends, order, 63)]
+    every = [n > 0 for n in counts]
+    census = language_model.census(counts, every)
+    return language_model.Automaton(grams, counts, [grams.followers(m, every[m + 1]) for m in range(order - 1)], int(counts[0].sum()), int(census[0]), language_model.discounts(census))
 
 
 def test_walk_carries_state_over_segments(monkeypatch):
@@ -137,16 +141,30 @@ def test_automaton_is_normalized():
     train = ["a b a b a a c", "b a"]
     mass = 0.0
     for w in ("a", "b", "c", "new", None):
-        walked = automaton([*train, f"a b {w}" if w else "a b"], [True, True, False], 3)
-        tokens, place = walked.grams.ends[2], walked.grams.at
-        gram = place[2][tokens + 2]  # the third token's, after the context a b
-        p = walked.arc[gram] if walked.seen[gram] else walked.fail[gram] + (walked.arc if walked.seen[walked.grams.suffix[gram]] else walked.fail)[walked.grams.suffix[gram]]
-        if not walked.seen[gram] and not walked.seen[walked.grams.suffix[gram]]:
-            p += walked.arc[place[0][tokens + 2]]
+        made = automaton([*train, f"a b {w}" if w else "a b"], [True, True, False], 3)
+        place, p = made.grams.ends[2] + 2, 0.0  # the third token of the last text, after the context a b
+        for m in (2, 1, 0):
+            gram = made.grams.at[m][place]
+            if made.seen[m][gram] or not m:
+                p += made.arc[m][gram]
+                break
+            p += made.fail[m][gram]
         mass += 10**p
     assert mass == pytest.approx(1)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from("aAb \t\né\x85"), max_size=12)), max_size=8), st.booleans(), st.integers(0, 2))
+def test_column_hashes_tell_words_apart(texts, lower, skipped):
+    import pyarrow as pa
+
+    hashes, ends = words.column_hashes(pa.array([None] * skipped + texts, pa.string())[skipped:], lower)
+    parts = [words.words(t, lower) for t in texts]
+    assert np.diff(ends).tolist() == [len(p) for p in parts]
+    flat = [w for p in parts for w in p]
+    assert len(set(hashes.tolist())) == len(set(flat)) == len(set(zip(hashes.tolist(), flat, strict=True)))
+
+
 def test_language_model_of_odd_rows(documents):
     got = language_model.score_documents(documents(ODD)).collect()
     assert len(got) == len(ODD) and {r["n_tokens"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
@@ -244,6 +262,39 @@ def test_weak_parts_of_any_length(documents):
     assert [r["text"] for r in secrets.redacted(docs).orderBy("doc_id").collect()][:3] == ["[secret] [secret] .", "[secret] [secret] .", "[secret] [secret] [secret] ."]
 
 
+PARTS = [KEY, SECRET, "AKIA12345678901234", "f" * 20, "token = abcdefghijkl", "https://db.example.com/a", "s3://b.c/d", "password:short", "é", "plain words", "\n", "x " * 90, SECRET * 3, KEY * 20]
+
+
+def test_all_kinds_and_links_equal_brute_force(documents, real):
+    rng = random.Random(9)
+    made = [rng.choice([" ", ", ", "", "\n"]).join(rng.choices(PARTS, k=rng.randint(1, 25))) for _ in range(300)]
+    texts = made + [t for _, t in real[1]]
+    docs = documents(list(enumerate(texts)))
+    found = by_id(secrets.with_spans(docs), "spans")
+    marked = by_id(secrets.redacted(docs), "text")
+    assert sum(s["rank"] > 2 for x in found.values() for s in x[0]) > 500
+    for d, t in enumerate(texts):
+        assert [tuple(s) for s in found[d][0]] == [(a, k, n, b) for a, k, n, b in brute.all_spans(t)]
+        assert marked[d][0] == brute.redacted(t)
+
+
+def test_many_matches_in_one_text(documents):
+    hexes, ids = "0123456789abcdef0 " * 80_000, f"{KEY} {SECRET} " * 10_000
+    rows = secrets.with_spans(documents([(1, hexes), (2, ids)])).select("doc_id", F.size("spans").alias("n")).collect()
+    assert sorted(tuple(r) for r in rows) == [(1, 80_000), (2, 20_000)]
+    assert [r["text"] for r in secrets.redacted(documents([(1, hexes)])).collect()] == ["[secret] " * 80_000]
+
+
+def test_no_column_name_clashes(documents):
+    names = ["spans", "row", "text_", "found", "met", "_met", "_spans", "_strong", "_assign", "now", "before", "m", "a.b", *secrets.KINDS]
+    docs = documents([(1, f"{KEY} {SECRET}"), (1, f"{KEY} {SECRET}"), (2, None)]).select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    marked = secrets.redacted(docs)
+    assert marked.columns == docs.columns and sorted(r["text"] or "" for r in marked.collect()) == ["", "[secret] [secret]", "[secret] [secret]"]
+    assert all(list(r)[5:] == list(range(len(names))) for r in marked.collect())
+    assert secrets.with_spans(docs).columns == [c for c in docs.columns if c != "spans"] + ["spans"]
+    assert secrets.with_spans(documents([])).count() == 0 and secrets.redacted(documents([])).count() == 0
+
+
 def test_redaction(documents):
     texts = ["x token=abcdefghijklmnop y", None, "", "plain", "é " + "f" * 20 + " password: " + "0123456789abcdef" * 2]
     got = [r["text"] for r in secrets.redacted(documents(list(enumerate(texts)))).orderBy("doc_id").collect()]
@@ -344,11 +395,44 @@ def test_quality_on_held_out_labels(spark):
     assert share[1, 0] > 0.93 and share[0, 0] < 0.2 and share[1, 1] < 0.5
 
 
+def test_quality_equals_brute_force(spark, small, real):
+    df, rows = real
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    told = {r["doc_id"]: r["quality"] == 1 and r["toxic"] == 0 for r in labels.collect()}
+    noise = {r["doc_id"]: quality.noise_of(np.array([r["tie"]]))[0] for r in df.select("doc_id", F.xxhash64("doc_id", "text").alias("tie")).collect()}
+    grams = {d: Counter(quality.buckets(t).tolist()) for d, t in rows}
+    raw, target = Counter(), Counter()
+    for d, g in grams.items():
+        raw.update(g)
+        if told.get(d):
+            target.update(g)
+    total = {of: [sum(n for b, n in c.items() if b // quality.BUCKETS == of) for c in (target, raw)] for of in range(3)}
+
+    def ratio(b):
+        t, r = total[b // quality.BUCKETS]
+        seen, expected = target[b] + 3.0, raw[b] * t / r + 3.0
+        x = math.log(seen / expected)
+        return math.copysign(max(0.0, abs(x) - math.sqrt(1 / seen + 1 / expected)), x)
+
+    weight = {d: sum(n * ratio(b) for b, n in g.items()) for d, g in grams.items()}
+    cut = np.quantile([weight[d] for d, good in told.items() if good], quality.KEPT)
+    drawn = sorted(weight, key=lambda d: -weight[d] - noise[d])[: sum(w >= cut for w in weight.values())]
+    got = by_id(quality.quality_digest(df, labels), "n_features", "log_weight", "kept")
+    assert {d for d, v in got.items() if v[2]} == set(drawn)
+    assert all(v[0] == sum(grams[d].values()) and v[1] == pytest.approx(weight[d], rel=1e-4, abs=1e-2) for d, v in got.items())
+    some = quality.importance_resample(df, labels, k=7).where("kept").select("row.*")
+    assert {r["doc_id"] for r in some.collect()} == set(sorted(weight, key=lambda d: -weight[d] - noise[d])[:7]) and some.columns == df.columns
+
+
 def test_quality_of_odd_rows(spark, documents):
     labels = spark.createDataFrame([(4, 1, 0), (4, 1, 0), (6, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     assert quality.quality_digest(documents(ODD), labels).count() == len(ODD)
     assert quality.quality_digest(documents(ODD), labels.limit(0)).where("kept").count() == len(ODD)
     assert quality.quality_digest(documents([]), labels).count() == 0
+    names = ["good", "_good", "row", "key", "kept", "tie", "n_features", "log_weight", "_tie", "a.b"]
+    clashing = documents(ODD).select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    made = quality.importance_resample(clashing, labels).select("row.*")
+    assert made.columns == clashing.columns and all(list(r)[5:] == list(range(len(names))) for r in made.collect())
 
 
 @settings(max_examples=8, deadline=None)
