@@ -41,21 +41,27 @@ SELECT w.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS
 
 _PREFIX = "^(?:[A-Za-z][A-Za-z0-9+.-]*://)?"
 
+_MOMENT = "printf('2024-01-%02dT%02d:%02d:%02dZ', 1 + sec // 86400, sec // 3600 % 24, sec // 60 % 60, sec % 60)"
+
 OP9 = rf"""
-WITH u AS (SELECT page_id AS p, md5(coalesce(html, '')) AS digest, octet_length(encode(html)) AS size, regexp_replace(trim(url), '#.*$', '') AS url FROM pages),
-c AS (SELECT *, '"' || substring(digest, 1, 16) || '"' AS tag, 'day ' || (p % 365) AS day,
-regexp_replace(regexp_replace(lower(regexp_extract(url, '{_PREFIX}([^/?]*)', 1)), '^www[0-9]*\.', ''), ':(80|443)$', '') || regexp_replace(regexp_extract(url, '{_PREFIX}[^/?]*([^?]*)', 1), '/(index\.html?)?$', '') AS base,
-list_sort(list_filter(string_split(regexp_extract(url, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS q FROM u),
-d AS (SELECT *, base || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical_url FROM c),
-r AS (SELECT 2 * p AS id, canonical_url, 'response' AS kind, digest, tag, day, size, NULL AS mine, NULL AS mine_day FROM d UNION ALL
-SELECT 2 * p + 1, canonical_url, 'revisit', NULL, NULL, NULL, NULL, CASE WHEN p % 5 = 0 THEN '"other"' WHEN p % 7 = 0 OR p % 11 = 0 THEN NULL ELSE 'W/' || tag END, CASE WHEN p % 11 <> 0 THEN day END FROM d),
-x AS (SELECT *, last_value(CASE WHEN kind = 'response' THEN {{'id': id, 'digest': digest, 'tag': tag, 'day': day, 'size': size}} END IGNORE NULLS) OVER (PARTITION BY canonical_url ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM r),
-y AS (SELECT *, CASE WHEN kind = 'response' THEN 'full' WHEN f IS NULL THEN 'missing' WHEN mine IS NOT NULL THEN CASE WHEN regexp_replace(mine, '^W/', '') = f.tag THEN 'resolved' ELSE 'stale' END
-WHEN mine_day IS NOT NULL THEN CASE WHEN mine_day = f.day THEN 'resolved' ELSE 'stale' END ELSE 'unvalidated' END AS outcome FROM x)
+WITH u AS (SELECT page_id AS p, url AS own, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || '/' AS front, coalesce(html, '') AS html, page_id * 7919 % 10007 AS t FROM pages),
+e AS (SELECT *, '"' || substring(md5(html), 1, 16) || '"' AS etag, '"v' || (p % 4) || '"' AS version, 'day ' || (p % 365) AS day FROM u),
+i AS (SELECT 4 * p AS id, own AS raw, t AS sec, 'response' AS kind, 200 AS status, html AS payload, etag AS tag, day FROM e
+UNION ALL SELECT 4 * p + 1, own, t + 1 + p * 31 % 5000, 'revisit', 304, NULL, CASE WHEN p % 5 = 0 THEN '"other"' WHEN p % 7 = 0 OR p % 11 = 0 THEN NULL ELSE 'W/' || etag END, CASE WHEN p % 11 <> 0 THEN day END FROM e
+UNION ALL SELECT 4 * p + 2, front, t + 7, 'response', CASE WHEN p % 6 = 0 THEN 503 ELSE 200 END, left(html, 200), version, NULL FROM e
+UNION ALL SELECT 4 * p + 3, front, t + 7 + p * 13 % 10007, 'revisit', 304, NULL, 'W/' || version, NULL FROM e),
+n AS (SELECT *, regexp_replace(trim(raw), '#.*$', '') AS url FROM i),
+c AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(url, '{_PREFIX}([^/?]*)', 1)), '^www[0-9]*\.', ''), ':(80|443)$', '') || regexp_replace(regexp_extract(url, '{_PREFIX}[^/?]*([^?]*)', 1), '/(index\.html?)?$', '') AS base,
+list_sort(list_filter(string_split(regexp_extract(url, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS q FROM n),
+r AS (SELECT *, base || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical_url, 'md5:' || md5(payload) AS digest, octet_length(encode(payload)) AS size, {_MOMENT} AS date FROM c),
+x AS (SELECT *, last_value(CASE WHEN status = 200 AND canonical_url IS NOT NULL THEN {{'id': id, 'digest': digest, 'tag': tag, 'day': day, 'size': size}} END IGNORE NULLS)
+OVER (PARTITION BY canonical_url ORDER BY sec, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM r),
+y AS (SELECT *, CASE WHEN kind = 'response' THEN 'full' WHEN f IS NULL THEN 'missing' WHEN tag IS NOT NULL THEN CASE WHEN regexp_replace(tag, '^W/', '') = f.tag THEN 'resolved' ELSE 'stale' END
+WHEN day IS NOT NULL AND f.day IS NOT NULL THEN CASE WHEN day = f.day THEN 'resolved' ELSE 'stale' END ELSE 'unvalidated' END AS outcome FROM x)
 SELECT id AS record_id, canonical_url, kind, CASE WHEN outcome = 'resolved' THEN f.id ELSE -1 END AS refers_to, outcome, CASE WHEN outcome = 'resolved' THEN f.digest ELSE digest END AS payload_digest,
-CASE WHEN kind = 'response' THEN concat_ws(chr(10), 'content-length: ' || size, 'content-type: text/html', 'date: ' || id, 'etag: ' || tag, 'last-modified: ' || day)
-WHEN outcome = 'resolved' THEN concat_ws(chr(10), 'cache-control: max-age=60', 'content-length: ' || f.size, 'content-type: text/html', 'date: ' || id, 'etag: ' || coalesce(mine, f.tag), 'last-modified: ' || f.day)
-ELSE concat_ws(chr(10), 'cache-control: max-age=60', 'content-length: 0', 'date: ' || id, 'etag: ' || mine, 'last-modified: ' || mine_day) END AS headers FROM y
+CASE WHEN kind = 'response' THEN concat_ws(chr(10), 'content-length: ' || size, 'content-type: text/html', 'date: ' || date, 'etag: ' || tag, 'last-modified: ' || day)
+WHEN outcome = 'resolved' THEN concat_ws(chr(10), 'cache-control: max-age=60', 'content-length: ' || f.size, 'content-type: text/html', 'date: ' || date, 'etag: ' || coalesce(tag, f.tag), 'last-modified: ' || f.day)
+ELSE concat_ws(chr(10), 'cache-control: max-age=60', 'content-length: 0', 'date: ' || date, 'etag: ' || tag, 'last-modified: ' || day) END AS headers FROM y
 """
 
 ORACLE_SQL = {"op1_ngram_join": OP1, "op5_near_vectors": OP5, "op6_substring_dedup": OP6, "op9_revisit_resolution": OP9}

@@ -9,7 +9,13 @@ response for the URL is looked up. Then validators decide, and headers are merge
 
 from __future__ import annotations
 
+import gzip
+import zlib
+from collections.abc import Iterator
+from itertools import islice
+
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,89 +105,167 @@ def header_lines(headers: Column) -> Column:
 
 
 def captures_of_pages(pages: DataFrame) -> DataFrame:
-    """Two records of each page: its response, and a later not-modified answer, whose validators fit but for every fifth page's.
+    """A crawl's records of each page: its URL and its host's front page, each captured, and asked for again later.
 
-    Every seventh page has no ETag in its answer and is told by its date; every eleventh has neither.
+    Pages are captured in an order mixed by their number, and asked for again hours later, so captures of
+    a front page lie between others of it; it has four versions, and every sixth capture of it failed. Answers of some pages have
+    another ETag, or none and are told by date, or neither.
     """
-    digest = F.md5(F.coalesce(F.col("html"), F.lit("")))
-    etag = F.concat(F.lit('"'), F.substring(digest, 1, 16), F.lit('"'))
-    day = F.concat(F.lit("day "), F.pmod("page_id", F.lit(365)).cast("string"))
-    number = F.col("page_id")
-
-    def drop_nulls(*pairs):
-        return F.map_filter(F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
-
-    response = drop_nulls(("content-type", F.lit("text/html")), ("content-length", F.octet_length("html").cast("string")), ("etag", etag), ("last-modified", day), ("date", (number * 2).cast("string")))
-    tag = F.when(number % 5 == 0, F.lit('"other"')).when((number % 7 == 0) | (number % 11 == 0), F.lit(None)).otherwise(F.concat(F.lit("W/"), etag))
-    answer = drop_nulls(("content-length", F.lit("0")), ("etag", tag), ("last-modified", F.when(number % 11 != 0, day)), ("date", (number * 2 + 1).cast("string")), ("cache-control", F.lit("max-age=60")))
-
-    def record(shift: int, kind: str, status: int, headers: Column, payload: Column):
-        return F.struct((number * 2 + shift).alias("record_id"), (number * 2 + shift).alias("captured"), F.lit(kind).alias("kind"), F.lit(status).alias("status"), headers.alias("headers"), payload.alias("payload_digest"))
-
-    both = F.array(record(0, "response", 200, response, digest), record(1, "revisit", 304, answer, F.lit(None).cast("string")))
-    return pages.select("url", F.explode(both).alias("r")).select("url", "r.*")
+    page, html = F.col("page_id"), F.coalesce(F.col("html"), F.lit(""))
+    front = F.concat(F.regexp_extract("url", r"^([A-Za-z]+://[^/?#]*)", 1), F.lit("/"))
+    short = F.substring(html, 1, 200)
+    at = F.pmod(page * 7919, F.lit(10_007))
+    etag = F.concat(F.lit('"'), F.substring(F.md5(html), 1, 16), F.lit('"'))
+    day = F.concat(F.lit("day "), F.pmod(page, F.lit(365)).cast("string"))
+    version = F.concat(F.lit('"v'), F.pmod(page, F.lit(4)).cast("string"), F.lit('"'))
+    nothing = F.lit(None).cast("string")
+
+    def moment(second: Column) -> Column:
+        return F.format_string("2024-01-%02dT%02d:%02d:%02dZ", 1 + F.floor(second / 86400), F.floor(second / 3600) % 24, F.floor(second / 60) % 60, second % 60)
+
+    def record(shift: int, url: Column, second: Column, kind: str, status: Column, payload: Column | None, tag: Column, changed: Column) -> Column:
+        told = [("cache-control", F.lit("max-age=60")), ("content-length", F.lit("0"))]
+        if payload is not None:
+            told = [("content-type", F.lit("text/html")), ("content-length", F.octet_length(payload).cast("string"))]
+        told += [("etag", tag), ("last-modified", changed), ("date", moment(second))]
+        headers = F.map_filter(F.create_map(*[x for k, v in told for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+        body = F.encode(payload, "utf-8") if payload is not None else F.lit(b"")
+        digest = F.concat(F.lit("md5:"), F.md5(payload)) if payload is not None else nothing
+        names = {"record_id": page * 4 + shift, "url": url, "captured": moment(second), "kind": F.lit(kind), "status": status, "headers": headers, "payload_digest": digest, "payload": body}
+        return F.struct(*(v.alias(k) for k, v in names.items()))
+
+    tag = F.when(page % 5 == 0, F.lit('"other"')).when((page % 7 == 0) | (page % 11 == 0), nothing).otherwise(F.concat(F.lit("W/"), etag))
+    made = F.array(
+        record(0, F.col("url"), at, "response", F.lit(200), html, etag, day),
+        record(1, F.col("url"), at + 1 + F.pmod(page * 31, F.lit(5000)), "revisit", F.lit(304), None, tag, F.when(page % 11 != 0, day)),
+        record(2, front, at + 7, "response", F.when(page % 6 == 0, 503).otherwise(200), short, version, nothing),
+        record(3, front, at + 7 + F.pmod(page * 13, F.lit(10_007)), "revisit", F.lit(304), None, F.concat(F.lit("W/"), version), nothing),
+    )
+    return pages.select(F.explode(made).alias("r")).select("r.*")
 
 
 def revisit_digest(pages: DataFrame) -> DataFrame:
-    """What became of each record of ``captures_of_pages``; refers_to is -1 where there is none."""
-    made = resolve_revisits(captures_of_pages(pages))
+    """What became of each record of ``captures_of_pages``, written as archives and read back; refers_to is -1 where there is none."""
+    read = read_warc(write_warc(captures_of_pages(pages)))
+    made = resolve_revisits(read.withColumn("record_id", F.regexp_extract("warc_id", r"(-?\d+)>$", 1).cast("long")))
     return made.select("record_id", "canonical_url", "kind", F.coalesce("refers_to", F.lit(-1).cast("long")).alias("refers_to"), "outcome", "payload_digest", header_lines(F.col("headers")).alias("headers"))
 
 
-RECORD = "record_id long, url string, captured string, kind string, status int, headers map<string,string>, payload_digest string, payload binary"
+RECORD = "record_id long, warc_id string, url string, captured string, kind string, status int, headers map<string,string>, payload_digest string, payload binary, problem string"
+#: Bytes of an archive that ``write_warc`` makes, and records that ``read_warc`` passes on at once.
+ARCHIVE_BYTES, ROWS = 8 << 20, 256
 
 
-def write_record(kind: str, url: str, captured: str, headers: dict[str, str], status: int, payload: bytes = b"", digest: str | None = None) -> bytes:
+def write_record(kind: str, url: str | None, captured: str, headers: dict[str, str], status: int, payload: bytes = b"", digest: str | None = None, warc_id: str | None = None) -> bytes:
     """One WARC/1.1 record around an HTTP answer."""
     http = f"HTTP/1.1 {status}\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers.items()) + "\r\n"
     body = http.encode() + payload
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Target-URI: {url}", f"WARC-Date: {captured}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
-    if digest:
-        lines.append(f"WARC-Payload-Digest: {digest}")
+    told = {"WARC-Type": kind, "WARC-Record-ID": warc_id, "WARC-Target-URI": url, "WARC-Date": captured, "WARC-Payload-Digest": digest}
     if kind == "revisit":
-        lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/server-not-modified")
+        told["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
+    lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in told.items() if v is not None), "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def read_records(data: bytes) -> list[tuple]:
-    """(url, date, kind, status, headers, digest, payload) of the response and revisit records of a file; ValueError if it is damaged."""
+def write_warc(records: DataFrame) -> DataFrame:
+    """(path, content): archives of records (record_id, url, captured, kind, status, headers, payload_digest, payload), a gzip member each.
 
-    def fields(block: bytes) -> dict[str, str]:
-        pairs = (line.partition(b":") for line in block.split(b"\r\n") if line)
-        return {k.strip().lower().decode("latin-1"): v.strip().decode("utf-8", "replace") for k, _, v in pairs}
+    record_id becomes the end of WARC-Record-ID; a null URL, date or digest is left out.
+    """
+
+    def run(batches):
+        members, size, number = [], 0, 0
+        part = TaskContext.get().partitionId()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([f"part-{part}-{number}.warc.gz"]), pa.array([b"".join(members)], pa.binary())], ["path", "content"])
+
+        for b in batches:
+            for i, url, at, kind, status, headers, digest, payload in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
+                members.append(gzip.compress(write_record(kind, url, at, dict(headers or ()), status, payload or b"", digest, f"<urn:sparrel:{i}>"), 1, mtime=0))
+                size += len(members[-1])
+                if size > ARCHIVE_BYTES:
+                    yield out()
+                    members, size, number = [], 0, number + 1
+        if members:
+            yield out()
 
-    out, at = [], 0
+    return records.select("record_id", "url", "captured", "kind", "status", "headers", "payload_digest", "payload").mapInArrow(run, "path string, content binary")
+
+
+def _fields(block: bytes) -> dict[str, str]:
+    pairs = (line.partition(b":") for line in block.split(b"\r\n") if line)
+    return {k.strip().lower().decode("latin-1"): v.strip().decode("utf-8", "replace") for k, _, v in pairs}
+
+
+def _plain_records(data: bytes) -> Iterator[tuple]:
+    """(warc_id, url, date, kind, status, headers, digest, payload, problem) of response and revisit records.
+
+    What can't be read is a record of kind 'damaged' that says why; reading goes on where the next record begins.
+    """
+    at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
-        head, _, rest = data[at:end].partition(b"\r\n")
-        if end < 0 or not head.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        named = fields(rest)
-        size = int(named.get("content-length", "-1"))
-        body = data[end + 4 : end + 4 + size]
-        if size < 0 or len(body) < size:
-            raise ValueError(f"WARC record at byte {at} is cut off")
+        head, _, rest = data[at : max(end, at)].partition(b"\r\n")
+        named = _fields(rest) if end >= 0 and head.startswith(b"WARC/") else {}
+        told = named.get("content-length", "")
+        size = int(told) if told.isascii() and told.isdigit() else -1
+        body = data[end + 4 : end + 4 + size] if size >= 0 else b""
+        if size < 0 or len(body) < size or data[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
+            yield named.get("warc-record-id"), named.get("warc-target-uri"), named.get("warc-date"), DAMAGED, None, {}, None, None, f"no whole record at byte {at}"
+            following = data.find(b"WARC/1.", at + 1)
+            at = following if following >= 0 else len(data)
+            continue
         at = end + 8 + size
         if named.get("warc-type") in ("response", "revisit"):
             http, _, payload = body.partition(b"\r\n\r\n")
             status, _, lines = http.partition(b"\r\n")
             code = status.split()[1:2]
-            out.append((named.get("warc-target-uri"), named.get("warc-date"), named["warc-type"], int(code[0]) if code and code[0].isdigit() else None, fields(lines), named.get("warc-payload-digest"), payload))
-    return out
+            yield named.get("warc-record-id"), named.get("warc-target-uri"), named.get("warc-date"), named["warc-type"], int(code[0]) if code and code[0].isdigit() else None, _fields(lines), named.get("warc-payload-digest"), payload, None
+
+
+GZIP = b"\x1f\x8b\x08"
+DAMAGED = "damaged"
+
+
+def read_records(data: bytes) -> Iterator[tuple]:
+    """The same of an archive that may be compressed, as archives come: a gzip member at a time."""
+    if data[:3] != GZIP:
+        yield from _plain_records(data)
+        return
+    at = 0
+    while at < len(data):
+        member = zlib.decompressobj(wbits=31)
+        try:
+            plain = member.decompress(memoryview(data)[at:])
+            problem = None if member.eof else "gzip member is cut off"
+        except zlib.error as e:
+            plain, problem = b"", str(e)
+        if problem is None:
+            yield from _plain_records(plain)
+            at = len(data) - len(member.unused_data)
+        else:
+            yield None, None, None, DAMAGED, None, {}, None, None, f"at byte {at}: {problem}"
+            following = data.find(GZIP, at + 1)
+            at = following if following >= 0 else len(data)
 
 
 def read_warc(files: DataFrame) -> DataFrame:
-    """Records of WARC files, one per row as Spark's binaryFile source gives them (path, content); record_id: file hash and place.
+    """Records of WARC files, plain or gzip, one per row as Spark's binaryFile source gives them (path, content).
 
-    A file is read by one task; archives are cut into files of about a gigabyte for that.
+    record_id: file hash and place. A damaged record is a row of kind 'damaged' whose ``problem`` says why, and the others of its file are
+    read. A file is held by one task, so archives should be cut well below an executor's memory (and below 2 GB, a row's limit).
     """
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string(), pa.binary(), pa.string()]
 
     def run(batches):
         for b in batches:
             for key, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = [(key + k, u, d, kind, s, list(h.items()), dig, p) for k, (u, d, kind, s, h, dig, p) in enumerate(read_records(content))]
-                if rows:
-                    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [f.split()[0] for f in RECORD.split(", ")])
+                found = read_records(content or b"")
+                at = 0
+                while rows := list(islice(found, ROWS)):
+                    made = [(key + at + k, i, u, d, kind, s, list(h.items()), *rest) for k, (i, u, d, kind, s, h, *rest) in enumerate(rows)]
+                    at += len(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], [f.split()[0] for f in RECORD.split(", ")])
 
     return files.select((F.shiftright(F.xxhash64("path"), 24) * F.lit(1 << 24)).alias("key"), "content").mapInArrow(run, RECORD)
