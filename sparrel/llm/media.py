@@ -7,7 +7,6 @@ not interlaced, of 1 to 4 channels (colour types 0, 2, 4, 6) are read and writte
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -17,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparrel.llm.scratch import materialize
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Fixed values of the PNG format: channels by colour type.
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
@@ -25,6 +26,8 @@ SIDE = 24
 TILE = SIDE * SIDE
 LEVEL = 1
 HASH_SIDE = 8
+#: Files that a task turns into Python values at once.
+ROWS = 256
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -68,32 +71,42 @@ def filtered(rows: np.ndarray, step: int, kinds: tuple[int, ...] = (0, 1, 2)) ->
 
 
 def unfiltered(lines: np.ndarray, step: int) -> np.ndarray:
-    """Samples from filtered lines (filter byte first)."""
+    """Samples from filtered lines (filter byte first). Rows of kinds 3 and 4 need their left neighbours: see ``_swept``."""
+    kinds = lines[:, 0]
+    if (kinds > 4).any():
+        raise ValueError(f"PNG filter {kinds.max()}")
+    if (kinds > 2).any():
+        return _swept(lines, step)
     out = np.empty((lines.shape[0], lines.shape[1] - 1), np.uint8)
     above = np.zeros(out.shape[1], np.uint8)
-    for row, line in enumerate(lines):
-        kind, body = int(line[0]), line[1:]
-        if kind == 0:
-            out[row] = body
-        elif kind == 1:
+    for row, kind in enumerate(kinds.tolist()):
+        body = lines[row, 1:]
+        if kind == 1:
             out[row] = np.cumsum(body.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
-        elif kind == 2:
-            np.add(body, above, out=out[row])
-        elif kind in (3, 4):
-            now = out[row]
-            for x in range(0, len(body), step):
-                left = now[x - step : x] if x else np.zeros(step, np.uint8)
-                if kind == 3:
-                    guess = ((left.astype(np.uint16) + above[x : x + step]) >> 1).astype(np.uint8)
-                else:
-                    guess = _paeth(left, above[x : x + step], above[x - step : x] if x else np.zeros(step, np.uint8))
-                now[x : x + step] = body[x : x + step] + guess
         else:
-            raise ValueError(f"PNG filter {kind}")
+            out[row] = body + above if kind else body
         above = out[row]
     return out
 
 
+def _swept(lines: np.ndarray, step: int) -> np.ndarray:
+    """All five filters, a diagonal at a time: pixel x of row y needs x - 1 of its row, and x and x - 1 of the row above it."""
+    height, width = lines.shape[0], (lines.shape[1] - 1) // step
+    body = lines[:, 1:].reshape(height, width, step).astype(np.int16)
+    out = np.zeros((height + 1, width + 1, step), np.int16)  # a row of zeros above and a column before
+    kinds = lines[:, 0].astype(np.int64)
+    for diagonal in range(height + width - 1):
+        y = np.arange(max(0, diagonal - width + 1), min(height, diagonal + 1))
+        x = diagonal - y
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        guess = left + up - corner
+        a, b, c = abs(guess - left), abs(guess - up), abs(guess - corner)
+        paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        kind = kinds[y][:, None]
+        out[y + 1, x + 1] = (body[y, x] + np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, up, (left + up) >> 1, paeth], 0)) & 255
+    return out[1:, 1:].astype(np.uint8).reshape(height, width * step)
+
+
 def png(samples: np.ndarray, kinds: tuple[int, ...] = (0, 1, 2), level: int = LEVEL) -> bytes:
     """A PNG file of samples (height, width) or (height, width, channels), 8 bits each."""
     height, width = samples.shape[:2]
@@ -190,9 +203,7 @@ def store_texts(docs: DataFrame, text: str = "text", media: str = "media") -> Da
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(b):
-                continue
+        for b in (whole.slice(k, ROWS) for whole in batches for k in range(0, len(whole), ROWS)):
             sizes, files = batch(b.column(b.schema.get_field_index(text)).to_pylist())
             columns = [b.column(b.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], [*names, "n_bytes", media])
@@ -215,7 +226,7 @@ def media_features(table: DataFrame, media: str = "media") -> DataFrame:
         return samples.tobytes(), cosine_hash(grid_of(samples))
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(k, ROWS) for whole in batches for k in range(0, len(whole), ROWS)):
             pairs = [one(x) for x in b.column(b.schema.get_field_index(media)).to_pylist()]
             columns = [b.column(b.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([p for p, _ in pairs], pa.binary()), pa.array([f for _, f in pairs], pa.binary())], [*names, "payload", "feature"])
@@ -223,31 +234,20 @@ def media_features(table: DataFrame, media: str = "media") -> DataFrame:
     return table.mapInArrow(run, table.select(*names).schema.add("payload", "binary").add("feature", "binary"))
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-
-
 def media_digest(docs: DataFrame) -> DataFrame:
-    """Store each text as PNG, read the file back, and return digests of both: one row per document.
+    """Store each text as PNG in a table, read the files back, and return digests of both: one row per document.
 
-    Same encoder and reader as ``store_texts`` and ``media_features``, in one pass, so
-    that files need not cross to the JVM and back. Null text: the empty text, padded to one tile.
+    Null text: the empty text, padded to one tile. A file that could not be read would have null payload and feature.
     """
-
-    def row(text):
-        size, payload = padded(text)
-        data = png(payload_image(payload))
-        samples = read_png(data)
-        back = samples.tobytes()
-        return size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data), hashlib.sha256(data).hexdigest(), cosine_hash(grid_of(samples)).hex()
-
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-
-    def run(batches):
-        for b in batches:
-            if not len(b):
-                continue
-            columns = zip(*map(row, b.column(1).to_pylist()), strict=True)
-            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *arrays], [f.split()[0] for f in DIGEST.split(", ")])
-
-    return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(run, DIGEST)
+    stored = materialize(store_texts(docs.select("doc_id", "text")).drop("text"), "media")
+    read = media_features(stored)
+    return read.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.lower(F.hex("feature")).alias("feature"),
+    )
