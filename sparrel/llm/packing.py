@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,11 @@ def byte_characters() -> dict[str, int]:
     return table
 
 
+def id_type(size: int) -> np.dtype:
+    """What the ids of a vocabulary of this size are kept as."""
+    return np.dtype("<u2" if max(size, END_ID + 1) <= 1 << 16 else "<u4")
+
+
 class Encoder:
     """Ids of a byte-level BPE tokenizer as little-endian 16- or 32-bit bytes.
 
@@ -93,7 +99,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(source)
         self.size = self.tokenizer.get_vocab_size()
-        self.type = np.dtype("<u2" if max(self.size, END_ID + 1) <= 1 << 16 else "<u4")
+        self.type = id_type(self.size)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.fast = None
         model, bytes_of = json.loads(source), byte_characters()
@@ -117,24 +123,23 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[int, tuple[Encoder, np.ndarray]] = {}
+@lru_cache(maxsize=2)
+def encoder_of(source: str) -> tuple[Encoder, np.ndarray]:
+    """A worker's encoder and directions for a tokenizer's file; kept from task to task, as workers find this function by its name."""
+    encoder = Encoder(source)
+    return encoder, directions(encoder.size)
+
 
 TOKENS = "doc_id long, key long, tie long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def token_rows(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(doc_id, key on the curve, tie, ids) of each document."""
-    with open(tokenizer_path, encoding="utf-8") as f:
-        source = f.read()
-    json.loads(source)  # a damaged file fails here, on the driver
+def token_rows(docs: DataFrame, source: str) -> DataFrame:
+    """(doc_id, key on the curve, tie, ids) of each document, by the text of a tokenizer's file."""
     shared = docs.sparkSession.sparkContext.broadcast(source)  # a vocabulary's size doesn't grow with the data
 
     def run(batches):
-        if not _ENCODERS:
-            encoder = Encoder(shared.value)
-            _ENCODERS[0] = encoder, directions(encoder.size)
-        encoder, table = _ENCODERS[0]
+        encoder, table = encoder_of(shared.value)
         for b in batches:
             if not len(b):
                 continue
@@ -156,21 +161,25 @@ def cut_pieces(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...
     return doc, begin - (ends[doc] - sizes[doc]), size, begin // length, begin % length
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, width: int = 2) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFrame:
     """Pack every document (null text: just the end id) into sequences; one row per piece.
 
     Repeated rows are packed as often as they occur. sequence_id: the partition's
     number times 2**40 plus the sequence's in it. An empty table has no pieces.
     """
+    from tokenizers import Tokenizer
+
     spark = docs.sparkSession
-    rows = materialize(token_rows(docs, tokenizer_path), "tokens")  # the range sort reads its input twice, to sample and to deal
+    with open(tokenizer_path, encoding="utf-8") as f:
+        source = f.read()
+    kind = id_type(Tokenizer.from_str(source).get_vocab_size())  # a damaged file fails here, on the driver
+    rows = materialize(token_rows(docs, source), "tokens")  # the range sort reads its input twice, to sample and to deal
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(count, "key", "doc_id", "tie").sortWithinPartitions("key", "doc_id", "tie")
 
     def run(batches):
         first = TaskContext.get().partitionId() << 40
         filled = 0  # tokens of this partition so far
-        kind = np.dtype("<u2" if width == 2 else "<u4")
         for b in batches:
             if not len(b):
                 continue

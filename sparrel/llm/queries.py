@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from sparrel.llm import language_model, media, near_vectors, ngram_join, packing, pieces, quality, secrets, substrings, warc
 from sparrel.llm.oracle import ORACLE_SQL
 
-#: Where the vocabulary files of public tokenizers lie.
-TOKENIZERS = os.environ.get("SPARREL_TOKENIZERS", "/opt/tokenizers")
+
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's vocabulary file lies; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +48,7 @@ def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op9_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +56,7 @@ def op9_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.pieces_digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return pieces.pieces_digest(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
