@@ -105,8 +105,8 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, caps: int = CAPS) ->
     n_links: other rows with an equal label found with a cosine of at least ``cosine``;
     component_id: the smallest vec_id reachable; kept: vec_id is that. Rows without label,
     and vectors that are null, empty, zero or hold nulls or non-finite numbers, are linked with nothing.
-    Vectors of different lengths are never linked. Repeated rows are copies of one another. Rows without vec_id are
-    linked with nothing. No verified pair is below the threshold; recall is measured in the tests.
+    Vectors of different lengths are never linked. Repeated rows are copies of one another; rows with different
+    vectors under one vec_id are judged apart. Rows without vec_id are linked with nothing; other columns are dropped. No verified pair is below the threshold; recall is measured in the tests.
     """
     spark = table.sparkSession
     single = isinstance(table.schema["embedding"].dataType.elementType, T.FloatType)
@@ -114,7 +114,7 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, caps: int = CAPS) ->
     key = F.when(_usable("embedding", "label") & F.col("vec_id").isNotNull(), F.sha2(F.to_json(F.struct("label", "embedding")), 256))
     keyed = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.concat_ws(":", F.col("label").cast("string"), F.size("embedding")).alias("label"), "embedding", key.alias("key"))
     classes = materialize(
-        keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding")),
+        keyed.where("key is not null").groupBy("key").agg(F.first(F.xxhash64("key")).alias("rep"), F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding")),
         "vector-classes",
     )
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
@@ -156,14 +156,17 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, caps: int = CAPS) ->
     filled = cells.join(vectors, "rep").select("label", "cap", "low", "high", "part", "rep", "copies", "embedding", "caps")
 
     def earlier(caps_list: list, cap: int) -> np.ndarray:
-        """Which rows share a cap before this one, as a matrix of rows and caps."""
-        flat = [(row, c) for row, cs in enumerate(caps_list) for c in cs if c < cap]
-        if not flat:
-            return np.zeros((len(caps_list), 1), np.float32)
-        row, name = np.asarray(flat).T
-        _, column = np.unique(name, return_inverse=True)
-        out = np.zeros((len(caps_list), column.max() + 1), np.float32)
-        out[row, column] = 1
+        """Which pairs of rows share a cap before this one; caps are gone through one by one, so only rows that meet cost anything."""
+        sizes = [sum(c < cap for c in cs) for cs in caps_list]  # caps are sorted
+        row = np.repeat(np.arange(len(caps_list)), sizes)
+        name = np.fromiter((c for cs, n in zip(caps_list, sizes, strict=True) for c in cs[:n]), np.int64, len(row))
+        by_name = np.argsort(name, kind="stable")
+        row, name = row[by_name], name[by_name]
+        out = np.zeros((len(caps_list), len(caps_list)), bool)
+        starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.empty(0, np.int64)
+        for first, last in zip(starts.tolist(), np.append(starts, len(name))[1:].tolist(), strict=True):
+            if last - first > 1:
+                out[np.ix_(row[first:last], row[first:last])] = True
         return out
 
     def verified(group: pa.Table) -> pa.Table:
@@ -177,8 +180,7 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, caps: int = CAPS) ->
         if low != high:
             linked &= part[:, None] != part[None, :]
         if linked.any():
-            before = earlier(group["caps"].to_pylist(), cap)
-            linked &= before @ before.T == 0
+            linked &= ~earlier(group["caps"].to_pylist(), cap)
         links = linked @ copies
         some = np.flatnonzero(links)
         a, b = forest(*(rep[x] for x in np.nonzero(np.triu(linked)))) if len(some) else (rep[:0], rep[:0])
@@ -195,11 +197,12 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, caps: int = CAPS) ->
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     joined = components(found.where("b is not null").select("a", "b"))
     named = (
-        classes.select("key", "rep", "copies")
+        classes.select("key", "rep", "least", "copies")
         .join(counts, "rep", "left")
         .join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("key", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     )
-    out = keyed.select("vec_id", "key").join(named, "key", "left")
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    out = keyed.select("vec_id", "key").join(named.join(smallest, "component").select("key", "n_links", "component_id"), "key", "left")
     component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
