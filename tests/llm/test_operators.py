@@ -13,9 +13,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparrel.llm import blocks, components, language_model, media, near_vectors, ngram_join, packing, pieces, quality, secrets, substrings, warc, words
-from sparrel.llm.queries import TOKENIZERS, op2_language_model
+from sparrel.llm.queries import op2_language_model, tokenizer
 
-PIECES, BPE = f"{TOKENIZERS}/piece_bpe_32k.model", f"{TOKENIZERS}/byte_bpe_50k.json"
+PIECES, BPE = tokenizer("piece_bpe_32k.model"), tokenizer("byte_bpe_50k.json")
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "one"), (6, "One two three four"), (7, "a " * 300), (8, "a " * 400), (None, "nobody's own words stand here now"), (9, "é" * 5000), (4, "one")]
 
 
@@ -198,6 +198,21 @@ def test_media_of_all_texts(real):
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-32:])
 
 
+def test_feature_equals_brute_force(real):
+    """The 8 x 8 lowest frequencies of a 24 x 24 grid of mean samples, by sums over all of it; a bit says which lie over their median."""
+    df, rows = real
+    got = {r["doc_id"]: r["feature"] for r in media.media_digest(df).collect()}
+    cosine = [[round(math.cos(math.pi * k * (2 * x + 1) / 48) * 4096) for x in range(24)] for k in range(8)]
+    for d, t in rows[::40]:
+        payload = media.padded(t)[1]
+        width = len(payload) // 24
+        edges = [x * width // 24 for x in range(25)]
+        grid = [[sum(payload[y * width + x] for x in range(edges[k], edges[k + 1])) * 256 * 576 // (24 * width) for k in range(24)] for y in range(24)]
+        low = [sum(cosine[u][y] * cosine[v][x] * grid[y][x] for y in range(24) for x in range(24)) for u in range(8) for v in range(8)]
+        middle = sorted(low[1:])[31]
+        assert got[d] == f"{int(''.join('1' if x > middle else '0' for x in low), 2):016x}"
+
+
 def test_media_columns(documents):
     stored = media.store_texts(documents(ODD).withColumn("media", F.lit("old")))
     back = media.media_features(stored.union(stored.limit(1).withColumn("media", F.lit(b"no png")))).collect()
@@ -333,6 +348,14 @@ def test_near_vectors(spark):
     assert near_vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_one_id_for_two_vectors(spark):
+    rng = np.random.default_rng(7)
+    a, b = rng.standard_normal((2, 16))
+    rows = [(1, a.tolist(), 0), (1, b.tolist(), 0), (2, (a + 0.01).tolist(), 0), (3, (b + 0.01).tolist(), 0), (4, a.tolist(), 0)]
+    got = sorted(tuple(r) for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 2, 1, False)]
+
+
 def test_dense_cap_in_cells(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = [(k, (np.eye(16)[0] + 0.02 * rng.standard_normal(16)).tolist(), 1) for k in range(100)]
@@ -448,7 +471,7 @@ def test_kth_largest(spark, values, data):
 def test_packing(spark, documents, real):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(BPE)
+    reader = Tokenizer.from_file(BPE)
     own = [(10_000 + k, t) for k, t in enumerate([None, "", "  two  spaces ", "<|endoftext|> here", "tab\t\n x", "日本語 text", "x" * 3000])]
     rows = real[1] + own
     made = packing.pack(documents(rows), BPE).collect()
@@ -457,7 +480,7 @@ def test_packing(spark, documents, real):
         pieces_of.setdefault(r["doc_id"], []).append(r)
         sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for d, t in rows:
-        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        ids = np.array([*reader.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
         at = 0
         for r in sorted(pieces_of[d], key=lambda r: r["start"]):
             assert r["start"] == at and r["doc_tokens"] == len(ids) and r["length"] > 0
@@ -475,6 +498,19 @@ def test_packing(spark, documents, real):
     assert sum(r["length"] for r in packing.pack(documents([(1, "a b")] * 3), BPE).collect()) == 9
 
 
+def test_both_encoders_give_equal_ids():
+    rng = random.Random(8)
+    encoder = packing.encoder_of(open(BPE, encoding="utf-8").read())[0]
+    assert encoder.fast is not None and packing.encoder_of(open(BPE, encoding="utf-8").read())[0] is encoder
+    alphabet = [chr(c) for c in (*range(32, 127), 9, 10, 13, 0x85, 0xA0, 0xE9, 0xDF, 0x3A9, 0x416, 0x5D0, 0x627, 0x939, 0x4E2D, 0xAC00, 0x1F600, 0x200D, 0x301, 0xFFFD)]
+    pieces_ = [t for t in encoder.tokenizer.get_vocab() if "<|" not in t]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(3000)]
+    texts += [encoder.tokenizer.decode([encoder.tokenizer.token_to_id(t) for t in rng.choices(pieces_, k=4)]) for _ in range(3000)]
+    texts += [chr(c) + "x" + chr(c) * 2 for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    for t in texts:
+        assert encoder.fast.encode_ordinary(t) == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize(("d", "bits"), [(2, 4), (3, 3)])
 def test_hilbert_curve_is_continuous(d, bits):
     grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * d, indexing="ij"), -1).reshape(-1, d)
@@ -542,9 +578,46 @@ def test_warc_files(spark, tmp_path):
     assert bytes(first["payload"]) == b"<p>\r\n\r\n</p>" and first["headers"]["etag"] == '"x"' and first["status"] == 200
     last = warc.resolve_revisits(made).where("kind = 'revisit'").first()
     assert last["outcome"] == "resolved" and last["headers"] == {"etag": 'W/"x"', "date": "later", "content-type": "text/html"} and last["payload_digest"] == "sha1:A"
-    for broken in (one[:-30], b"x" + one):
-        with pytest.raises(ValueError):
-            warc.read_records(broken)
+
+
+def test_damaged_archives(spark, tmp_path):
+    import gzip
+
+    def record(k):
+        return warc.write_record("response", f"http://a/{k}", f"2020-01-0{k}", {"ETag": str(k)}, 200, b"x" * 300, warc_id=f"<urn:x:{k}>")
+
+    packed = [gzip.compress(record(k)) for k in range(1, 5)]
+    broken = packed[1][:30] + b"\0\0\0\0" + packed[1][34:]
+    files = {
+        "plain.warc": record(1) + b"WARC/1.1\r\nContent-Length: 9999\r\n\r\nshort\r\n\r\n" + record(2),
+        "start.warc": b"x" + record(1)[:200] + record(2),
+        "cut.warc": record(1) + record(2)[:-30],
+        "whole.warc.gz": b"".join(packed),
+        "broken.warc.gz": packed[0] + broken + packed[2],
+        "cut.warc.gz": packed[0] + packed[1][:-20],
+        "empty.warc": b"",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    made = warc.read_warc(spark.read.format("binaryFile").load(str(tmp_path)))
+    assert made.where("kind = 'damaged'").count() == made.where("problem is not null").count() == made.where("kind = 'damaged' and payload is null").count() >= 5
+    found = [r["url"][-1] for r in made.where("kind = 'response'").orderBy("url").collect()]
+    assert "".join(found) == "".join(sorted("12" + "2" + "1" + "1234" + "13" + "1"))
+    assert warc.resolve_revisits(made).where("kind = 'response' and outcome = 'full'").count() == len(found)
+
+
+def test_pages_as_archives(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    odd = spark.createDataFrame([(-1, None, None), (-2, "", ""), (-2, "", "")], "page_id long, url string, html string").unionByName(pages).withColumn("problem", F.lit(1))
+    made = warc.captures_of_pages(odd)
+    back = warc.read_warc(warc.write_warc(made))
+    assert back.count() == made.count() == 4 * odd.count() and back.where("problem is not null").count() == 0
+    sums = [df.agg(F.sum(F.xxhash64("url", "captured", "kind", "status", "payload_digest", "payload").cast("decimal(38,0)"))).first()[0] for df in (made.withColumn("url", F.nullif("url", F.lit(""))), back.withColumn("url", F.nullif("url", F.lit(""))))]
+    assert sums[0] == sums[1]
+    told = {r["outcome"]: r["count"] for r in warc.revisit_digest(pages).groupBy("outcome").count().collect()}
+    assert {"full", "resolved", "stale", "unvalidated"} <= told.keys()
+    digest = warc.revisit_digest(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    assert digest.where("outcome = 'resolved' and floor(refers_to / 4) <> floor(record_id / 4)").count() > 0  # another page's capture
 
 
 # 10
