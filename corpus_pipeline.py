@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparrel.llm import ngram_join, packing, quality, secrets, substrings
-from sparrel.llm.queries import TOKENIZERS
+from sparrel.llm.queries import tokenizer
 from sparrel.llm.scratch import materialize
 
 #: Window functions, sampling and hashes of whole texts have no equivalent in the oracle's SQL; tests hold run() against brute force.
@@ -43,7 +43,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def curve_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens."""
-    return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
 
 
 def _with_text(table: DataFrame, docs: DataFrame) -> DataFrame:
