@@ -65,16 +65,33 @@ def as_text(json: Column, key: str) -> Column:
 
 
 def as_number(c: Column, default: float = 0.0) -> Column:
-    return F.coalesce(F.try_cast(strip(c), "double") if hasattr(F, "try_cast") else strip(c).try_cast("double"), F.lit(default))
+    """Text as a number, the default for what is none."""
+    return F.coalesce(strip(c).try_cast("double"), F.lit(default))
+
+
+def number(json: Column, key: str, default: float = 0.0) -> Column:
+    """A value as a number: true is 1 and false 0, text is read; the default for anything else."""
+    kind = _kind(json, f"$.{key}")
+    value = F.try_variant_get(F.try_parse_json(json), f"$.{key}", "string")
+    return F.when(kind == "BOOLEAN", F.when(value == "true", 1.0).otherwise(0.0)).when(_listed(kind), F.lit(default)).otherwise(as_number(value, default))
+
+
+def _listed(kind: Column) -> Column:
+    return F.startswith(kind, F.lit("ARRAY")) | F.startswith(kind, F.lit("OBJECT"))
 
 
 def as_flag(json: Column, key: str) -> Column:
-    """Python's truth of a value: false, 0, "", [], {}, null and absent are not set; the text "false" is."""
+    """Python's truth of a value: false, 0, "", [], {}, null and absent are not set; any other text, "false" and "[]" too, is."""
     value = F.try_variant_get(F.try_parse_json(json), f"$.{key}", "string")
     kind = _kind(json, f"$.{key}")
-    unset = kind.isNull() | (kind == "VOID") | ((kind == "BOOLEAN") & (value == "false")) | value.isin("", "[]", "{}")
-    zero = ~kind.isin("STRING") & (F.coalesce(value.try_cast("double"), F.lit(1.0)) == 0)
-    return ~F.coalesce(unset | zero, F.lit(True))
+    told = (
+        F.when(kind.isNull() | (kind == "VOID"), F.lit(False))
+        .when(kind == "STRING", value != "")
+        .when(kind == "BOOLEAN", value == "true")
+        .when(_listed(kind), ~value.isin("[]", "{}"))
+        .otherwise(F.coalesce(value.try_cast("double") != 0, F.lit(True)))
+    )
+    return F.coalesce(told, F.lit(False))
 
 
 def audio_relevance(c: Column) -> Column:
@@ -94,7 +111,7 @@ def _default(text: Column, other: Column) -> Column:
 
 def query_understanding(json: Column, query: Column) -> Column:
     return F.struct(
-        _default(F.when(as_text(json, "retrieval_text") != "None", as_text(json, "retrieval_text")), query).alias("retrieval_text"),
+        _default(F.when(as_flag(json, "retrieval_text"), as_text(json, "retrieval_text")), query).alias("retrieval_text"),
         strip(as_text(json, "summary")).alias("summary"),
         string_list(json, "main_events").alias("main_events"),
         string_list(json, "objects").alias("objects"),
@@ -121,11 +138,10 @@ def video_description(json: Column) -> Column:
 def rerank_result(json: Column, kind: str) -> Column:
     """kind: video or text, as in the keys ordered_<kind>_ids and top_choice_<kind>_id."""
     ordered = string_list(json, f"ordered_{kind}_ids")
-    top = F.when(as_text(json, f"top_choice_{kind}_id") != "None", as_text(json, f"top_choice_{kind}_id"))
     return F.struct(
         ordered.alias("ordered_ids"),
-        _default(top, F.coalesce(F.get(ordered, F.lit(0)), F.lit(""))).alias("top_choice"),
-        as_number(as_text(json, "confidence")).alias("confidence"),
+        _default(as_text(json, f"top_choice_{kind}_id"), F.coalesce(F.get(ordered, F.lit(0)), F.lit(""))).alias("top_choice"),
+        number(json, "confidence").alias("confidence"),
         strip(as_text(json, "reason")).alias("reason"),
         as_flag(json, "fallback_used").alias("fallback_used"),
     )

@@ -31,11 +31,6 @@ def top_k(scores: DataFrame, query: str, k: int, index: str = "item_idx", score:
     return scores.withColumn("rank", rank.cast("long")).where(F.col("rank") <= max(1, int(k)))
 
 
-def all_pairs(queries: DataFrame, corpus: DataFrame, scorer: Column) -> DataFrame:
-    """Every query with every corpus row and a score expression over both: the logical form, for stated small query sets."""
-    return queries.crossJoin(corpus).withColumn("score", scorer)
-
-
 def _dots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Products summed in the order of the dimensions, as the column expression does, bit for bit."""
     out = np.zeros((len(left), len(right)))
@@ -48,8 +43,47 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64) if len(column) else np.empty((0, 0))
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return rows / np.sqrt(np.diagonal(_dots(rows, rows)))[:, None]
+
+
+def _frames(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """All frames of the videos one after another, and how many each has."""
+    return np.array([f for video in column for f in video], np.float64), np.array([len(video) for video in column])
+
+
+def _pooled(frames: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Mean of each video's frames, summed in their order; zeros without frames."""
+    out = np.zeros((len(counts), frames.shape[1] if frames.ndim == 2 else 0))
+    begin = np.cumsum(counts) - counts
+    for k in range(int(counts.max(initial=0))):
+        on = counts > k
+        out[on] += frames[begin[on] + k]
+    return out / np.maximum(counts, 1)[:, None]
+
+
+def _local(left: np.ndarray, frames: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """ln of the sum over a video's frames of exp(dot); minus infinity without frames."""
+    out = np.full((len(left), len(counts)), -np.inf)
+    if len(frames):
+        on = counts > 0
+        with np.errstate(over="ignore"):
+            out[:, on] = np.log(np.add.reduceat(np.exp(_dots(left, frames)), (np.cumsum(counts) - counts)[on], axis=1))
+    return out
+
+
 def _score(kind: str, queries: pd.DataFrame, corpus: pd.DataFrame) -> np.ndarray:
-    left, right = _matrix(queries["query_vector"]), _matrix(corpus["item_vector"])
+    left = _matrix(queries["query_vector"])
+    if kind in ("lse", "hybrid"):
+        frames, counts = _frames(corpus["item_vector"])
+        if kind == "lse":
+            return _local(left, frames, counts)
+        left, frames = _unit(left), _unit(frames) if len(frames) else frames
+        if not len(frames):
+            return np.full((len(left), len(counts)), np.nan)
+        return (_local(left, frames, counts) + _dots(left, _unit(_pooled(frames, counts)))) / 2
+    right = _matrix(corpus["item_vector"])
     dots = _dots(left, right)
     if kind == "cosine":
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -57,21 +91,31 @@ def _score(kind: str, queries: pd.DataFrame, corpus: pd.DataFrame) -> np.ndarray
     return dots
 
 
-def score_top_k(queries: DataFrame, corpus: DataFrame, k: int, kind: str = "dot", blocks: tuple[int, int] | None = None) -> DataFrame:
-    """(query_id, item_idx, score, rank): the best k of (item_idx, vector) for each (query_id, vector).
+KINDS = ("dot", "cosine", "lse", "hybrid")
 
-    kind: dot or cosine. Vectors must have one length; an empty side gives no rows.
-    """
-    if kind not in ("dot", "cosine"):
-        raise ValueError(f"kind is dot or cosine, not {kind}")
-    k = max(1, int(k))
+
+def _crossed(queries: DataFrame, corpus: DataFrame, blocks: tuple[int, int] | None):
+    """Both sides (query_id, query_vector, ...) and (item_idx, item_vector), dealt into blocks, grouped by pairs of blocks."""
     m, n = blocks or (max(1, math.ceil(queries.count() / QUERY_BLOCK)), max(1, math.ceil(corpus.count() / CORPUS_BLOCK)))
 
     def dealt(side: DataFrame, key: str, own: str, parts: int, other: str, copies: int) -> DataFrame:
         return side.withColumn(own, F.pmod(F.xxhash64(key), F.lit(parts))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
 
-    left = dealt(queries.select("query_id", F.col("vector").alias("query_vector")), "query_id", "qb", m, "cb", n)
-    right = dealt(corpus.select("item_idx", F.col("vector").alias("item_vector")), "item_idx", "cb", n, "qb", m)
+    left, right = dealt(queries, "query_id", "qb", m, "cb", n), dealt(corpus, "item_idx", "cb", n, "qb", m)
+    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb"))
+
+
+def score_top_k(queries: DataFrame, corpus: DataFrame, k: int, kind: str = "dot", blocks: tuple[int, int] | None = None) -> DataFrame:
+    """(query_id, item_idx, score, rank): the best k of (item_idx, vector) for each (query_id, vector).
+
+    kind: dot or cosine; or, where an item's vector is the array of a video's unmasked frames, lse (log-sum-exp over
+    its frames) or hybrid (mean of that and of the pooled frames' score, all of unit length). Vectors must have one length; an empty side gives no rows.
+    """
+    if kind not in KINDS:
+        raise ValueError(f"kind is one of {', '.join(KINDS)}, not {kind}")
+    k = max(1, int(k))
+    left = queries.select("query_id", F.col("vector").alias("query_vector"))
+    right = corpus.select("item_idx", F.col("vector").alias("item_vector"))
 
     def cell(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
@@ -83,8 +127,41 @@ def score_top_k(queries: DataFrame, corpus: DataFrame, k: int, kind: str = "dot"
         return pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), order.shape[1]), "item_idx": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
 
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_idx {corpus.schema['item_idx'].dataType.simpleString()}, score double"
-    best = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(cell, schema)
-    return top_k(best, "query_id", k)
+    best = _crossed(left, right, blocks).applyInPandas(cell, schema)
+    return top_k(best.withColumn("score", F.coalesce("score", F.lit(float("nan")))), "query_id", k)  # NaN comes back from pandas as null
+
+
+def ranks_in_blocks(queries: DataFrame, corpus: DataFrame, targets: DataFrame, kind: str = "dot", blocks: tuple[int, int] | None = None) -> DataFrame:
+    """(query_id, item_idx, rank) of each target (query_id, item_idx) among the whole corpus, ranked as ``score_top_k`` does.
+
+    A block counts what stands before each of its queries' targets; pairs are never written. Targets that name no query or no item are left out.
+    """
+    wanted = targets.join(corpus.select("item_idx", F.col("vector").alias("target_vector")), "item_idx")
+    each = wanted.groupBy("query_id").agg(F.collect_list(F.struct("item_idx", "target_vector")).alias("targets"))
+    left = queries.select("query_id", F.col("vector").alias("query_vector")).join(each, "query_id")
+    right = corpus.select("item_idx", F.col("vector").alias("item_vector"))
+
+    def cell(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(c):
+            return pd.DataFrame({"query_id": q["query_id"][:0], "item_idx": c["item_idx"][:0], "before": np.empty(0, np.int64)})
+        scores, ids, out = _score(kind, q, c), c["item_idx"].to_numpy(), []
+        for row, (query, own) in enumerate(zip(q["query_id"], q["targets"], strict=True)):
+            names = [t["item_idx"] for t in own]
+            told = _score(kind, q.iloc[row : row + 1], pd.DataFrame({"item_vector": [t["target_vector"] for t in own]}))[0]
+            for name, score in zip(names, told, strict=True):
+                better = ~np.isnan(scores[row]) if np.isnan(score) else scores[row] > score
+                tied = np.isnan(scores[row]) if np.isnan(score) else scores[row] == score
+                out.append((query, name, int(better.sum() + (tied & (ids < name)).sum())))
+        return pd.DataFrame(out, columns=["query_id", "item_idx", "before"])
+
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_idx {corpus.schema['item_idx'].dataType.simpleString()}, before long"
+    counted = _crossed(left, right, blocks).applyInPandas(cell, schema)
+    return counted.groupBy("query_id", "item_idx").agg((F.sum("before") + 1).alias("rank"))
+
+
+def with_target(queries: DataFrame, items: DataFrame, on: str) -> DataFrame:
+    """Queries that have a target at all, by a key in common."""
+    return queries.join(items.select(on), on, "left_semi")
 
 
 def target_ranks(scores: DataFrame, targets: DataFrame) -> DataFrame:
@@ -115,10 +192,12 @@ def recall_of_hits(hits: DataFrame, targets: DataFrame, ks: list[int]) -> DataFr
     return recall_at(targets.select("query_id").distinct().join(best, "query_id", "left"), ks)
 
 
-def contrastive_loss(scores: DataFrame) -> DataFrame:
-    """Mean over i of ln(sum over j of exp(s_ij)) - s_ii for (i, j, score)."""
-    rows = scores.groupBy("i").agg(F.ln(F.sum(F.exp("score"))).alias("whole"), F.max(F.when(F.col("i") == F.col("j"), F.col("score"))).alias("own"))
-    return rows.agg(F.avg(F.col("whole") - F.col("own")).alias("loss"))
+def contrastive_loss(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Mean over i of ln(sum over j of exp(s_ij)) - s_ii for (i, j, score), of each batch where columns name one; large scores don't overflow."""
+    by = by or []
+    topped = scores.withColumn("top", F.max("score").over(Window.partitionBy(*by, "i")))  # the sums need no exchange of their own
+    rows = topped.groupBy(*by, "i").agg((F.ln(F.sum(F.exp(F.col("score") - F.col("top")))) + F.max("top")).alias("whole"), F.max(F.when(F.col("i") == F.col("j"), F.col("score"))).alias("own"))
+    return rows.groupBy(*by).agg(F.avg(F.col("whole") - F.col("own")).alias("loss"))
 
 
 def hard_margin(text_similarity: Column, video_similarity: Column, same: Column, beta: float, margin: float) -> Column:

@@ -47,19 +47,19 @@ def summary(runs: DataFrame, ks: list[int]) -> DataFrame:
     return runs.agg(F.count("*").alias("runs"), recall("first_rank").alias("round1_recall"), recall("final_rank").alias("final_recall"), *rates)
 
 
-def running_summary(runs: DataFrame, order: str, k: int, chunk: str | None = None) -> DataFrame:
-    """(order, runs, recall, ...) after each run. With ``chunk``, rows are summed by chunk first, and each adds the sums of the chunks before it."""
+def running_summary(runs: DataFrame, order: str, k: int) -> DataFrame:
+    """(order, runs, recall, ...) after each run.
+
+    Rows are range-sorted; each partition counts from the sums of the partitions before it, of which there is one row each.
+    """
     values = {"runs": F.lit(1).cast("long"), "recall": F.coalesce(F.col("final_rank") <= k, F.lit(False)).cast("long")}
     values |= {column: F.col(column).cast("long") for column in RATES.values() if column in runs.columns}
-    part = [chunk] if chunk else []
-    within = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    base = runs.select(order, *part, *(v.alias(n) for n, v in values.items()))
-    inside = base.select(order, *part, *(F.sum(n).over(within).alias(n) for n in values))
-    if chunk:
-        before = Window.orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-        sums = base.groupBy(chunk).agg(*(F.sum(n).alias(n) for n in values))
-        starts = sums.select(chunk, *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in values))
-        inside = inside.join(starts, chunk).select(order, *((F.col(n) + F.col(f"_{n}")).alias(n) for n in values))
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = runs.select(F.col(order).alias("_order"), *(v.alias(n) for n, v in values.items())).repartitionByRange(parts, "_order").withColumn("_part", F.spark_partition_id())
+    within = Window.partitionBy("_part").orderBy("_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = base.groupBy("_part").agg(*(F.sum(n).alias(n) for n in values)).select("_part", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in values))
+    inside = base.select("_order", "_part", *(F.sum(n).over(within).alias(n) for n in values)).join(starts, "_part").select(F.col("_order").alias(order), *((F.col(n) + F.col(f"_{n}")).alias(n) for n in values))
     return inside.select(order, "runs", *((F.col(n) / F.col("runs")).alias(n) for n in values if n != "runs"))
 
 

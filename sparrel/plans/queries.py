@@ -1,8 +1,8 @@
 """The registered queries over the driver's tables, each beside its DuckDB equivalent.
 
-Embeddings under QUERIES are queries and the others the corpus; a label in common is
-relevance, vec_id + 100 a query's single target. Twelve vectors in a row are the frames of a
-video, of which the first 1 + video % 12 are unmasked. Conversations are captions.
+Searches take every EACH-th embedding, or video, as a query, against all rows; another row of its label is
+relevant, vec_id + 100 a query's single target. Twelve vectors in a row are the frames of a
+video, of which the first 1 + video % 12 are unmasked. Losses and margins are of batches of rows. Conversations are captions.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from sparrel.functions import model_json, paths, text, vectors
 from sparrel.operators import rerank, scoring, summaries
-from sparrel.sources import captions
+from sparrel.sources import answers, captions
 
-QUERIES = 100
+EACH = 20
 QUERY_FNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -40,47 +40,53 @@ def long(c: Column) -> Column:
 
 
 def ninth(c: Column) -> Column:
-    """Where logarithms or powers differ in the last place between engines: to nine digits."""
+    """Where exponentials and logarithms differ in the last place between engines: to nine digits."""
     return F.round(c, 9)
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = load(spark, sf_dir, "embeddings").select("vec_id", vectors.doubles(F.col("embedding")).alias("vector"), "label")
-    left = e.where(F.col("vec_id") < QUERIES).select(F.col("vec_id").alias("query_id"), "vector", "label")
-    right = e.where(F.col("vec_id") >= QUERIES).select(F.col("vec_id").alias("item_idx"), "vector", "label")
-    return left, right
-
-
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left, right = sides(spark, sf_dir)
-    pairs = scoring.all_pairs(left.withColumnRenamed("vector", "q").withColumnRenamed("label", "ql"), right.withColumnRenamed("vector", "c").withColumnRenamed("label", "cl"), vectors.dot(F.col("q"), F.col("c")))
-    return pairs.select("query_id", "item_idx", "score", "ql", "cl")
+    left = e.where(F.col("vec_id") % EACH == 0).select(F.col("vec_id").alias("query_id"), "vector", "label")
+    return left, e.select(F.col("vec_id").alias("item_idx"), "vector", "label")
 
 
 DOT = "list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"
-SCORES = f"s AS (SELECT q.vec_id AS query_id, c.vec_id AS item_idx, q.label AS ql, c.label AS cl, {DOT} AS score FROM embeddings q, embeddings c WHERE q.vec_id < 100 AND c.vec_id >= 100)"
-RANKED = f"{SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY -score, item_idx) AS rank FROM s)"
+CROSSED = "embeddings q, embeddings c WHERE q.vec_id % 20 = 0"
+SCORES = f"s AS (SELECT q.vec_id AS query_id, c.vec_id AS item_idx, q.label AS ql, c.label AS cl, {DOT} AS score FROM {CROSSED})"
+ORDERED = "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY -score, item_idx) AS rank FROM s)"
+RANKED = f"{SCORES}, {ORDERED}"
+TOP = "SELECT query_id, item_idx, score, rank FROM r WHERE rank <= 10"
 
 
-@query(f"WITH {RANKED} SELECT query_id, item_idx, score, rank FROM r WHERE rank <= 10")
+@query(f"WITH {RANKED} {TOP}")
 def topk_t2v(spark, sf_dir):
     left, right = sides(spark, sf_dir)
     return scoring.score_top_k(left, right, 10)
 
 
-@query(
-    f"WITH s AS (SELECT c.vec_id AS query_id, q.vec_id AS item_idx, {DOT} AS score FROM embeddings q, embeddings c WHERE q.vec_id < 100 AND c.vec_id >= 100), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY -score, item_idx) AS rank FROM s) SELECT query_id, item_idx, score, rank FROM r WHERE rank <= 10"
-)
+FRAMES = "f AS (SELECT vec_id // 12 AS grp, vec_id % 12 AS pos, vec_id % 12 < 1 + (vec_id // 12) % 12 AS on_, embedding::DOUBLE[] AS v FROM embeddings)"
+SUM = "list_reduce(list({0} ORDER BY pos), lambda x, y: x + y)"
+
+
+def pooled(values: str, where: str = "", source: str = "f") -> str:
+    return f"(SELECT grp, list(m ORDER BY i) AS p FROM (SELECT grp, i, {values} AS m FROM {source}, range(1, 65) r(i) {where} GROUP BY grp, i) GROUP BY grp)"
+
+
+#: A dot product whose sum is in the order of the dimensions (list_inner_product's is not told; with inputs that are floats it makes no difference).
+IN_ORDER = "list_reduce(list_transform(range(1, 65), lambda i: {0}[i] * ({1})[i]), lambda x, y: x + y)"
+MEAN = f"p AS {pooled(SUM.format('v[i]') + ' / count(*)', 'WHERE on_')}"
+
+
+@query(f"WITH {FRAMES}, {MEAN}, s AS (SELECT p.grp AS query_id, c.vec_id AS item_idx, {IN_ORDER.format('p.p', 'c.embedding::DOUBLE[]')} AS score FROM p, embeddings c WHERE p.grp % 20 = 0), {ORDERED} {TOP}")
 def topk_v2t(spark, sf_dir):
-    left, right = sides(spark, sf_dir)
-    return scoring.score_top_k(right.withColumnRenamed("item_idx", "query_id"), left.withColumnRenamed("query_id", "item_idx"), 10)
+    """A video's pooled frames against all rows."""
+    videos = frames(spark, sf_dir).where(F.col("grp") % EACH == 0).select(long(F.col("grp")).alias("query_id"), vectors.mean_pool(F.col("frames"), F.col("mask")).alias("vector"))
+    return scoring.score_top_k(videos, sides(spark, sf_dir)[1], 10)
 
 
 @query(
     "WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS item_idx, list_inner_product(q.embedding::DOUBLE[], list_concat(c.embedding[1:32]::DOUBLE[], [0.0::DOUBLE for _ in range(32)])) AS score "
-    "FROM embeddings q, embeddings c WHERE q.vec_id < 100 AND c.vec_id >= 100), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY -score, item_idx) AS rank FROM s) "
-    "SELECT query_id, item_idx, score, rank FROM r WHERE rank <= 10"
+    f"FROM {CROSSED}), {ORDERED} {TOP}"
 )
 def topk_audio_off(spark, sf_dir):
     left, right = sides(spark, sf_dir)
@@ -90,8 +96,7 @@ def topk_audio_off(spark, sf_dir):
 
 @query(
     "WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS item_idx, list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) / (sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * "
-    "sqrt(list_inner_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[]))) AS score FROM embeddings q, embeddings c WHERE q.vec_id < 100 AND c.vec_id >= 100), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY -score, item_idx) AS rank FROM s) SELECT query_id, item_idx, score, rank FROM r WHERE rank <= 10"
+    f"sqrt(list_inner_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[]))) AS score FROM {CROSSED}), {ORDERED} {TOP}"
 )
 def score_cosine(spark, sf_dir):
     left, right = sides(spark, sf_dir)
@@ -104,29 +109,30 @@ RECALL = ", ".join(f"avg((rank <= {k})::INT::DOUBLE) AS recall_{k}" for k in (1,
 @query(f"WITH {RANKED} SELECT {RECALL} FROM r WHERE item_idx = query_id + 100")
 def recall_t2v(spark, sf_dir):
     left, right = sides(spark, sf_dir)
-    targets = left.select("query_id", (F.col("query_id") + QUERIES).alias("item_idx")).join(right.select("item_idx"), "item_idx", "left_semi")
+    targets = scoring.with_target(left.select("query_id", (F.col("query_id") + 100).alias("item_idx")), right, "item_idx")
     return scoring.recall_of_hits(scoring.score_top_k(left, right, 10), targets, [1, 5, 10])
 
 
-@query(f"WITH {RANKED}, b AS (SELECT query_id, min(rank) AS rank FROM r WHERE ql = cl GROUP BY query_id) SELECT {RECALL} FROM b")
+@query(f"WITH {RANKED}, b AS (SELECT query_id, min(rank) AS rank FROM r WHERE ql = cl AND query_id <> item_idx GROUP BY query_id) SELECT {RECALL} FROM b")
 def recall_v2t(spark, sf_dir):
     left, right = sides(spark, sf_dir)
     hits = scoring.score_top_k(left, right, 10).join(left.select("query_id", F.col("label").alias("ql")), "query_id").join(right.select("item_idx", F.col("label").alias("cl")), "item_idx")
-    best = hits.where("ql = cl").groupBy("query_id").agg(F.min("rank").alias("rank"))
-    known = left.join(right.select("label").distinct(), "label", "left_semi").select("query_id")
-    return scoring.recall_at(known.join(best, "query_id", "left"), [1, 5, 10])
+    best = hits.where("ql = cl and query_id <> item_idx").groupBy("query_id").agg(F.min("rank").alias("rank"))
+    shared = right.groupBy("label").count().where("count > 1")
+    return scoring.recall_at(scoring.with_target(left, shared, "label").select("query_id").join(best, "query_id", "left"), [1, 5, 10])
 
 
-@query(f"WITH {RANKED} SELECT query_id, item_idx, rank FROM r WHERE ql = cl")
+@query(f"WITH {RANKED} SELECT query_id, item_idx, rank FROM r WHERE item_idx IN (query_id + 1, query_id + 100)")
 def target_rank(spark, sf_dir):
-    s = scores(spark, sf_dir)
-    return scoring.target_ranks(s, s.where("ql = cl").select("query_id", "item_idx"))
+    left, right = sides(spark, sf_dir)
+    targets = left.select("query_id", F.explode(F.array(F.col("query_id") + 1, F.col("query_id") + 100)).alias("item_idx"))
+    return scoring.ranks_in_blocks(left, right, targets)
 
 
-@query("SELECT DISTINCT q.vec_id AS query_id FROM embeddings q WHERE q.vec_id < 100 AND EXISTS (SELECT 1 FROM embeddings c WHERE c.vec_id >= 100 AND c.label = q.label)")
+@query("SELECT q.vec_id AS query_id FROM embeddings q WHERE q.vec_id % 20 = 0 AND EXISTS (SELECT 1 FROM embeddings c WHERE c.vec_id % 20 <> 0 AND c.label = q.label)")
 def target_semijoin(spark, sf_dir):
     left, right = sides(spark, sf_dir)
-    return left.join(right.select("label"), "label", "left_semi").select("query_id")
+    return scoring.with_target(left, right.where(F.col("item_idx") % EACH != 0), "label").select("query_id")
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,31 +144,25 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("grp", F.transform("f", lambda x: x["v"]).alias("frames"), F.transform("f", lambda x: (x["pos"] < 1 + F.col("grp") % 12).cast("int")).alias("mask"))
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("text_idx"), vectors.doubles(F.col("embedding")).alias("t"))
+def video_scores(spark, sf_dir, kind: str, item: Column) -> DataFrame:
+    """The best ten videos of each text, each video's vector (or frames) made once."""
+    left, _ = sides(spark, sf_dir)
+    videos = frames(spark, sf_dir).select(long(F.col("grp")).alias("item_idx"), item.alias("vector"))
+    return scoring.score_top_k(left, videos, 10, kind).select(F.col("query_id").alias("text_idx"), F.col("item_idx").alias("grp"), "score", "rank")
 
 
-FRAMES = "f AS (SELECT vec_id // 12 AS grp, vec_id % 12 AS pos, vec_id % 12 < 1 + (vec_id // 12) % 12 AS on_, embedding::DOUBLE[] AS v FROM embeddings)"
-TEXT = "t AS (SELECT vec_id AS text_idx, embedding::DOUBLE[] AS t FROM embeddings WHERE vec_id < 20)"
-SUM = "list_reduce(list({0} ORDER BY pos), lambda x, y: x + y)"
+TEXT = "t AS (SELECT vec_id AS text_idx, embedding::DOUBLE[] AS t FROM embeddings WHERE vec_id % 20 = 0)"
+BEST = "r AS (SELECT *, row_number() OVER (PARTITION BY text_idx ORDER BY -score, grp) AS rank FROM s)"
 
 
-def pooled(values: str, where: str = "", source: str = "f") -> str:
-    return f"(SELECT grp, list(m ORDER BY i) AS p FROM (SELECT grp, i, {values} AS m FROM {source}, range(1, 65) r(i) {where} GROUP BY grp, i) GROUP BY grp)"
-
-
-def video_scores(spark, sf_dir, scorer, name="score"):
-    return texts(spark, sf_dir).crossJoin(frames(spark, sf_dir)).select("text_idx", long(F.col("grp")).alias("grp"), scorer.alias(name))
-
-
-@query(f"WITH {FRAMES}, {TEXT}, p AS {pooled(SUM.format('v[i]') + ' / count(*)', 'WHERE on_')} SELECT text_idx, grp, round(list_inner_product(t.t, p.p), 9) AS score FROM t, p")
+@query(f"WITH {FRAMES}, {TEXT}, {MEAN}, s AS (SELECT text_idx, grp, {IN_ORDER.format('t.t', 'p.p')} AS score FROM t, p), {BEST} SELECT text_idx, grp, score, rank FROM r WHERE rank <= 10")
 def score_meanpool(spark, sf_dir):
-    return video_scores(spark, sf_dir, ninth(vectors.dot(F.col("t"), vectors.mean_pool(F.col("frames"), F.col("mask")))))
+    return video_scores(spark, sf_dir, "dot", vectors.mean_pool(F.col("frames"), F.col("mask")))
 
 
-@query(f"WITH {FRAMES}, {TEXT}, p AS {pooled('max(CASE WHEN on_ THEN v[i] ELSE 0 END)')} SELECT text_idx, grp, list_inner_product(t.t, p.p) AS score FROM t, p")
+@query(f"WITH {FRAMES}, {TEXT}, p AS {pooled('max(CASE WHEN on_ THEN v[i] ELSE 0 END)')}, s AS (SELECT text_idx, grp, list_inner_product(t.t, p.p) AS score FROM t, p), {BEST} SELECT text_idx, grp, score, rank FROM r WHERE rank <= 10")
 def score_maxpool(spark, sf_dir):
-    return video_scores(spark, sf_dir, vectors.dot(F.col("t"), vectors.max_pool(F.col("frames"), F.col("mask"))))
+    return video_scores(spark, sf_dir, "dot", vectors.max_pool(F.col("frames"), F.col("mask")))
 
 
 @query(
@@ -177,48 +177,59 @@ def score_meanpool_groups(spark, sf_dir):
 LSE = "ln(list_reduce(list(exp(list_inner_product(t.t, v)) ORDER BY pos), lambda x, y: x + y))"
 
 
-@query(f"WITH {FRAMES}, {TEXT} SELECT text_idx, grp, round({LSE}, 9) AS score FROM t, f WHERE on_ GROUP BY text_idx, grp")
+@query(f"WITH {FRAMES}, {TEXT}, s AS (SELECT text_idx, grp, {LSE} AS score FROM t, f WHERE on_ GROUP BY text_idx, grp), {BEST} SELECT text_idx, grp, round(score, 9) AS score, rank FROM r WHERE rank <= 10")
 def score_lse(spark, sf_dir):
-    locals_ = F.transform("frames", lambda v: vectors.dot(F.col("t"), v))
-    return video_scores(spark, sf_dir, ninth(vectors.log_sum_exp(locals_, F.col("mask"))))
+    return video_scores(spark, sf_dir, "lse", vectors.unmasked(F.col("frames"), F.col("mask"))).withColumn("score", ninth(F.col("score")))
 
 
 @query(
-    f"WITH f0 AS (SELECT vec_id // 12 AS grp, vec_id % 12 AS pos, vec_id % 12 < 1 + (vec_id // 12) % 12 AS on_, embedding::DOUBLE[] AS w FROM embeddings), "
+    "WITH f0 AS (SELECT vec_id // 12 AS grp, vec_id % 12 AS pos, vec_id % 12 < 1 + (vec_id // 12) % 12 AS on_, embedding::DOUBLE[] AS w FROM embeddings), "
     "f AS (SELECT grp, pos, on_, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) AS v FROM f0), "
-    "t AS (SELECT text_idx, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) AS t FROM (SELECT vec_id AS text_idx, embedding::DOUBLE[] AS w FROM embeddings WHERE vec_id < 20)), "
+    "t AS (SELECT text_idx, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) AS t FROM (SELECT vec_id AS text_idx, embedding::DOUBLE[] AS w FROM embeddings WHERE vec_id % 20 = 0)), "
     f"p0 AS {pooled(SUM.format('v[i]') + ' / count(*)', 'WHERE on_')}, p AS (SELECT grp, list_transform(p, lambda x: x / sqrt(list_inner_product(p, p))) AS p FROM p0), "
-    f"l AS (SELECT text_idx, grp, {LSE} AS local FROM t, f WHERE on_ GROUP BY text_idx, grp) "
-    "SELECT l.text_idx, l.grp, round((local + list_inner_product(t.t, p.p)) / 2, 9) AS score FROM l JOIN t USING (text_idx) JOIN p USING (grp)"
+    f"l AS (SELECT text_idx, grp, {LSE} AS local FROM t, f WHERE on_ GROUP BY text_idx, grp), "
+    f"s AS (SELECT l.text_idx, l.grp, (local + list_inner_product(t.t, p.p)) / 2 AS score FROM l JOIN t USING (text_idx) JOIN p USING (grp)), {BEST} SELECT text_idx, grp, round(score, 9) AS score, rank FROM r WHERE rank <= 10"
 )
 def score_hybrid(spark, sf_dir):
-    return video_scores(spark, sf_dir, ninth(vectors.hybrid(F.col("t"), F.col("frames"), F.col("mask"))))
+    return video_scores(spark, sf_dir, "hybrid", vectors.unmasked(F.col("frames"), F.col("mask"))).withColumn("score", ninth(F.col("score")))
 
 
-def few(spark, sf_dir, low, high, key, value):
-    e = load(spark, sf_dir, "embeddings").where(f"vec_id >= {low} AND vec_id < {high}")
-    return e.select((F.col("vec_id") - low).alias(key), vectors.doubles(F.col("embedding")).alias(value))
+def halves(spark, sf_dir, pairs: int) -> tuple[DataFrame, DataFrame]:
+    """Texts (batch, i, a) and videos (batch, j, b): even and odd rows, ``pairs`` of each in a batch."""
+    e = load(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / (2 * pairs)).alias("batch"), F.floor(F.col("vec_id") / 2 % pairs).alias("i"), (F.col("vec_id") % 2).alias("side"), vectors.doubles(F.col("embedding")).alias("v"))
+    return e.where("side = 0").select("batch", "i", F.col("v").alias("a")), e.where("side = 1").select("batch", F.col("i").alias("j"), F.col("v").alias("b"))
+
+
+def halves_sql(pairs: int) -> str:
+    return f"e AS (SELECT vec_id // {2 * pairs} AS batch, vec_id // 2 % {pairs} AS i, vec_id % 2 AS side, embedding::DOUBLE[] AS v FROM embeddings)"
 
 
 @query(
-    f"WITH s AS (SELECT q.vec_id AS i, c.vec_id - 100 AS j, {DOT} AS score FROM embeddings q, embeddings c WHERE q.vec_id < 50 AND c.vec_id BETWEEN 100 AND 149), "
-    "r AS (SELECT i, ln(sum(exp(score))) AS whole, max(CASE WHEN i = j THEN score END) AS own FROM s GROUP BY i) SELECT round(avg(whole - own), 9) AS loss FROM r"
+    f"WITH {halves_sql(64)}, s AS (SELECT batch, a.i AS i, b.i AS j, list_inner_product(a.v, b.v) * 10 AS score FROM e a JOIN e b USING (batch) WHERE a.side = 0 AND b.side = 1), "
+    "m AS (SELECT batch, i, max(score) AS top, max(CASE WHEN i = j THEN score END) AS own FROM s GROUP BY batch, i), "
+    "r AS (SELECT batch, i, ln(sum(exp(score - top))) + any_value(top) - any_value(own) AS l FROM s JOIN m USING (batch, i) GROUP BY batch, i) SELECT batch, round(avg(l), 9) AS loss FROM r GROUP BY batch"
 )
 def contrastive_loss(spark, sf_dir):
-    s = few(spark, sf_dir, 0, 50, "i", "a").crossJoin(few(spark, sf_dir, 100, 150, "j", "b")).select("i", "j", vectors.dot(F.col("a"), F.col("b")).alias("score"))
-    return scoring.contrastive_loss(s).select(ninth(F.col("loss")).alias("loss"))
+    """Of each batch of 64 pairs, over all rows."""
+    a, b = halves(spark, sf_dir, 64)
+    scores = a.join(b, "batch").select("batch", "i", "j", (vectors.dot(F.col("a"), F.col("b")) * 10).alias("score"))
+    return scoring.contrastive_loss(scores, ["batch"]).select("batch", ninth(F.col("loss")).alias("loss"))
 
 
 @query(
-    f"WITH tt AS (SELECT q.vec_id AS i, c.vec_id AS j, {DOT} AS s FROM embeddings q, embeddings c WHERE q.vec_id < 30 AND c.vec_id < 30), "
-    f"vv AS (SELECT q.vec_id - 100 AS i, c.vec_id - 100 AS j, {DOT} AS s FROM embeddings q, embeddings c WHERE q.vec_id BETWEEN 100 AND 129 AND c.vec_id BETWEEN 100 AND 129) "
-    "SELECT i, j, CASE WHEN i = j THEN 0.0::DOUBLE ELSE least(greatest((1.0::DOUBLE - (tt.s + vv.s) / 2) * 0.5::DOUBLE, 0.0::DOUBLE), 0.4::DOUBLE) END AS margin FROM tt JOIN vv USING (i, j)"
+    f"WITH {halves_sql(16)}, s AS (SELECT side, batch, a.i AS i, b.i AS j, list_inner_product(a.v, b.v) AS s FROM e a JOIN e b USING (side, batch)) "
+    "SELECT batch, i, j, CASE WHEN i = j THEN 0.0::DOUBLE ELSE least(greatest((1.0::DOUBLE - (x.s + y.s) / 2) * 0.5::DOUBLE, 0.0::DOUBLE), 0.4::DOUBLE) END AS margin FROM s x JOIN s y USING (batch, i, j) WHERE x.side = 0 AND y.side = 1"
 )
 def margin_matrix(spark, sf_dir):
-    def square(low, name):
-        return few(spark, sf_dir, low, low + 30, "i", "a").crossJoin(few(spark, sf_dir, low, low + 30, "j", "b")).select("i", "j", vectors.dot(F.col("a"), F.col("b")).alias(name))
+    """Of each batch of 16 pairs, over all rows."""
+    a, b = halves(spark, sf_dir, 16)
+
+    def square(side: DataFrame, index: str, value: str, name: str) -> DataFrame:
+        left, right = side.select("batch", F.col(index).alias("i"), F.col(value).alias("p")), side.select("batch", F.col(index).alias("j"), F.col(value).alias("q"))
+        return left.join(right, "batch").select("batch", "i", "j", vectors.dot(F.col("p"), F.col("q")).alias(name))
 
-    return square(0, "tt").join(square(100, "vv"), ["i", "j"]).select("i", "j", scoring.hard_margin(F.col("tt"), F.col("vv"), F.col("i") == F.col("j"), 0.5, 0.4).alias("margin"))
+    both = square(a, "i", "a", "tt").join(square(b, "j", "b", "vv"), ["batch", "i", "j"])
+    return both.select("batch", "i", "j", scoring.hard_margin(F.col("tt"), F.col("vv"), F.col("i") == F.col("j"), 0.5, 0.4).alias("margin"))
 
 
 def split(spark, sf_dir) -> DataFrame:
@@ -242,9 +253,7 @@ def video_dedup(spark, sf_dir):
 
 @query(f"WITH {NUMBERED} SELECT video_id, string_agg(text_id, ',' ORDER BY text_idx) AS text_ids FROM y GROUP BY video_id")
 def video_text_ids(spark, sf_dir):
-    texts_ = captions.texts_of(split(spark, sf_dir))
-    grouped = texts_.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("text_idx", "text_id"))).alias("all"))
-    return grouped.select("video_id", F.array_join(F.transform("all", lambda x: x["text_id"]), ",").alias("text_ids"))
+    return captions.text_ids_of(captions.texts_of(split(spark, sf_dir))).select("video_id", F.array_join("text_ids", ",").alias("text_ids"))
 
 
 WHITE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+"
@@ -396,16 +405,56 @@ def required_keys(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", F.array_join(missing, ",").alias("missing"))
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN (event_id || '.5')::DOUBLE ELSE 0.0::DOUBLE END AS number FROM events")
+#: JSON values of a key f, and what Python makes of each as a number (default 0), a flag and a text with a default.
+VALUES = (
+    ("true", 1.0, True, "True"),
+    ("false", 0.0, False, None),
+    ('" 2.5\\t"', 2.5, True, "2.5"),
+    ('"about 3"', 0.0, True, "about 3"),
+    ("0", 0.0, False, None),
+    ("-7", -7.0, True, "-7"),
+    ("null", 0.0, False, None),
+    ("[]", 0.0, False, None),
+    ("{}", 0.0, False, None),
+    ('"[]"', 0.0, True, "[]"),
+    ('"{}"', 0.0, True, "{}"),
+    ('"false"', 0.0, True, "false"),
+    ('"None"', 0.0, True, "None"),
+    ('""', 0.0, False, None),
+    ('"  "', 0.0, True, None),
+    ("1e3", 1000.0, True, "1000.0"),
+)
+
+
+def valued() -> Column:
+    """An event's answer: one of VALUES by its number, or no key at all."""
+    out = F.lit('{"g": 1}')
+    for k, row in enumerate(VALUES):
+        out = F.when(F.col("event_id") % (len(VALUES) + 1) == k, F.lit(f'{{"f": {row[0]}}}')).otherwise(out)
+    return out
+
+
+def told_sql(column: int, default: str) -> str:
+    def literal(value) -> str:
+        return default if value is None else str(value) if isinstance(value, bool) else f"{value!r}::DOUBLE" if isinstance(value, float) else f"'{value}'"
+
+    return f"CASE event_id % {len(VALUES) + 1} " + " ".join(f"WHEN {k} THEN {literal(row[column])}" for k, row in enumerate(VALUES)) + f" ELSE {default} END"
+
+
+@query(f"SELECT event_id, {told_sql(1, '0.0::DOUBLE')} AS number FROM events")
 def float_coerce(spark, sf_dir):
-    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("\t"), F.col("event_id").cast("string"), F.lit(".5 "))).when(F.col("event_id") % 3 == 1, F.lit("about 3"))
-    return load(spark, sf_dir, "events").select("event_id", model_json.as_number(raw).alias("number"))
+    return load(spark, sf_dir, "events").select("event_id", model_json.number(valued(), "f").alias("number"))
 
 
-@query("SELECT event_id, event_id % 4 IN (0, 3) AS flag FROM events")
+@query(f"SELECT event_id, {told_sql(2, 'false')} AS flag FROM events")
 def bool_coerce(spark, sf_dir):
-    raw = F.when(F.col("event_id") % 4 == 0, '{"f": "false"}').when(F.col("event_id") % 4 == 1, '{"f": 0}').when(F.col("event_id") % 4 == 2, '{"g": true}').otherwise('{"f": [0]}')
-    return load(spark, sf_dir, "events").select("event_id", model_json.as_flag(raw, "f").alias("flag"))
+    return load(spark, sf_dir, "events").select("event_id", model_json.as_flag(valued(), "f").alias("flag"))
+
+
+@query(f"SELECT event_id, {told_sql(3, 'event_type')} AS retrieval_text FROM events")
+def retrieval_text(spark, sf_dir):
+    json = F.regexp_replace(valued(), '"f"', '"retrieval_text"')
+    return load(spark, sf_dir, "events").select("event_id", model_json.query_understanding(json, F.col("event_type"))["retrieval_text"].alias("retrieval_text"))
 
 
 @query("SELECT page_id, CASE page_id % 4 WHEN 1 THEN '/a b/' || page_id || '.mp4' WHEN 2 THEN '/videos/' || page_id || '.webm' END AS path, CASE page_id % 4 WHEN 1 THEN 'video/mp4' WHEN 2 THEN 'video/webm' END AS mime FROM pages")
@@ -434,13 +483,13 @@ def cached_name(spark, sf_dir):
 
 @query("SELECT vec_id, label FROM embeddings WHERE vec_id >= 100 AND vec_id < 150")
 def slice_rows(spark, sf_dir):
-    return load(spark, sf_dir, "embeddings").where("vec_id >= 100 and vec_id < 150").select("vec_id", "label")
+    return captions.row_slice(load(spark, sf_dir, "embeddings"), "vec_id", 100, 50).select("vec_id", "label")
 
 
 @query("SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
 def cache_miss_antijoin(spark, sf_dir):
     cached = load(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"))
-    return load(spark, sf_dir, "orders").select("o_custkey").distinct().join(cached, "o_custkey", "left_anti")
+    return answers.missing(load(spark, sf_dir, "orders").select("o_custkey"), cached, "o_custkey")
 
 
 HINT = f"x AS (SELECT event_id, event_type AS query, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN ' better ' || event_type WHEN 2 THEN '  ' END AS rewritten, {WORD_CASE} AS w, event_id % 7 = 0 AS fell FROM events)"
@@ -495,11 +544,11 @@ def rerank_window(spark, sf_dir):
     return rerank.rerank(hits(spark, sf_dir), orders(spark, sf_dir, 5), 5).select("query_id", "item_id", "score", "original_rank", "rank", "repair_used")
 
 
-@query(f"WITH {ordered_sql(5)} SELECT query_id, item_id, score, 1::BIGINT AS rank_in_final_search, original_rank FROM k WHERE CASE WHEN repair_used THEN original_rank ELSE rank END = 1 UNION ALL SELECT 100, NULL, NULL, 0, 0")
+@query(f"WITH {ordered_sql(5)} SELECT query_id, item_id, score, 1::BIGINT AS rank_in_final_search, original_rank FROM k WHERE CASE WHEN repair_used THEN original_rank ELSE rank END = 1 UNION ALL SELECT -1, NULL, NULL, 0, 0")
 def final_result(spark, sf_dir):
     first = hits(spark, sf_dir)
     moved = rerank.rerank(first, orders(spark, sf_dir, 5), 5)
-    queries = spark.range(QUERIES + 1).withColumnRenamed("id", "query_id")
+    queries = sides(spark, sf_dir)[0].select("query_id").union(spark.range(-1, 0).select("id"))  # one without hits
     return rerank.final_results(queries, first, rerank.settled(first, moved, F.col("repair_used")))
 
 
@@ -555,8 +604,7 @@ def agent_summary(spark, sf_dir):
     "f::DOUBLE / runs AS fallback, q::DOUBLE / runs AS rewritten FROM y"
 )
 def running_summary(spark, sf_dir):
-    made = runs(spark, sf_dir).withColumn("chunk", F.floor(F.col("event_id") / 1000))
-    return summaries.running_summary(made, "event_id", 5, "chunk")
+    return summaries.running_summary(runs(spark, sf_dir), "event_id", 5)
 
 
 def shards(spark, sf_dir) -> DataFrame:
