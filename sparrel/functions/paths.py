@@ -7,6 +7,8 @@ import hashlib
 import json
 import mimetypes
 import os
+import urllib.parse
+import urllib.request
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,8 +35,13 @@ def data_url(content: Column, path: Column) -> Column:
     return F.concat(F.lit("data:"), mime_type(path), F.lit(";base64,"), F.regexp_replace(F.base64(content), r"[\r\n]", ""))
 
 
+def local_file(url: str) -> str:
+    """The path that a file: URL names, its escapes resolved and its host left out; other text as it is."""
+    return urllib.request.url2pathname(urllib.parse.urlparse(url).path) if url.startswith("file://") else url
+
+
 def file_data_url(path: str) -> str:
-    """The same for one local file on the driver; FileNotFoundError if it is missing."""
+    """The same for one file of the machine that asks: media must lie in a folder that all executors see. FileNotFoundError if it is missing."""
     with open(path, "rb") as f:
         return f"data:{mimetypes.guess_type(path)[0] or 'video/mp4'};base64,{base64.b64encode(f.read()).decode()}"
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 
@@ -154,6 +158,11 @@ def centred(wave: Column) -> Column:
     return let(mean, lambda m: F.transform(doubles(wave), lambda x: x - m))
 
 
+def frame_shift(samples: Column, sample_rate: int, target_length: int) -> Column:
+    """Milliseconds between the frames that spread a waveform over ``target_length`` rows."""
+    return samples * 1000.0 / (sample_rate * target_length)
+
+
 def end_position(ids: Column) -> Column:
     """Place (from 1) of the largest id, the first one on ties."""
     return F.array_position(ids, F.array_max(ids))
@@ -161,7 +170,16 @@ def end_position(ids: Column) -> Column:
 
 def activations(x: Column) -> dict[str, Column]:
     logistic = 1 / (1 + F.exp(-x))
-    return {"quick_gelu": x / (1 + F.exp(x * -1.702)), "swish": x * logistic}
+    return {"gelu": gelu(x), "quick_gelu": x / (1 + F.exp(x * -1.702)), "swish": x * logistic}
+
+
+def gelu(x: Column) -> Column:
+    """x times the normal distribution up to x. There is no error function among the built-in ones."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else v * 0.5 * (1 + math.erf(v / math.sqrt(2))))
+
+    return F.pandas_udf(run, T.DoubleType())(x)
 
 
 def layer_norm(v: Column, weight: Column, bias: Column, eps: float = 1e-12) -> Column:

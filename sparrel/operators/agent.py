@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparrel.operators import checkers, rerank
 from sparrel.operators.checkers import Checker
+from sparrel.sources.answers import remembered
 from sparrel.sources.kept import kept
 
 #: Retrieves hits (query_id, rank, item_id, score, ...) for (query_id, key, audio_mode).
@@ -28,7 +31,22 @@ def _payload(table: DataFrame, *fields) -> DataFrame:
     )
 
 
-def t2v_agent(queries: DataFrame, videos: DataFrame, retrieve: Retriever, checker: Checker, window: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _described(videos: DataFrame, checker: Checker, memory: str | None) -> DataFrame:
+    """(video_id, description) of (video_id, video_path): each video is asked for once, also by later runs where ``memory`` names a folder."""
+    path = f"{memory}/descriptions" if memory else None
+    return remembered(videos.select("video_id", "video_path"), "video_id", lambda keys: checkers.describe(keys, checker).select("video_id", "description"), path, "not description.fallback_used")
+
+
+def _six(score: str) -> Column:
+    """To six digits as Python rounds, by the exact binary value."""
+
+    def run(scores: pd.Series) -> pd.Series:
+        return scores.map(lambda x: None if x is None else round(x, 6))
+
+    return F.pandas_udf(run, T.DoubleType())(F.col(score))
+
+
+def t2v_agent(queries: DataFrame, videos: DataFrame, retrieve: Retriever, checker: Checker, window: int = 5, memory: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(runs, initial hits, final hits) of text queries (query_id, query_text, video_id as target).
 
     runs: hints, stage of the fallback if any, calls, and the final result. Candidates of a window count as calls even where their description is shared.
@@ -40,22 +58,23 @@ def t2v_agent(queries: DataFrame, videos: DataFrame, retrieve: Retriever, checke
 
     sound = hinted.where("not understanding.fallback_used").select("query_id", F.to_json("understanding").alias("context"))
     candidates = initial.where(F.col("rank") <= max(1, int(window))).join(sound, "query_id")
-    described = kept(checkers.describe(candidates.select(F.col("item_id").alias("video_id")).distinct().join(videos, "video_id"), checker))
+    wanted = candidates.select(F.col("item_id").alias("video_id")).distinct().join(videos, "video_id", "left")
+    described = _described(wanted, checker, memory)
     shown = candidates.join(described.withColumnRenamed("video_id", "item_id").select("item_id", "description"), "item_id")
     state = shown.groupBy("query_id").agg(F.count("*").alias("described"), F.bool_or("description.fallback_used").alias("description_fell"))
     whole = shown.join(state.where("not description_fell"), "query_id")
-    fields = (F.col("item_id").alias("video_id"), F.col("rank").alias("original_rank"), F.col("score").alias("original_score"), F.col("description").alias("video_description"))
+    fields = (F.col("item_id").alias("video_id"), F.col("rank").alias("original_rank"), _six("score").alias("original_score"), F.col("description").alias("video_description"))
     results = kept(checkers.order(_payload(whole, *fields).join(sound, "query_id"), checker, "video").select("query_id", "result"))
     return _settle(hinted, initial, results, state, window, "t2v")
 
 
-def v2t_agent(queries: DataFrame, retrieve: Retriever, checker: Checker) -> tuple[DataFrame, DataFrame, DataFrame]:
+def v2t_agent(queries: DataFrame, retrieve: Retriever, checker: Checker, memory: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The same for video queries (query_id, video_id, video_path): one description, and all hits are re-ranked."""
-    described = kept(checkers.describe(queries.select("video_id", "video_path"), checker).select("video_id", "description"))
+    described = _described(queries.select("video_id", "video_path"), checker, memory)
     hinted = queries.join(described, "video_id").withColumn("hints", rerank.description_hints(F.col("description")))
     initial = kept(retrieve(hinted.select("query_id", F.col("video_id").alias("key"), F.col("hints.audio_mode").alias("audio_mode"))))
     sound = hinted.where("not description.fallback_used").select("query_id", F.to_json("description").alias("context"))
-    fields = (F.col("item_id").alias("text_id"), F.col("rank").alias("original_rank"), F.col("score").alias("original_score"), "text")
+    fields = (F.col("item_id").alias("text_id"), F.col("rank").alias("original_rank"), _six("score").alias("original_score"), "text")
     results = kept(checkers.order(_payload(initial.join(sound, "query_id"), *fields).join(sound, "query_id"), checker, "text").select("query_id", "result"))
     state = initial.groupBy("query_id").agg(F.count("*").alias("described"), F.lit(False).alias("description_fell"))
     return _settle(hinted, initial, results, state, None, "v2t")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import urllib.request
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparrel.functions import model_json
-from sparrel.functions.paths import file_data_url
+from sparrel.functions.paths import file_data_url, local_file
 from sparrel.schema import DESCRIPTION, RERANK, UNDERSTANDING
 
 
@@ -63,8 +64,9 @@ class TableChecker:
 
 def query_prompt(query: str) -> list[dict]:
     text = (
-        f"Understand a query that looks for a video.\nOriginal query: {query}\n"
-        "Give cues and a rewrite for retrieval. Keep the rewrite close to the original query, with its people, actions and places, and do not broaden it."
+        "Someone searches a collection of videos with words. Say what they hope to see and hear, and word it so that it finds it.\n"
+        f"Original query: {query}\n"
+        "Keep the rewrite close to the original query: the same people, doings and places; do not broaden it."
     )
     return [{"type": "text", "text": text}]
 
@@ -72,7 +74,7 @@ def query_prompt(query: str) -> list[dict]:
 def description_prompt(video_path: str) -> list[dict]:
     if not video_path:
         raise ValueError("a video to describe needs a path")
-    text = "Describe this video so that it can be told from similar ones: who does what where, objects, scene, and sounds that matter."
+    text = "What would set this video apart from others like it? Name doings, things, the place, and sounds worth knowing."
     return [{"type": "video_url", "video_url": {"url": video_path}}, {"type": "text", "text": text}]
 
 
@@ -97,6 +99,8 @@ class HttpChecker:
     model: str
     timeout: float = 120.0
     max_tokens: int = 512
+    #: Requests that a task keeps open at once.
+    concurrency: int = 4
 
     def _ask(self, kind: str, content: list[dict]) -> str:
         body = {
@@ -121,8 +125,8 @@ class HttpChecker:
         return self._ask("query_understanding", query_prompt(query))
 
     def describe_video(self, video_id: str, video_path: str) -> str:
-        remote = video_path.startswith(("http://", "https://", "data:"))
-        return self._ask("video_description", description_prompt(video_path if remote or not video_path else file_data_url(video_path.removeprefix("file://"))))
+        remote = not video_path or video_path.startswith(("http://", "https://", "data:"))
+        return self._ask("video_description", description_prompt(video_path if remote else file_data_url(local_file(video_path))))
 
     def rerank_videos(self, understanding: str, candidates: str) -> str:
         return self._ask("t2v_rerank", rerank_prompt("video", understanding, candidates))
@@ -143,7 +147,8 @@ def answered(keys: DataFrame, ask: Callable[..., str], *columns: str) -> DataFra
 
     def run(batches):
         for batch in batches:
-            pairs = [one(*row) for row in batch[list(columns)].itertuples(index=False)]
+            with ThreadPoolExecutor(max(1, getattr(getattr(ask, "__self__", None), "concurrency", 1))) as pool:
+                pairs = list(pool.map(lambda row: one(*row), batch[list(columns)].itertuples(index=False)))
             yield batch.assign(answer=pd.Series([a for a, _ in pairs], dtype=object, index=batch.index), failure=pd.Series([f for _, f in pairs], dtype=object, index=batch.index))
 
     return keys.mapInPandas(run, schema)
@@ -152,7 +157,7 @@ def answered(keys: DataFrame, ask: Callable[..., str], *columns: str) -> DataFra
 def _reason(stage: str, required: tuple[str, ...], json_text):
     """Null for a complete answer, else why a fallback is used."""
     absent = F.size(model_json.missing_keys(json_text, required)) > 0
-    return F.when(F.col("failure").isNotNull(), F.concat(F.lit(f"{stage}_failed:"), "failure")).when(json_text.isNull(), F.lit(f"{stage}_failed:ValueError")).when(absent, F.lit(f"{stage}_incomplete"))
+    return F.when(F.col("failure").isNotNull(), F.concat(F.lit(f"{stage}_failed:"), "failure")).when(json_text.isNull(), F.lit(f"{stage}_failed:ValueError")).when(F.try_parse_json(json_text).isNull(), F.lit(f"{stage}_failed:JSONDecodeError")).when(absent, F.lit(f"{stage}_incomplete"))
 
 
 def _or_fallback(table: DataFrame, stage: str, kind: str, made, fallback, schema: T.StructType, name: str) -> DataFrame:

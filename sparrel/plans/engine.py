@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -15,14 +17,18 @@ from pyspark.sql import types as T
 
 from sparrel.operators import agent, scoring, summaries
 from sparrel.operators.checkers import Checker
-from sparrel.sources import sinks
+from sparrel.sources import captions, sinks
+
+log = logging.getLogger("sparrel")
 
 
 class Encoder(Protocol):
-    """Vectors of a batch of texts. Runs on executors, once per batch."""
+    """Vectors of a batch of texts, and of videos by their paths (a missing audio path: without sound). Runs on executors, once per batch."""
 
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
+    def encode_media(self, video_paths: list[str], audio_paths: list[str | None]) -> np.ndarray: ...
+
 
 @dataclass(frozen=True)
 class HashEncoder:
@@ -39,6 +45,9 @@ class HashEncoder:
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(length == 0, 1, length)
 
+    def encode_media(self, video_paths: list[str], audio_paths: list[str | None]) -> np.ndarray:
+        return self.encode([f"{v} {a or ''}" for v, a in zip(video_paths, audio_paths, strict=True)])
+
 
 def encoded(table: DataFrame, encoder: Encoder, text: str = "text", vector: str = "vector") -> DataFrame:
     """Add the vector of each text; null texts count as empty."""
@@ -53,12 +62,16 @@ def encoded(table: DataFrame, encoder: Encoder, text: str = "text", vector: str
 
 @dataclass
 class Engine:
-    """texts: text_idx, text_id, video_id, text, vector. videos: video_idx, video_id, video_path, vector, and muted (without audio) if there is one."""
+    """texts: text_idx, text_id, video_id, text, vector. videos: video_idx, video_id, video_path, vector, and muted (without audio) if there is one.
+
+    encoder: of query texts; without one only videos and table rows can be queries. memory: a folder where descriptions outlive a run.
+    """
 
     texts: DataFrame
     videos: DataFrame
-    encoder: Encoder
+    encoder: Encoder | None
     k: int = 10
+    memory: str | None = None
 
     def _by_mode(self, asked: DataFrame, key: DataFrame, corpus: DataFrame, index: str, query_side: bool) -> DataFrame:
         """Top k for (query_id, key, audio_mode): the audio mode picks the videos' vector, on whichever side they are."""
@@ -73,6 +86,8 @@ class Engine:
 
     def retrieve_videos(self, asked: DataFrame) -> DataFrame:
         """Hits of (query_id, key: text, audio_mode): ties by video_idx, NaN last."""
+        if self.encoder is None:
+            raise ValueError("a query text needs an encoder, module:factory, that made the tables' vectors")
         keys = encoded(asked.select(F.col("key").alias("text")).distinct(), self.encoder).withColumnRenamed("text", "key")
         found = self._by_mode(asked, keys, self.videos, "video_idx", True)
         named = self.videos.select(F.col("video_idx").alias("item_idx"), "video_id", "video_path")
@@ -102,32 +117,77 @@ class Engine:
         texts, videos = self.texts.count(), self.videos.count()
         return {"text_to_video": recall(t2v, "text_idx", "video_idx", texts), "video_to_text": recall(v2t, "video_idx", "text_idx", videos), "num_texts": texts, "num_videos": videos}
 
-    def partial_eval(self, mode: str, checker: Checker, sample_size: int, start_index: int = 0, ks=(1, 5, 10), window: int = 5, output_dir: str | None = None) -> dict:
-        """Summary of the agent over rows start_index .. start_index + sample_size; with a folder, also its files."""
-        ks = summaries.check_arguments(mode, sample_size, start_index, list(ks))
-        index = "text_idx" if mode == "t2v" else "video_idx"
-        table = self.texts if mode == "t2v" else self.videos
-        some = table.where((F.col(index) >= start_index) & (F.col(index) < start_index + sample_size))
-        if some.isEmpty():
-            raise ValueError("no rows to evaluate")
+    def case(self, mode: str, query: str, checker: Checker, window: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(runs, initial hits, final hits) of one query text or video id; KeyError for an id that is not there."""
+        spark = self.videos.sparkSession
+        if mode == "t2v":
+            queries = spark.createDataFrame([(0, query, None)], "query_id long, query_text string, video_id string")
+            return agent.t2v_agent(queries, self.videos.select("video_id", "video_path"), self.retrieve_videos, checker, window, self.memory)
+        queries = self.video_query(query).select("query_id", "video_id", "video_path")
+        return agent.v2t_agent(queries, self.retrieve_texts, checker, self.memory)
+
+    def video_query(self, video_id: str) -> DataFrame:
+        """(query_id 0, key, video_id, video_path, audio_mode on) of a video; KeyError for an id that is not there."""
+        found = self.videos.where(F.col("video_id") == video_id).limit(1)
+        if found.isEmpty():
+            raise KeyError(video_id)
+        return found.select(F.lit(0).cast("long").alias("query_id"), F.col("video_id").alias("key"), "video_id", "video_path", F.lit("on").alias("audio_mode"))
+
+    def _evaluated(self, mode: str, some: DataFrame, checker: Checker, window: int) -> tuple[DataFrame, DataFrame]:
+        """Rows for ``summaries.summary`` and traces of some rows of the texts or videos."""
         if mode == "t2v":
-            queries = some.select(F.col(index).alias("query_id"), F.col("text").alias("query_text"), "video_id")
-            runs, initial, final = agent.t2v_agent(queries, self.videos.select("video_id", "video_path"), self.retrieve_videos, checker, window)
+            queries = some.select(F.col("text_idx").alias("query_id"), F.col("text").alias("query_text"), "video_id")
+            runs, initial, final = agent.t2v_agent(queries, self.videos.select("video_id", "video_path"), self.retrieve_videos, checker, window, self.memory)
             targets = queries.select("query_id", F.col("video_id").alias("item_id"))
         else:
-            queries = some.select(F.col(index).alias("query_id"), "video_id", "video_path")
-            runs, initial, final = agent.v2t_agent(queries, self.retrieve_texts, checker)
+            queries = some.select(F.col("video_idx").alias("query_id"), "video_id", "video_path")
+            runs, initial, final = agent.v2t_agent(queries, self.retrieve_texts, checker, self.memory)
             targets = queries.join(self.texts.select("video_id", F.col("text_id").alias("item_id")), "video_id").select("query_id", "item_id")
-        told = agent.evaluated(runs, initial, final, targets)
-        row = summaries.summary(told, ks).first().asDict()
-        out = {k: v for k, v in row.items() if mode == "t2v" or k != "query_rewrite_rate"} | {"mode": mode}
-        if output_dir:
+        traces = runs.join(_gathered(initial, "initial_hits"), "query_id", "left").join(_gathered(final, "reranked_hits"), "query_id", "left")
+        return agent.evaluated(runs, initial, final, targets), traces
+
+    def partial_eval(
+        self, mode: str, checker: Checker, sample_size: int, start_index: int = 0, ks=(1, 5, 10), window: int = 5, output_dir: str | None = None, batch: int = 100, resume: bool = False, progress: Callable[[str], None] | None = None
+    ) -> dict:
+        """Summary of the agent over rows start_index .. start_index + sample_size.
+
+        With a folder, rows go in batches: after each, its traces are added to traces.jsonl and summary.json is written anew, and
+        ``progress`` is told. ``resume`` leaves out the rows that the folder has already; else it begins anew.
+        """
+        ks = summaries.check_arguments(mode, sample_size, start_index, list(ks))
+        index = "text_idx" if mode == "t2v" else "video_idx"
+        rows = captions.row_slice(self.texts if mode == "t2v" else self.videos, index, start_index, sample_size)
+        total = rows.count()
+        if not total:
+            raise ValueError("no rows to evaluate")
+        say = progress or log.info
+        if output_dir is None:
+            say(f"[{mode}] {total} rows")
+            return self._summary(mode, self._evaluated(mode, rows, checker, window)[0], ks)
+        spark, done = rows.sparkSession, f"{output_dir}/evaluated"
+        if not resume:
+            sinks.begun(output_dir, done)
+        out: dict = {}
+        for first in range(start_index, start_index + sample_size, batch):
+            some = captions.row_slice(rows, index, first, batch)
+            known = captions.cached_features(spark, done, T.StructType().add("query_id", "long"))
+            if known is not None:
+                some = some.join(known.select(F.col("query_id").alias(index)), index, "left_anti")
+            if not some.isEmpty():
+                told, traces = self._evaluated(mode, some, checker, window)
+                lines = [json.dumps(json.loads(r["value"]) | {"mode": f"{mode}-agent"}, ensure_ascii=False) for r in traces.orderBy("query_id").select(F.to_json(F.struct("*")).alias("value")).collect()]
+                told.write.mode("append").parquet(done)
+                sinks.add_lines(lines, output_dir)
+            every = spark.read.parquet(done)
+            out = self._summary(mode, every, ks)
             sinks.write_summary(out, output_dir)
-            traces = runs.join(_gathered(initial, "initial_hits"), "query_id", "left").join(_gathered(final, "reranked_hits"), "query_id", "left")
-            lines = traces.orderBy("query_id").select(F.to_json(F.struct("*")).alias("value")).toLocalIterator()
-            sinks.write_lines([json.dumps(json.loads(r["value"]) | {"mode": f"{mode}-agent"}, ensure_ascii=False) for r in lines], output_dir)
+            say(f"[{mode}] {out['runs']}/{total}")
         return out
 
+    def _summary(self, mode: str, told: DataFrame, ks: list[int]) -> dict:
+        row = summaries.summary(told, ks).first().asDict()
+        return {k: v for k, v in row.items() if mode == "t2v" or k != "query_rewrite_rate"} | {"mode": mode}
+
 
 def _gathered(hits: DataFrame, name: str) -> DataFrame:
     own = [c for c in hits.columns if c not in ("query_id", "rank")]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException as SparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +51,17 @@ def videos_of(split: DataFrame) -> DataFrame:
     return split.groupBy("video_id").agg(F.min("text_idx").alias("first_idx"))
 
 
+def text_ids_of(texts: DataFrame) -> DataFrame:
+    """(video_id, text_ids): the captions that have a video as their target, in the order of the split."""
+    listed = F.sort_array(F.collect_list(F.struct("text_idx", "text_id")))
+    return texts.groupBy("video_id").agg(F.transform(listed, lambda x: x["text_id"]).alias("text_ids"))
+
+
+def row_slice(table: DataFrame, index: str, start: int, size: int) -> DataFrame:
+    """Rows start .. start + size of a table numbered by a column."""
+    return table.where((F.col(index) >= start) & (F.col(index) < start + size))
+
+
 def numbered(videos: DataFrame, order: str = "first_idx", name: str = "video_idx") -> DataFrame:
     """Consecutive numbers from 0 in the order of a column, without one task for all rows.
 
@@ -116,15 +129,23 @@ def read_traces(spark: SparkSession, folders: list[str]) -> DataFrame:
     return out
 
 
+def trace_lines(folder: str) -> Iterator[str]:
+    """The non-blank lines of a folder's traces.jsonl, none where there is no such file."""
+    path = f"{folder}/traces.jsonl"
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            yield from (line.rstrip("\n") for line in f if line.strip())
+
+
 def line_set(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.rtrim("value").alias("value")).distinct()
 
 
 def cached_features(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
-    """A cached table, or None where it is missing, damaged or lacks a column: then it is to be made anew."""
+    """A cached table, or None where it is missing, damaged or lacks a column: then it is to be made anew. All footers are read."""
     try:
-        found = spark.read.parquet(path)
-    except AnalysisException:
+        found = spark.read.option("mergeSchema", "true").parquet(path)
+    except (AnalysisException, SparkException, Py4JJavaError):
         return None
     return found if set(schema.fieldNames()) <= set(found.columns) else None
 

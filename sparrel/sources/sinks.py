@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -43,6 +45,19 @@ def write_summary(summary: dict, folder: str) -> str:
     return path
 
 
+def begun(folder: str, *others: str) -> None:
+    """An empty traces.jsonl in a folder, and nothing left of other results."""
+    os.makedirs(folder, exist_ok=True)
+    for path in others:
+        shutil.rmtree(path, ignore_errors=True)
+    write_lines([], folder)
+
+
+def add_lines(lines: Iterable[str], folder: str) -> None:
+    with open(os.path.join(folder, "traces.jsonl"), "a", encoding="utf-8") as f:
+        f.writelines(line + "\n" for line in lines)
+
+
 def write_lines(lines: list[str], folder: str) -> str:
     os.makedirs(folder, exist_ok=True)
     path = os.path.join(folder, "traces.jsonl")

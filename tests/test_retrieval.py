@@ -48,6 +48,50 @@ def test_blocks_equal_pairs(spark, small):
         scoring.score_top_k(left, right, 7, "other")
 
 
+def test_ranks_in_blocks(spark, small):
+    e = spark.read.parquet(f"{small}/embeddings.parquet").where("vec_id < 120").select("vec_id", vectors.doubles(F.col("embedding")).alias("vector"))
+    odd = spark.createDataFrame([(200, [NAN] * 64), (201, [NAN] * 64), (202, [0.0] * 64), (203, [0.0] * 64)], "vec_id long, vector array<double>")
+    left, right = e.where("vec_id < 9").withColumnRenamed("vec_id", "query_id"), e.unionByName(odd).withColumnRenamed("vec_id", "item_idx")
+    whole = {(r["query_id"], r["item_idx"]): r["rank"] for r in scoring.score_top_k(left, right, 999).collect()}
+    targets = spark.createDataFrame([(q, i) for q in range(10) for i in (0, q, 119, 200, 201, 202, 203, 999)], "query_id long, item_idx long").distinct()
+    got = {(r["query_id"], r["item_idx"]): r["rank"] for r in scoring.ranks_in_blocks(left, right, targets, blocks=(2, 3)).collect()}
+    assert got == {k: v for k, v in whole.items() if k[1] in (0, k[0], 119, 200, 201, 202, 203)}
+
+
+def test_loss_of_large_scores(spark):
+    s = spark.createDataFrame([(i, j, 800.0 if i == j else 799.0) for i in range(2) for j in range(2)], "i long, j long, score double")
+    assert scoring.contrastive_loss(s).first()["loss"] == pytest.approx(math.log(1 + math.exp(-1)))
+
+
+@pytest.mark.parametrize("kind", ["lse", "hybrid"])
+def test_blocks_of_videos_equal_columns(spark, small, kind):
+    from sparrel.plans import queries
+
+    videos = queries.frames(spark, small).withColumn("mask", F.when(F.col("grp") == 3, F.transform("mask", lambda m: F.lit(0))).otherwise(F.col("mask")))
+    texts = spark.read.parquet(f"{small}/embeddings.parquet").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), vectors.doubles(F.col("embedding")).alias("vector"))
+    items = videos.select(F.col("grp").alias("item_idx"), vectors.unmasked(F.col("frames"), F.col("mask")).alias("vector"))
+    got = {(r["query_id"], r["item_idx"]): r["score"] for r in scoring.score_top_k(texts, items, 999, kind, blocks=(2, 3)).collect()}
+    local = F.transform("frames", lambda v: vectors.dot(F.col("vector"), v))
+    score = vectors.log_sum_exp(local, F.col("mask")) if kind == "lse" else vectors.hybrid(F.col("vector"), F.col("frames"), F.col("mask"))
+    want = {(r["query_id"], r["grp"]): r["s"] for r in texts.crossJoin(videos).select("query_id", "grp", score.alias("s")).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], nan_ok=True) for k in want)
+
+
+def test_answers_are_remembered(spark, tmp_path):
+    from sparrel.sources import answers
+
+    def ask(keys):
+        return keys.withColumn("a", F.upper("k")).withColumn("fell", F.col("k") == "bad")
+
+    path = str(tmp_path / "answers")
+    first = answers.remembered(spark.createDataFrame([("x",), ("x",), ("bad",)], "k string"), "k", ask, path, "not fell")
+    assert sorted(r["a"] for r in first.collect()) == ["BAD", "X"]
+    again = answers.remembered(spark.createDataFrame([("x",), ("y",), ("bad",)], "k string"), "k", lambda keys: ask(keys).withColumn("a", F.lower("a")), path, "not fell")
+    assert sorted(r["a"] for r in again.collect()) == ["X", "bad", "y"]
+    assert sorted(r["k"] for r in spark.read.parquet(path).collect()) == ["x", "y"]
+
+
 def plain_rerank(hits, ordered, window):
     """(order of ids, repair) by the rule, a hit at a time."""
     inside, outside = hits[:window], hits[window:]
@@ -223,7 +267,10 @@ def test_json_reading(spark):
     assert one(spark, model_json.missing_keys(F.lit('{"a": null}'), ("a", "b"))) == ["b"]
     with pytest.raises(Exception, match="audio_mode"):
         one(spark, model_json.audio_mode(F.lit("loud")))
-    flags = {"0": False, '""': False, "[]": False, "null": False, "true": True, '"false"': True, "[0]": True, "0.0": False, '"0"': True}
+    flags = {"0": False, '""': False, "[]": False, "{}": False, "null": False, "true": True, "false": False, '"false"': True, "[0]": True, "0.0": False, '"0"': True, '"[]"': True, '"{}"': True}
+    top = {"null": "None", '""': "a", '" b "': "b", "false": "False"}
+    for value, choice in top.items():
+        assert one(spark, model_json.rerank_result(F.lit(f'{{"ordered_video_ids": ["a"], "top_choice_video_id": {value}, "confidence": true}}'), "video"))[1:3] == (choice, 1.0)
     for value, flag in flags.items():
         assert one(spark, model_json.as_flag(F.lit(f'{{"f": {value}}}'), "f")) is flag, value
 
@@ -336,4 +383,72 @@ def test_cli(spark, tmp_path, capsys, monkeypatch):
     told = cli.run(spark, cli.parser().parse_args(["baseline", *shared, "--topk", "1"]))
     assert told["text_to_video"] == {"R@1": 1.0}
     hits = cli.run(spark, cli.parser().parse_args(["v2t-case", *shared, "--query-video-id", "video2", "--topk-value", "1"]))
-    assert hits[0]["item_id"] == "t2" and hits[0]["rank"] == 1
+    assert (hits["mode"], hits["query_video_id"]) == ("v2t", "video2")
+    assert hits["results"][0]["item_id"] == "t2" and hits["results"][0]["rank"] == 1
+    with pytest.raises(KeyError, match="nowhere"):
+        cli.run(spark, cli.parser().parse_args(["v2t-case", *shared, "--query-video-id", "nowhere"]))
+    with pytest.raises(ValueError, match="encoder"):
+        cli.run(spark, cli.parser().parse_args(["t2v-case", *shared, "--query-text", "a cook"]))
+    with pytest.raises(ValueError, match="--split-csv"):
+        cli.run(spark, cli.parser().parse_args(["baseline", "--texts", "x"]))
+    old = cli.parser().parse_args(["agent-partial-eval", *shared, "--mode", "t2v", "--sample-size", "1", "--output-dir", "o", "--checker-base-url", "u", "--checker-api-key", "k", "--checker-model", "m", "--max-iter", "3", "--submit-threshold", "0.7", "--omni-concurrency", "2", "--model-dir", "x"])
+    assert old.omni_concurrency == 2
+
+
+def test_split_to_case(spark, tmp_path):
+    from sparrel import cli
+
+    (tmp_path / "split.csv").write_text("video_id,sentence\nv1,a person cooks\nv2,a dog runs\nv1,someone cooks soup\n")
+    for folder_, names in (("videos", ("v1.webm", "v2.mp4")), ("audio", ("v1.wav",))):
+        (tmp_path / folder_).mkdir()
+        for name in names:
+            (tmp_path / folder_ / name).write_bytes(b"x")
+    flags = ["--split-csv", str(tmp_path / "split.csv"), "--video-root", str(tmp_path / "videos"), "--audio-root", str(tmp_path / "audio"), "--cache-dir", str(tmp_path / "cache"), "--encoder", "sparrel.plans.engine:HashEncoder"]
+    told = cli.run(spark, cli.parser().parse_args(["baseline", *flags]))
+    assert (told["num_texts"], told["num_videos"]) == (3, 2)
+    made = list((tmp_path / "cache").iterdir())
+    case = cli.run(spark, cli.parser().parse_args(["t2v-case", *flags, "--query-text", "a dog runs", "--topk-value", "2"]))
+    assert len(case["results"]) == 2 and case["results"][0]["video_path"].endswith((".webm", ".mp4"))
+    assert list((tmp_path / "cache").iterdir()) == made  # vectors were read again
+    back = cli.run(spark, cli.parser().parse_args(["v2t-case", *flags, "--query-video-id", "v1"]))
+    assert {r["text_id"] for r in back["results"]} == {"v1::caption::1", "v2::caption::1", "v1::caption::2"}
+    with pytest.raises(ValueError, match="encoder"):
+        cli.run(spark, cli.parser().parse_args(["baseline", *flags[:-2], "--encoder", "sparrel.nothing:X"]))
+
+
+def test_batches_resume_and_remember(spark, tmp_path):
+    class Counting(checkers.TableChecker):
+        def describe_video(self, video_id, video_path):
+            (tmp_path / f"asked-{video_id}-{len(list(tmp_path.glob('asked-*')))}").touch()
+            return super().describe_video(video_id, video_path)
+
+    made, said = engine(spark), []
+    made.memory = str(tmp_path / "memory")
+    out = str(tmp_path / "out")
+    made.partial_eval("v2t", Counting(), 2, 0, [1], output_dir=out, batch=1, progress=said.append)
+    assert said == ["[v2t] 1/2", "[v2t] 2/2"]
+    whole = made.partial_eval("v2t", Counting(), 3, 0, [1], output_dir=out, batch=2, resume=True)
+    lines = [json.loads(x) for x in (tmp_path / "out" / "traces.jsonl").read_text().splitlines()]
+    assert sorted(x["query_id"] for x in lines) == [0, 1, 2] and whole["runs"] == 3
+    assert len(list(tmp_path.glob("asked-*"))) == 3
+    again = made.partial_eval("v2t", Counting(), 3, 0, [1], output_dir=out)
+    assert again == whole and len((tmp_path / "out" / "traces.jsonl").read_text().splitlines()) == 3
+    assert len(list(tmp_path.glob("asked-*"))) == 3  # descriptions outlive the run
+
+
+def test_damaged_cache_is_a_miss(spark, tmp_path, small):
+    e = spark.read.parquet(f"{small}/embeddings.parquet").repartition(3)
+    captions.write_features(e, str(tmp_path / "some"))
+    part = sorted((tmp_path / "some").glob("*.parquet"))[1]
+    part.write_bytes(part.read_bytes()[:-40])
+    assert captions.cached_features(spark, str(tmp_path / "some"), e.schema) is None
+
+
+def test_malformed_answers(spark):
+    rows = spark.createDataFrame([("a",)], "query_text string")
+    for raw, why in (('{"summary": }', "query_understanding_failed:JSONDecodeError"), ("no", "query_understanding_failed:ValueError"), ("{}", "query_understanding_incomplete")):
+        got = checkers.understand(rows, checkers.TableChecker({"a": raw})).first()["understanding"]
+        assert got["reason"] == why and got["fallback_used"]
+    assert paths.local_file("file://host/a%20b.mp4") == "/a b.mp4" and paths.local_file("/a%20b") == "/a%20b"
+    assert one(spark, vectors.activations(F.lit(1.0))["gelu"]) == pytest.approx(0.8413447460685429)
+    assert one(spark, vectors.frame_shift(F.lit(160_000), 16_000, 1024)) == pytest.approx(9.765625)
