@@ -46,6 +46,8 @@ ORDERS = 4
 LIST_NODES = 20_000
 #: Sets of one inverted index, on average; rows that a worker turns into Python values at once.
 INDEXED, ROWS = 256, 64
+#: Queries that go to one copy of an index, on average; an index that no query goes to is not made.
+ASKED = 256
 #: Rows of postings that a task goes through at once; a list (LIST_NODES on average) is never cut.
 HELD = 200_000
 #: Sizes fall into bands by powers of this similarity.
@@ -321,11 +323,15 @@ def search_groups(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     asking = lists.where("asks").select("token", "node", "unit", "band", F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
     sent = asking.join(holding.withColumn("salt", salt), ["token", "salt"]).where(F.abs(F.col("band") - F.col("in_band")) <= bands)
     sent = sent.select("node", "unit", F.col("in_band").alias("band"), "part").distinct()
-    names = ["unit", "band", "part", "role", "node", "n", "tokens"]
-    indexed = placed.join(sets, "node").withColumn("role", F.lit(0)).select(*names)
-    asked = sent.join(sets, "node").withColumn("role", F.lit(1)).select(*names)
-    together = indexed.union(asked).repartition(partitions, "unit", "band", "part").sortWithinPartitions("unit", "band", "part", "role", "node")
-    return together.select("unit", (F.col("band") * F.lit(1 << 40) + F.col("part")).alias("part"), "role", "node", "n", "tokens").mapInArrow(_searched(percent), LINKED)
+    index = ["unit", "band", "part"]
+    sent = materialize(sent, "ngram-sent")
+    shares = sent.groupBy(*index).agg(F.ceil(F.count("*") / ASKED).alias("shares"))
+    names = [*index, "share", "role", "node", "n", "tokens"]
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))
+    indexed = placed.join(shares, index).withColumn("share", copies).join(sets, "node").withColumn("role", F.lit(0)).select(*names)
+    asked = sent.join(shares, index).withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares"))).join(sets, "node").withColumn("role", F.lit(1)).select(*names)
+    together = indexed.union(asked).repartition(partitions, *index, "share").sortWithinPartitions(*index, "share", "role", "node")
+    return together.select("unit", F.struct("band", "part", "share").alias("part"), "role", "node", "n", "tokens").mapInArrow(_searched(percent), LINKED)
 
 
 def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
