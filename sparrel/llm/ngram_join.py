@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from sparrel.llm.blocks import answers, ask, block_count, finish, in_blocks
 from sparrel.llm.components import components
 from sparrel.llm.scratch import materialize
-from sparrel.llm.words import distinct, mix, ngrams, seeded, word_hashes, words
+from sparrel.llm.words import column_hashes, distinct, mix, ngrams, seeded
 
 SHINGLE_WORDS, PERCENT = 5, 75
 #: Lists up to this many nodes give all their pairs at once.
@@ -56,9 +56,8 @@ SIMILAR = 75
 SALTS = 8
 
 
-def shingle_set(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``size`` words; with fewer words, one of all; without words, none."""
-    hashes = word_hashes(words(text))
+def shingle_set(hashes: np.ndarray, size: int = SHINGLE_WORDS) -> np.ndarray:
+    """Of a text's words: sorted distinct hashes of the runs of ``size``; with fewer words, one of all; without words, none."""
     if not len(hashes):
         return hashes
     return distinct(ngrams(hashes, size)) if len(hashes) >= size else seeded(ngrams(hashes, len(hashes)), 1000)
@@ -133,7 +132,8 @@ class Index:
 
 def _block_sets(table: pa.Table, size: int) -> tuple[list, list, list]:
     """Per row: set and node; and the rows that are the first of their node in the block."""
-    sets = [shingle_set(t, size) for t in table["text"].to_pylist()]
+    hashes, ends = column_hashes(table["text"])
+    sets = [shingle_set(hashes[a:b], size) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
     nodes = [node_of(s) if len(s) else None for s in sets]
     seen: set[int] = set()
     first = [k for k, n in enumerate(nodes) if n is not None and not (n in seen or seen.add(n))]

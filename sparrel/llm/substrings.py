@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from sparrel.llm.blocks import answers, ask, block_count, finish, in_blocks, packed, planes, unpacked, unplanes
-from sparrel.llm.words import hashed_texts, mix, seeded, window_hashes, words
+from sparrel.llm.words import column_hashes, mix, seeded, window_hashes, words
 
 WINDOW = 50
 ROUNDS = 8
@@ -92,7 +92,7 @@ def _ids(table: pa.Table) -> np.ndarray:
 
 
 def _window_rows(table: pa.Table, window: int):
-    symbols, ends = hashed_texts(table["text"].to_pylist(), lower=False)
+    symbols, ends = column_hashes(table["text"], lower=False)
     first, anchor = anchors(symbols, ends, window)
     return symbols, ends, first, anchor
 
@@ -166,7 +166,7 @@ def keep_first(docs: DataFrame, window: int = WINDOW, others: list[str] | None =
         keys, least = keys[order], least[order]
         gone: dict[int, np.ndarray] = {}
         if len(keys):
-            symbols, ends = hashed_texts(texts, lower=False)
+            symbols, ends = column_hashes(table["text"], lower=False)
             hashes = window_hashes(symbols, window)
             at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
             hit = np.flatnonzero(keys[at] == hashes)

@@ -2,29 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 import pyarrow as pa
-import xxhash
-
-#: Words that a worker keeps hashed; when full the table starts anew, so its memory is bounded.
-CACHE_WORDS = 100_000
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _Hashes()
-
-
 def words(text: str | None, lower: bool = True) -> list[bytes]:
     """Maximal runs of bytes outside space and 09-0D; with ``lower``, A-Z is lower-cased and no other letter."""
     if not text:
@@ -33,18 +16,6 @@ def words(text: str | None, lower: bool = True) -> list[bytes]:
     return (data.lower() if lower else data).split()
 
 
-def word_hashes(parts: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, parts), np.uint64, len(parts))
-
-
-def hashed_texts(texts: Iterable[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts one after another, and where each text starts (one entry more than texts)."""
-    arrays = [word_hashes(words(t, lower)) for t in texts]
-    ends = np.zeros(len(arrays) + 1, np.int64)
-    np.cumsum([len(a) for a in arrays], out=ends[1:])
-    return (np.concatenate(arrays) if arrays else np.empty(0, np.uint64)), ends
-
-
 #: Bytes of text that are hashed at once (eight bytes of working space each, several times).
 SLICE_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
