@@ -133,16 +133,19 @@ class Engine:
             raise KeyError(video_id)
         return found.select(F.lit(0).cast("long").alias("query_id"), F.col("video_id").alias("key"), "video_id", "video_path", F.lit("on").alias("audio_mode"))
 
-    def _evaluated(self, mode: str, some: DataFrame, checker: Checker, window: int) -> tuple[DataFrame, DataFrame]:
-        """Rows for ``summaries.summary`` and traces of some rows of the texts or videos."""
+    def agent(self, mode: str, some: DataFrame, checker: Checker, window: int = 5) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """(runs, initial hits, final hits, targets) of some rows of the texts (t2v) or videos (v2t)."""
         if mode == "t2v":
             queries = some.select(F.col("text_idx").alias("query_id"), F.col("text").alias("query_text"), "video_id")
-            runs, initial, final = agent.t2v_agent(queries, self.videos.select("video_id", "video_path"), self.retrieve_videos, checker, window, self.memory)
-            targets = queries.select("query_id", F.col("video_id").alias("item_id"))
-        else:
-            queries = some.select(F.col("video_idx").alias("query_id"), "video_id", "video_path")
-            runs, initial, final = agent.v2t_agent(queries, self.retrieve_texts, checker, self.memory)
-            targets = queries.join(self.texts.select("video_id", F.col("text_id").alias("item_id")), "video_id").select("query_id", "item_id")
+            made = agent.t2v_agent(queries, self.videos.select("video_id", "video_path"), self.retrieve_videos, checker, window, self.memory)
+            return *made, queries.select("query_id", F.col("video_id").alias("item_id"))
+        queries = some.select(F.col("video_idx").alias("query_id"), "video_id", "video_path")
+        made = agent.v2t_agent(queries, self.retrieve_texts, checker, self.memory)
+        return *made, queries.join(self.texts.select("video_id", F.col("text_id").alias("item_id")), "video_id").select("query_id", "item_id")
+
+    def _evaluated(self, mode: str, some: DataFrame, checker: Checker, window: int) -> tuple[DataFrame, DataFrame]:
+        """Rows for ``summaries.summary`` and traces of some rows of the texts or videos."""
+        runs, initial, final, targets = self.agent(mode, some, checker, window)
         traces = runs.join(_gathered(initial, "initial_hits"), "query_id", "left").join(_gathered(final, "reranked_hits"), "query_id", "left")
         return agent.evaluated(runs, initial, final, targets), traces
 
