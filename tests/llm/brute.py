@@ -71,7 +71,8 @@ def language_model(rows, order=3, held_out=lambda d: zlib.crc32(str(d).encode())
     return made
 
 
-def kept_words(rows, window=50):
+def without_repeats(rows, window=50):
+    """Of each document: its words, and those that stay."""
     parts, least = {d: (t or "").encode().split() for d, t in rows}, {}
     for d, w in sorted(parts.items()):
         for k in range(len(w) - window + 1):
@@ -82,11 +83,39 @@ def kept_words(rows, window=50):
         for k in range(len(w) - window + 1):
             if least[tuple(w[k : k + window])] < d:
                 gone[k : k + window] = [True] * window
-        left = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
-        made[d] = len(w), sum(gone), hashlib.sha256(left).hexdigest()
+        made[d] = w, [x for x, g in zip(w, gone, strict=True) if not g]
     return made
 
 
+def kept_words(rows, window=50):
+    return {d: (len(w), len(w) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()) for d, (w, left) in without_repeats(rows, window).items()}
+
+
+def importance(rows, told, noise, buckets, size, kept):
+    """Log weight and features of each document, and the documents drawn."""
+    grams = {d: Counter(buckets(t).tolist()) for d, t in rows}
+    raw, target = Counter(), Counter()
+    for d, g in grams.items():
+        raw.update(g)
+        if told.get(d):
+            target.update(g)
+    total = {of: [sum(n for b, n in c.items() if b // size == of) for c in (target, raw)] for of in range(3)}
+
+    def ratio(b):
+        t, r = total[b // size]
+        seen, expected = target[b] + 3.0, raw[b] * t / r + 3.0
+        x = math.log(seen / expected)
+        return math.copysign(max(0.0, abs(x) - math.sqrt(1 / seen + 1 / expected)), x)
+
+    weight = {d: sum(n * ratio(b) for b, n in g.items()) for d, g in grams.items()}
+    good = sorted(weight[d] for d, yes in told.items() if yes and d in weight)
+    place = kept * (len(good) - 1)
+    low, high = good[math.floor(place)], good[math.ceil(place)]
+    k = sum(w >= low + (high - low) * (place - math.floor(place)) for w in weight.values())
+    ranked = sorted(weight, key=lambda d: -weight[d] - noise[d])
+    return weight, {d: sum(g.values()) for d, g in grams.items()}, ranked, k
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 

@@ -3,7 +3,6 @@ import math
 import random
 import sys
 import zlib
-from collections import Counter
 
 import brute
 import numpy as np
@@ -423,28 +422,12 @@ def test_quality_equals_brute_force(spark, small, real):
     labels = spark.read.parquet(f"{small}/labels.parquet")
     told = {r["doc_id"]: r["quality"] == 1 and r["toxic"] == 0 for r in labels.collect()}
     noise = {r["doc_id"]: quality.noise_of(np.array([r["tie"]]))[0] for r in df.select("doc_id", F.xxhash64("doc_id", "text").alias("tie")).collect()}
-    grams = {d: Counter(quality.buckets(t).tolist()) for d, t in rows}
-    raw, target = Counter(), Counter()
-    for d, g in grams.items():
-        raw.update(g)
-        if told.get(d):
-            target.update(g)
-    total = {of: [sum(n for b, n in c.items() if b // quality.BUCKETS == of) for c in (target, raw)] for of in range(3)}
-
-    def ratio(b):
-        t, r = total[b // quality.BUCKETS]
-        seen, expected = target[b] + 3.0, raw[b] * t / r + 3.0
-        x = math.log(seen / expected)
-        return math.copysign(max(0.0, abs(x) - math.sqrt(1 / seen + 1 / expected)), x)
-
-    weight = {d: sum(n * ratio(b) for b, n in g.items()) for d, g in grams.items()}
-    cut = np.quantile([weight[d] for d, good in told.items() if good], quality.KEPT)
-    drawn = sorted(weight, key=lambda d: -weight[d] - noise[d])[: sum(w >= cut for w in weight.values())]
+    weight, sizes, ranked, k = brute.importance(rows, told, noise, quality.buckets, quality.BUCKETS, quality.KEPT)
     got = by_id(quality.quality_digest(df, labels), "n_features", "log_weight", "kept")
-    assert {d for d, v in got.items() if v[2]} == set(drawn)
-    assert all(v[0] == sum(grams[d].values()) and v[1] == pytest.approx(weight[d], rel=1e-4, abs=1e-2) for d, v in got.items())
+    assert {d for d, v in got.items() if v[2]} == set(ranked[:k])
+    assert all(v[0] == sizes[d] and v[1] == pytest.approx(weight[d], rel=1e-4, abs=1e-2) for d, v in got.items())
     some = quality.importance_resample(df, labels, k=7).where("kept").select("row.*")
-    assert {r["doc_id"] for r in some.collect()} == set(sorted(weight, key=lambda d: -weight[d] - noise[d])[:7]) and some.columns == df.columns
+    assert {r["doc_id"] for r in some.collect()} == set(ranked[:7]) and some.columns == df.columns
 
 
 def test_quality_of_odd_rows(spark, documents):

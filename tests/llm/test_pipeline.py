@@ -1,4 +1,7 @@
+import zlib
+
 import brute
+import numpy as np
 import pytest
 from oracle import same
 from pyspark.sql import functions as F
@@ -6,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from sparrel.llm import queries as llm
-from sparrel.llm import secrets
+from sparrel.llm import quality, secrets
 
 
 def test_registered():
@@ -49,6 +52,34 @@ def test_stages(spark, small):
     assert made.select("doc_id").distinct().count() == masked.count()
 
 
+def test_run_equals_brute_force(spark, small, real):
+    """Every stage in plain Python, and the ids of every packed document."""
+    from tokenizers import Tokenizer
+
+    df, rows_ = real
+    told = {r["doc_id"]: r["quality"] == 1 and r["toxic"] == 0 for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    noise = {r["doc_id"]: quality.noise_of(np.array([r["tie"]]))[0] for r in df.select("doc_id", F.xxhash64("doc_id", "text").alias("tie")).collect()}
+    _, _, ranked, k = brute.importance(rows_, told, noise, quality.buckets, quality.BUCKETS, quality.KEPT)
+    good = [(d, t) for d, t in rows_ if d in set(ranked[:k])]
+    copies = brute.near_copies(good)
+    single = {d: t for d, t in good if copies[d][1] == d}
+    left = {d: single[d] if len(w) == len(kept) else b" ".join(kept).decode() for d, (w, kept) in brute.without_repeats(single.items()).items() if kept or not w}
+    reader = Tokenizer.from_file(llm.tokenizer("byte_bpe_50k.json"))
+    want = {d: np.array([*reader.encode(brute.redacted(t or ""), add_special_tokens=False).ids, 1], "<u4") for d, t in left.items()}
+    pieces, held = {}, {}
+    for r in corpus_pipeline.run(spark, small).collect():
+        ids = want[r["doc_id"]]
+        assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts, size in [*((pieces.get(d, []), len(ids)) for d, ids in want.items()), *((p, None) for p in held.values())]:
+        at = 0
+        for start, length in sorted(parts):
+            assert start == at
+            at += length
+        assert at == size if size is not None else at <= 2048
+
+
 def test_one_row_of_each_group_of_copies(spark, small, documents):
     text = " ".join(f"w{k}" for k in range(60))
     rows = [(None, "a text whose rows have no id at all"), (None, "a text whose rows have no id at all"), (None, "this one is alone and has none"), (7, "one text under seven here"), (7, "quite another text under seven"), (3, text), (3, text), (3, text + " more"), (9, text), (None, text), (None, None), (None, None), (5, ""), (5, "")]
