@@ -5,6 +5,11 @@ its texts once, with a value (its count, say); keys go to shards by their hash,
 combines what the blocks sent, and answers each block in the order in which it asked.
 What is exchanged is one entry per block and distinct key, so a key that a third of
 all rows holds costs one entry per block; no task gathers a key's rows.
+
+There are as many shards as blocks, so that neither holds more in a larger corpus, and a block has a row for
+each shard. Beyond ONE_HOP blocks these would be too many rows of too few keys. Then questions go by
+way of cells: sqrt(blocks) blocks and sqrt(blocks) neighbouring shards meet in a cell, which puts their
+keys together, asks the shards as if it were a block, and answers its blocks. Results are the same.
 """
 
 from __future__ import annotations
@@ -126,13 +131,30 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(unplanes(data, np.uint64), dtype=np.uint64)
 
 
+#: Blocks up to which each has a row for each shard.
+ONE_HOP = 2048
+
+
+def hop(count: int) -> int:
+    """How many blocks, and how many shards, meet in a cell; 1 where they ask each other without one."""
+    return 1 if count <= ONE_HOP else math.isqrt(count - 1) + 1
+
+
+def by_cell(asked: DataFrame, count: int, lists: int = 1) -> DataFrame:
+    """Add the cell of requests whose shard is the number of a band of ``hop`` shards (or -1), of which there are ``lists`` times as many."""
+    wide = hop(count)
+    bands = lists * -(-count // wide) + 1
+    return asked.withColumn("cell", F.floor(F.col("block") / wide) * bands + F.col("shard") + 1)
+
+
 REQUEST = "block long, shard long, keys binary, vals binary"
 REPLY = "block long, shard long, payload binary"
 
 
-def request_rows(block: int, keys: np.ndarray, vals: np.ndarray, shards: int) -> pa.Table:
-    """One row for each shard that has keys of this block. keys: sorted and distinct."""
-    cuts = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1, dtype=np.uint64))
+def request_rows(block: int, keys: np.ndarray, vals: np.ndarray, shards: int, wide: int = 1) -> pa.Table:
+    """One row for each shard, or band of ``wide`` shards, that has keys of this block. keys: sorted and distinct."""
+    of = shard_of(keys, shards) // np.uint64(wide)
+    cuts = np.searchsorted(of, np.arange(-(-shards // wide) + 1, dtype=np.uint64))
     full = np.flatnonzero(np.diff(cuts))
     return pa.table(
         {
@@ -144,28 +166,38 @@ def request_rows(block: int, keys: np.ndarray, vals: np.ndarray, shards: int) ->
     )
 
 
+class Merged:
+    """The requests of a shard or a cell, key by key."""
+
+    def __init__(self, table: pa.Table, dtype):
+        self.table, self.dtype = table, dtype
+        keys = [unpacked(x) for x in table["keys"].to_pylist()]
+        self.ends = np.cumsum([0] + [len(k) for k in keys])
+        every = np.concatenate(keys)
+        self.vals = np.concatenate([unplanes(x, dtype) for x in table["vals"].to_pylist()])
+        self.order = np.argsort(every)
+        ranked = every[self.order]
+        first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        self.starts, self.which = np.flatnonzero(first), np.cumsum(first) - 1
+        self.keys = ranked[self.starts]
+
+    def combined(self, combine: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """One value per key, no larger than the type can hold."""
+        return np.minimum(combine(self.vals[self.order].astype(np.int64), self.starts), np.iinfo(self.dtype).max)
+
+    def told(self, answer: np.ndarray) -> pa.Table:
+        """The rows' replies, from one value per key."""
+        back = np.empty(len(self.order), self.dtype)
+        back[self.order] = answer[self.which]
+        payload = [planes(back[a:b]) for a, b in zip(self.ends[:-1], self.ends[1:], strict=True)]
+        return pa.table({"block": self.table["block"], "shard": self.table["shard"], "payload": pa.array(payload, pa.binary())})
+
+
 def combined(table: pa.Table, dtype, combine: Callable[[np.ndarray, np.ndarray], np.ndarray], respond: Callable[[np.ndarray], np.ndarray] | None = None) -> pa.Table:
     """Answers of one shard. combine: (values ordered by key, where each key starts) -> one value per key; respond: what is answered of it."""
-    keys = [unpacked(x) for x in table["keys"].to_pylist()]
-    vals = np.concatenate([unplanes(x, dtype) for x in table["vals"].to_pylist()])
-    ends = np.cumsum([0] + [len(k) for k in keys])
-    every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
-    ranked = every[order]
-    first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    starts = np.flatnonzero(first)
-    answer = combine(vals[order].astype(np.int64), starts)
-    if respond is not None:
-        answer = respond(answer)
-    back = np.empty(len(every), dtype)
-    back[order] = np.minimum(answer, np.iinfo(dtype).max)[np.cumsum(first) - 1]
-    return pa.table(
-        {
-            "block": table["block"],
-            "shard": table["shard"],
-            "payload": pa.array([planes(back[ends[k] : ends[k + 1]]) for k in range(len(keys))], pa.binary()),
-        }
-    )
+    merged = Merged(table, dtype)
+    answer = merged.combined(combine)
+    return merged.told(answer if respond is None else respond(answer))
 
 
 def answers(table: pa.Table, dtype) -> np.ndarray:
@@ -186,19 +218,20 @@ def ask(
 ) -> DataFrame:
     """Replies (block, shard, payload). request gets a block's rows, and the replies to an earlier question if given.
 
-    Without ``combine``, the requests themselves are returned, for a caller that answers in another form.
+    combine must give the same by parts (of its own results). Without it, the requests themselves are returned, by
+    band of ``hop(shards)`` shards, for a caller that answers in another form.
     """
-    dtype = np.dtype(dtype)
+    dtype, wide = np.dtype(dtype), hop(shards)
 
     def first(table: pa.Table) -> pa.Table:
         keys, vals = request(table)
-        return trimmed(request_rows)(table["block"][0].as_py(), keys, vals.astype(dtype), shards)
+        return trimmed(request_rows)(table["block"][0].as_py(), keys, vals.astype(dtype), shards, wide)
 
     def later(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):
             return request_rows(0, np.empty(0, np.uint64), np.empty(0, dtype), shards)
         keys, vals = request(table, replies)
-        return trimmed(request_rows)(table["block"][0].as_py(), keys, vals.astype(dtype), shards)
+        return trimmed(request_rows)(table["block"][0].as_py(), keys, vals.astype(dtype), shards, wide)
 
     if earlier is None:
         asked = blocks.groupBy("block").applyInArrow(first, REQUEST)
@@ -210,7 +243,19 @@ def ask(
     def answer(table: pa.Table) -> pa.Table:
         return trimmed(combined)(table, dtype, combine, respond)
 
-    return asked.groupBy("shard").applyInArrow(answer, REPLY)
+    if wide == 1:
+        return asked.groupBy("shard").applyInArrow(answer, REPLY)
+
+    def merge(table: pa.Table) -> pa.Table:
+        merged = Merged(table, dtype)
+        return request_rows(table["cell"][0].as_py(), merged.keys, merged.combined(combine).astype(dtype), shards)
+
+    def split(table: pa.Table, told: pa.Table) -> pa.Table:
+        return Merged(table, dtype).told(answers(told, dtype))
+
+    celled = by_cell(asked, shards)
+    told = celled.groupBy("cell").applyInArrow(merge, REQUEST).groupBy("shard").applyInArrow(answer, REPLY)
+    return celled.groupBy("cell").cogroup(told.groupBy("block")).applyInArrow(split, REPLY)
 
 
 def finish(blocks: DataFrame, replies: DataFrame, function: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:

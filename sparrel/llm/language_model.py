@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrel.llm.blocks import chunked, dechunked, finish, planes, squeezed, trimmed, unplanes, unsqueezed
+from sparrel.llm.blocks import by_cell, chunked, dechunked, finish, hop, planes, squeezed, trimmed, unplanes, unsqueezed
 from sparrel.llm.words import _MUL, column_hashes, seeded
 
 ORDER = 3
@@ -173,72 +173,111 @@ def cuts_of(keys: np.ndarray, shards: int, bits: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, np.array([-(-(s << bits) // shards) for s in range(shards)], np.uint64)), len(keys))
 
 
-def shard_rows(block: int, cuts: list[np.ndarray], vals: list[np.ndarray], sums: np.ndarray, keys: list[np.ndarray] | None = None) -> pa.Table:
-    """Values, by list and shard, with the keys that they belong to or without; and numbers to be summed."""
-    shard, named, valued = [SUMS], [b""], [sums.astype(np.int64).tobytes()]
+def shard_rows(block: int, cuts: list[np.ndarray], vals: list[np.ndarray], sums: np.ndarray | None = None, keys: list[np.ndarray] | None = None, wide: int = 1, lists: int = 0) -> pa.Table:
+    """Values, by list (from number ``lists`` on) and shard or band of ``wide`` shards, with the keys that they belong to or without; and numbers to be summed."""
+    shard, named, valued = ([], [], []) if sums is None else ([SUMS], [b""], [sums.astype(np.int64).tobytes()])
     for m, values in enumerate(vals):
-        for s in np.flatnonzero(np.diff(cuts[m])).tolist():
-            part = slice(cuts[m][s], cuts[m][s + 1])
-            shard.append(m * (len(cuts[m]) - 1) + s)
+        cut = np.append(cuts[m][:-1:wide], cuts[m][-1])
+        for s in np.flatnonzero(np.diff(cut)).tolist():
+            part = slice(cut[s], cut[s + 1])
+            shard.append((lists + m) * (len(cut) - 1) + s)
             named.append(planes(np.diff(keys[m][part], prepend=np.uint64(0))) if keys else b"")
             valued.append(squeezed(planes(values[part].astype(np.uint64))))
     return pa.table([pa.array([block] * len(shard), pa.int64()), pa.array(shard, pa.int64()), pa.array(named, pa.binary()), pa.array(valued, pa.binary())], names=["block", "shard", "keys", "vals"])
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.int64) for x in table["vals"].to_pylist()).astype(np.int64).tobytes()
-    return pa.table([table["block"], table["shard"], pa.array([total] * len(table), pa.binary())], names=["block", "shard", "vals"])
+def _total(table: pa.Table) -> np.ndarray:
+    return np.sum([np.frombuffer(x, np.int64) for x in table["vals"].to_pylist()], axis=0).astype(np.int64)
 
 
-def _merged(table: pa.Table) -> tuple[pa.Table, list[int], np.ndarray, np.ndarray]:
-    """A shard's rows by block, how many keys each has, the order that sorts all of their keys, and where a new key starts there."""
-    table = table.take(pa.array(np.argsort(table["block"].to_numpy())))
-    keys = [np.cumsum(unplanes(x, np.uint64), dtype=np.uint64) for x in table["keys"].to_pylist()]
-    every = np.concatenate(keys)
-    by_key = np.argsort(every)
-    ranked = every[by_key]
-    return table, [len(k) for k in keys], by_key, np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+def _spread(table: pa.Table, total: np.ndarray) -> pa.Table:
+    return pa.table([table["block"], table["shard"], pa.array([total.tobytes()] * len(table), pa.binary())], names=["block", "shard", "vals"])
 
 
-def _values(table: pa.Table) -> np.ndarray:
-    return np.concatenate([unplanes(unsqueezed(x), np.uint64) for x in table["vals"].to_pylist()]).astype(np.int64)
+def _is_sums(table: pa.Table) -> bool:
+    return table["shard"][0].as_py() == SUMS
 
 
-def _answered(table: pa.Table, sizes: list[int], by_key: np.ndarray, answer: np.ndarray) -> pa.Table:
-    back = np.empty(len(by_key), np.uint64)
-    back[by_key] = answer
-    parts = np.split(back, np.cumsum(sizes)[:-1])
-    return pa.table([table["block"], table["shard"], pa.array([squeezed(planes(p)) for p in parts], pa.binary())], names=["block", "shard", "vals"])
+class Shard:
+    """The rows that meet in a shard or a cell, by asker; the order that sorts all of their keys, and where a new key starts there."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table.take(pa.array(np.argsort(table["block"].to_numpy())))
+        keys = [np.cumsum(unplanes(x, np.uint64), dtype=np.uint64) for x in self.table["keys"].to_pylist()]
+        self.sizes, every = [len(k) for k in keys], np.concatenate(keys)
+        self.by_key = np.argsort(every)
+        ranked = every[self.by_key]
+        self.starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        self.runs, self.keys = np.diff(self.starts, append=len(ranked)), ranked[self.starts]
+
+    def values(self, rows: pa.Table | None = None) -> np.ndarray:
+        """Of these rows, or others of the same askers: by key."""
+        rows = self.table if rows is None else rows.take(pa.array(np.argsort(rows["block"].to_numpy())))
+        return np.concatenate([unplanes(unsqueezed(x), np.uint64) for x in rows["vals"].to_pylist()]).astype(np.int64)[self.by_key]
+
+    def sums(self, vals: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(vals, self.starts)
+
+    def owned(self, vals: np.ndarray) -> np.ndarray:
+        """Where a key's first asker with a value has its entry."""
+        row = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)[self.by_key]
+        return row == np.repeat(np.minimum.reduceat(np.where(vals > 0, row, len(self.sizes)), self.starts), self.runs)
+
+    def told(self, answer: np.ndarray) -> pa.Table:
+        """The rows' answers, from one for each entry in the order of the keys."""
+        back = np.empty(len(self.by_key), np.uint64)
+        back[self.by_key] = answer
+        parts = np.split(back, np.cumsum(self.sizes)[:-1])
+        return pa.table([self.table["block"], self.table["shard"], pa.array([squeezed(planes(p)) for p in parts], pa.binary())], names=["block", "shard", "vals"])
 
 
 def count_rows(table: pa.Table) -> pa.Table:
-    """What a shard answers its blocks: of each key 4 * sum + 2 * (several blocks name it) + (this block is its owner)."""
-    if table["shard"][0].as_py() == SUMS:
-        return _summed(table)
-    table, sizes, by_key, starts = _merged(table)
-    vals = _values(table)[by_key]
-    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[by_key]
-    runs = np.diff(starts, append=len(by_key))
-    owner = np.minimum.reduceat(np.where(vals > 0, row, len(sizes)), starts)
-    return _answered(table, sizes, by_key, np.repeat(4 * np.add.reduceat(vals, starts) + 2 * (runs > 1), runs) + (row == np.repeat(owner, runs)))
+    """What a shard answers its askers: of each key 4 * sum + 2 * (several name it) + (this one is its owner)."""
+    if _is_sums(table):
+        return _spread(table, _total(table))
+    shard = Shard(table)
+    vals = shard.values()
+    return shard.told(np.repeat(4 * shard.sums(vals) + 2 * (shard.runs > 1), shard.runs) + shard.owned(vals))
 
 
 def follower_rows(table: pa.Table, later: pa.Table) -> pa.Table:
     """The sum of each key's values in the later question, whose rows have no keys: those of the first are meant."""
     if not len(later):
         return later.select(["block", "shard", "vals"])
-    if later["shard"][0].as_py() == SUMS:
-        return _summed(later)
-    table, sizes, by_key, starts = _merged(table)
-    later = later.take(pa.array(np.argsort(later["block"].to_numpy())))
-    return _answered(later, sizes, by_key, np.repeat(np.add.reduceat(_values(later)[by_key], starts), np.diff(starts, append=len(by_key))))
+    if _is_sums(later):
+        return _spread(later, _total(later))
+    shard = Shard(table)
+    return shard.told(np.repeat(shard.sums(shard.values(later)), shard.runs))
+
 
+def split_counts(table: pa.Table, replies: pa.Table) -> pa.Table:
+    """A cell's answer, passed on: a key is its first block's where it is the cell's."""
+    if _is_sums(table):
+        return _spread(table, _total(replies.slice(0, 1)))
+    shard = Shard(table)
+    answer = np.repeat(_listed(replies), shard.runs)
+    several = np.repeat(shard.runs > 1, shard.runs)
+    return shard.told((answer & ~1) | 2 * several | (answer & 1 & shard.owned(shard.values())))
 
-def told(replies: pa.Table, lists: list[np.ndarray], shards: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The answers to one block, list by list in the order of the sorted keys, and the sums."""
+
+def split_followers(table: pa.Table, replies: pa.Table) -> pa.Table:
+    if not len(replies):
+        return pa.table([table["block"], table["shard"], pa.array([b""] * len(table), pa.binary())], names=["block", "shard", "vals"])[:0]
+    if _is_sums(table):
+        return _spread(table, _total(replies.slice(0, 1)))
+    shard = Shard(table)
+    return shard.told(np.repeat(_listed(replies), shard.runs))
+
+
+def _listed(replies: pa.Table) -> np.ndarray:
     by_shard = replies.take(pa.array(np.argsort(replies["shard"].to_numpy())))["vals"].to_pylist()
-    vals = np.concatenate([np.empty(0, np.int64), *(unplanes(unsqueezed(x), np.uint64).astype(np.int64) for x in by_shard[1:])])
-    return np.split(vals, np.cumsum([len(k) for k in lists])[:-1]), np.frombuffer(by_shard[0], np.int64)
+    return np.concatenate([np.empty(0, np.int64), *(unplanes(unsqueezed(x), np.uint64).astype(np.int64) for x in by_shard)])
+
+
+def told(replies: pa.Table, lists: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The answers to one block, list by list in the order of the sorted keys, and the sums, whose row is the first by shard."""
+    by_shard = replies.take(pa.array(np.argsort(replies["shard"].to_numpy())))
+    return np.split(_listed(by_shard.slice(1)), np.cumsum([len(k) for k in lists])[:-1]), _total(by_shard.slice(0, 1))
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -255,6 +294,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, held_out=is_held_out, b
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     count = max(1, math.ceil(size / block_bytes), min(partitions, math.ceil(size / LEAST_BYTES)))
+    wide = hop(count)
+    bands = -(-count // wide)
     bits = min(63, math.ceil(math.log2(size + 2)) + SPARE_BITS)
     blocks = chunked(docs, count)
 
@@ -268,7 +309,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, held_out=is_held_out, b
         _, out, tokens, ends = opened(table)
         learned = ~np.repeat(out, np.diff(ends))
         keys, vals = zip(*(own_counts(k, learned[here]) for here, k in gram_keys(tokens, ends, order, bits)), strict=True)
-        return shard_rows(table["block"][0].as_py(), [cuts_of(k, count, bits) for k in keys], vals, np.array([learned.sum()]), keys)
+        return shard_rows(table["block"][0].as_py(), [cuts_of(k, count, bits) for k in keys], vals, np.array([learned.sum()]), keys, wide)
 
     def counted(answer: list[np.ndarray]):
         """Counts, which n-grams this block owns, and which it shares."""
@@ -277,18 +318,18 @@ def score_documents(docs: DataFrame, order: int = ORDER, held_out=is_held_out, b
     def on_counts(table: pa.Table, replies: pa.Table) -> pa.Table:
         _, _, tokens, ends = opened(table)
         grams = Grams(tokens, ends, order, bits)
-        counts, owned, shared = counted(told(replies, grams.keys, count)[0])
+        counts, owned, shared = counted(told(replies, grams.keys)[0])
         known = census(counts, owned)
         vals = [np.where(shared[m] & (counts[m] > 1), grams.followers(m, owned[m + 1]), 0) for m in range(order - 1)]
-        return shard_rows(table["block"][0].as_py(), [cuts_of(k, count, bits) for k in grams.keys], vals, known)
+        return shard_rows(table["block"][0].as_py(), [cuts_of(k, count, bits) for k in grams.keys], vals, known, wide=wide)
 
     def rows(table: pa.Table, replies: pa.Table) -> pa.Table:
         ids, out, tokens, ends = opened(table)
         grams = Grams(tokens, ends, order, bits)
         later = pc.greater_equal(replies["shard"], pa.scalar(SECOND + SUMS))
-        answer, (total,) = told(replies.filter(pc.invert(later)), grams.keys, count)
+        answer, (total,) = told(replies.filter(pc.invert(later)), grams.keys)
         counts, owned, shared = counted(answer)
-        answer, known = told(replies.filter(later), grams.keys[:-1], count)
+        answer, known = told(replies.filter(later), grams.keys[:-1])
         # what only this block has is followed only here, and what was seen once by one word
         follow = [np.where(shared[m], np.where(counts[m] > 1, answer[m], counts[m]), grams.followers(m, owned[m + 1])) for m in range(order - 1)]
         types = int(known[0])
@@ -307,10 +348,36 @@ def score_documents(docs: DataFrame, order: int = ORDER, held_out=is_held_out, b
     def second_answer(table: pa.Table, later: pa.Table) -> pa.Table:
         return trimmed(follower_rows)(table, later)
 
+    def merge_counts(table: pa.Table) -> pa.Table:
+        cell, shard = table["cell"][0].as_py(), table["shard"][0].as_py()
+        if shard == SUMS:
+            return shard_rows(cell, [], [], _total(table))
+        merged = Shard(table)
+        return shard_rows(cell, [cuts_of(merged.keys, count, bits)], [merged.sums(merged.values())], None, [merged.keys], lists=shard // bands)
+
+    def merge_followers(table: pa.Table, later: pa.Table) -> pa.Table:
+        if not len(later):
+            return shard_rows(0, [], [])
+        cell, shard = table["cell"][0].as_py(), table["shard"][0].as_py()
+        if shard == SUMS:
+            return shard_rows(cell, [], [], _total(later))
+        merged = Shard(table)
+        return shard_rows(cell, [cuts_of(merged.keys, count, bits)], [merged.sums(merged.values(later))], lists=shard // bands)
+
     asked = blocks.groupBy("block").applyInArrow(question, ASKED)
-    first = asked.groupBy("shard").applyInArrow(first_answer, TOLD).repartition(partitions, "block")
-    again = finish(blocks, first, on_counts, ASKED)
-    second = asked.groupBy("shard").cogroup(again.groupBy("shard")).applyInArrow(second_answer, TOLD)
+    if wide == 1:
+        first = asked.groupBy("shard").applyInArrow(first_answer, TOLD).repartition(partitions, "block")
+        again = finish(blocks, first, on_counts, ASKED)
+        second = asked.groupBy("shard").cogroup(again.groupBy("shard")).applyInArrow(second_answer, TOLD)
+    else:
+        cells = by_cell(asked, count, order)
+        merged = cells.groupBy("cell").applyInArrow(merge_counts, ASKED)
+        answered = merged.groupBy("shard").applyInArrow(first_answer, TOLD)
+        first = cells.groupBy("cell").cogroup(answered.groupBy("block")).applyInArrow(split_counts, TOLD).repartition(partitions, "block")
+        again = by_cell(finish(blocks, first, on_counts, ASKED), count, order)
+        summed = cells.groupBy("cell").cogroup(again.groupBy("cell")).applyInArrow(merge_followers, ASKED)
+        answered = merged.groupBy("shard").cogroup(summed.groupBy("shard")).applyInArrow(second_answer, TOLD)
+        second = cells.groupBy("cell").cogroup(answered.groupBy("block")).applyInArrow(split_followers, TOLD)
     replies = first.union(second.withColumn("shard", F.col("shard") + SECOND).repartition(partitions, "block"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return finish(blocks, replies, rows, schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sparrel.llm.blocks import answers, ask, block_count, finish, in_blocks, packed, planes, unpacked, unplanes
+from sparrel.llm.blocks import REQUEST, Merged, answers, ask, block_count, by_cell, finish, hop, in_blocks, packed, planes, request_rows, unpacked, unplanes
 from sparrel.llm.words import column_hashes, mix, seeded, window_hashes, words
 
 WINDOW = 50
@@ -91,6 +91,14 @@ def _ids(table: pa.Table) -> np.ndarray:
     return np.asarray([LAST if d is None else d for d in table["doc_id"].to_pylist()], np.int64)
 
 
+def _found(replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Windows told to a block, sorted, and the least doc_id of each."""
+    keys = np.concatenate([np.empty(0, np.uint64), *(unpacked(x) for x in replies["keys"].to_pylist())])
+    least = np.concatenate([np.empty(0, np.int64), *(unplanes(x, np.int64) for x in replies["least"].to_pylist())])
+    order = np.argsort(keys)
+    return keys[order], least[order]
+
+
 def _window_rows(table: pa.Table, window: int):
     symbols, ends = column_hashes(table["text"], lower=False)
     first, anchor = anchors(symbols, ends, window)
@@ -136,34 +144,45 @@ def keep_first(docs: DataFrame, window: int = WINDOW, others: list[str] | None =
         out["least"], out["more"] = ids[start], ids[start] != ids[last] if len(start) else False
         return hashes[start], out
 
-    def least_of(table: pa.Table) -> pa.Table:
-        keys = [unpacked(x) for x in table["keys"].to_pylist()]
-        vals = np.concatenate([unplanes(x, VALUE) for x in table["vals"].to_pylist()])
-        ends = np.cumsum([0] + [len(k) for k in keys])
-        every = np.concatenate(keys)
-        order = np.argsort(every, kind="stable")
-        ranked = every[order]
-        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-        least = np.empty(len(every), np.int64)
-        least[order] = np.minimum.reduceat(vals["least"][order], np.flatnonzero(new))[np.cumsum(new) - 1]
-        goes = (least < vals["least"]) | vals["more"]
+    def settled(table: pa.Table, merged: Merged, least: np.ndarray) -> pa.Table:
+        """To each asker: its windows that an earlier document has, or that stand in several of its own, with the least doc_id."""
+        back = np.empty(len(merged.order), np.int64)
+        back[merged.order] = least[merged.which]
+        goes = (back < merged.vals["least"]) | merged.vals["more"]
+        every = np.empty(len(merged.order), np.uint64)
+        every[merged.order] = merged.keys[merged.which]
         out = {"block": [], "keys": [], "least": []}
         for k, block in enumerate(table["block"].to_pylist()):
-            part = slice(ends[k], ends[k + 1])
+            part = slice(merged.ends[k], merged.ends[k + 1])
             on = goes[part]
             if on.any():
                 out["block"].append(block)
-                out["keys"].append(packed(keys[k][on]))
-                out["least"].append(planes(least[part][on]))
+                out["keys"].append(packed(every[part][on]))
+                out["least"].append(planes(back[part][on]))
         return pa.table([pa.array(out["block"], pa.int64()), pa.array(out["keys"], pa.binary()), pa.array(out["least"], pa.binary())], names=list(out))
 
+    def least_of(table: pa.Table) -> pa.Table:
+        merged = Merged(table, VALUE)
+        return settled(table, merged, np.minimum.reduceat(merged.vals["least"][merged.order], merged.starts))
+
+    def merge(table: pa.Table) -> pa.Table:
+        merged = Merged(table, VALUE)
+        ranked = merged.vals[merged.order]
+        out = np.empty(len(merged.keys), VALUE)
+        out["least"] = np.minimum.reduceat(ranked["least"], merged.starts)
+        out["more"] = np.logical_or.reduceat(ranked["more"], merged.starts) | (out["least"] < np.maximum.reduceat(ranked["least"], merged.starts))
+        return request_rows(table["cell"][0].as_py(), merged.keys, out, count)
+
+    def split(table: pa.Table, told: pa.Table) -> pa.Table:
+        merged = Merged(table, VALUE)
+        found = _found(told)
+        least = np.full(len(merged.keys), LAST)  # what the cell was not told goes from none of its blocks
+        least[np.searchsorted(merged.keys, found[0])] = found[1]
+        return settled(table, merged, least)
+
     def rows(table: pa.Table, replies: pa.Table) -> pa.Table:
         texts, ids = table["text"].to_pylist(), _ids(table)
-        found = [(unpacked(k), unplanes(v, np.int64)) for k, v in zip(replies["keys"].to_pylist(), replies["least"].to_pylist(), strict=True)]
-        keys = np.concatenate([k for k, _ in found]) if found else np.empty(0, np.uint64)
-        least = np.concatenate([v for _, v in found]) if found else np.empty(0, np.int64)
-        order = np.argsort(keys)
-        keys, least = keys[order], least[order]
+        keys, least = _found(replies)
         gone: dict[int, np.ndarray] = {}
         if len(keys):
             symbols, ends = column_hashes(table["text"], lower=False)
@@ -195,7 +214,11 @@ def keep_first(docs: DataFrame, window: int = WINDOW, others: list[str] | None =
 
     shared = ask(blocks, ask_anchors, np.add.reduceat, np.uint8, count, respond=lambda sums: sums > 1)
     asked = ask(blocks, ask_windows, None, VALUE, count, earlier=shared)
-    return finish(blocks, asked.groupBy("shard").applyInArrow(least_of, REPEATS), rows, schema)
+    if hop(count) == 1:
+        return finish(blocks, asked.groupBy("shard").applyInArrow(least_of, REPEATS), rows, schema)
+    celled = by_cell(asked, count)
+    told = celled.groupBy("cell").applyInArrow(merge, REQUEST).groupBy("shard").applyInArrow(least_of, REPEATS)
+    return finish(blocks, celled.groupBy("cell").cogroup(told.groupBy("block")).applyInArrow(split, REPEATS), rows, schema)
 
 
 VALUE = np.dtype([("least", "<i8"), ("more", "?")])

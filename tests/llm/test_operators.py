@@ -40,6 +40,23 @@ def test_counts_come_back_in_order(lists, shards):
         assert list(counts) == [sum(x in other for other in keys) for x in k]
 
 
+@pytest.mark.parametrize("query", ["op1_ngram_join", "op2_language_model", "op6_substring_dedup"])
+def test_two_hops_give_the_same(spark, real, monkeypatch, query):
+    """By way of cells, as where there are many blocks."""
+    df, _ = real
+    run = {
+        "op1_ngram_join": ngram_join.ngram_jaccard_join,
+        "op2_language_model": lambda docs: language_model.score_documents(docs, block_bytes=1 << 16),
+        "op6_substring_dedup": substrings.keep_first,
+    }[query]
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 1 << 16)
+    one = sorted(map(tuple, run(df).collect()))
+    monkeypatch.setattr(blocks, "ONE_HOP", 1)
+    assert blocks.hop(10) == 4
+    two = sorted(map(tuple, run(df).collect()))
+    assert [r[:5] for r in two] == [r[:5] for r in one] and all(a[5:] == pytest.approx(b[5:], rel=1e-12) if query.startswith("op2") else a == b for a, b in zip(one, two, strict=True))
+
+
 # 1
 
 
