@@ -30,14 +30,19 @@ BLOCK_BYTES = 4 << 20
 LEAST_BYTES = 256 << 10
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that idle workers don't hold their peak."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def trimmed(function):
-    """The function, after which the worker gives freed memory back, so that idle workers don't hold a block's peak."""
+    """The function, and then ``give_back``."""
 
     def run(*tables):
         out = function(*tables)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
         return out
 
     return run
@@ -89,6 +94,8 @@ def chunked(docs: DataFrame, count: int) -> DataFrame:
                 held, size = [], 0
         if held:
             yield out()
+        held.clear()
+        give_back()
 
     return in_blocks(docs, count).mapInArrow(run, "block long, rows binary")
 

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparrel.llm.blocks import give_back
 from sparrel.llm.scratch import materialize
 
 LENGTH = 2048
@@ -147,6 +148,7 @@ def token_rows(docs: DataFrame, source: str) -> DataFrame:
             ends = np.cumsum([0] + [len(r) // encoder.type.itemsize for r in rows])
             keys = curve_keys(np.frombuffer(b"".join(rows), encoder.type), ends, table)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(keys), b.column(2), pa.array(rows, pa.binary())], ["doc_id", "key", "tie", "ids"])
+        give_back()
 
     return docs.select("doc_id", "text", F.xxhash64("text", "doc_id").alias("tie")).mapInArrow(run, TOKENS)
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparrel.llm.blocks import give_back
 from sparrel.llm.scratch import materialize
 from sparrel.llm.words import seeded
 
@@ -97,6 +98,7 @@ def fit(docs: DataFrame, sampled: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays(
             [pa.array([s // CHUNK for s in starts], pa.int64()), *(pa.array([x[s : s + CHUNK].tobytes() for s in starts], pa.binary()) for x in (target, raw))], ["chunk", "target", "raw"]
         )
+        give_back()
 
     def summed(table: pa.Table) -> pa.Table:
         sums = [sum(np.frombuffer(x, np.int64) for x in table[c].to_pylist()).tobytes() for c in ("target", "raw")]
@@ -150,6 +152,7 @@ def _scored(docs: DataFrame, sampled: DataFrame, keep: list[str]) -> DataFrame:
             key = (weight + noise_of(b.column(1).to_numpy())).view(np.int64)
             key = key ^ ((key >> 63) & np.int64(2**63 - 1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *map(pa.array, (size, weight, key))], ["row", "good", "n_features", "log_weight", "key"])
+        give_back()
 
     return own.mapInArrow(score, own.select("row", "good").schema.add("n_features", "long").add("log_weight", "double").add("key", "long"))
 
