@@ -146,8 +146,9 @@ def captures_of_pages(pages: DataFrame) -> DataFrame:
 
 def revisit_digest(pages: DataFrame) -> DataFrame:
     """What became of each record of ``captures_of_pages``, written as archives and read back; refers_to is -1 where there is none."""
-    read = read_warc(write_warc(captures_of_pages(pages)))
-    made = resolve_revisits(read.withColumn("record_id", F.regexp_extract("warc_id", r"(-?\d+)>$", 1).cast("long")))
+    read = read_warc(write_warc(captures_of_pages(pages))).drop("payload")
+    # written, as the range sort reads its input twice
+    made = resolve_revisits(materialize(read.withColumn("record_id", F.regexp_extract("warc_id", r"(-?\d+)>$", 1).cast("long")), "records"))
     return made.select("record_id", "canonical_url", "kind", F.coalesce("refers_to", F.lit(-1).cast("long")).alias("refers_to"), "outcome", "payload_digest", header_lines(F.col("headers")).alias("headers"))
 
 
@@ -225,6 +226,8 @@ def _plain_records(data: bytes) -> Iterator[tuple]:
 
 
 GZIP = b"\x1f\x8b\x08"
+#: Bytes of an archive that are inflated at once.
+PIECE = 16 << 10
 DAMAGED = "damaged"
 
 
@@ -235,15 +238,17 @@ def read_records(data: bytes) -> Iterator[tuple]:
         return
     at = 0
     while at < len(data):
-        member = zlib.decompressobj(wbits=31)
+        member, parts, end, problem = zlib.decompressobj(wbits=31), [], at, None
         try:
-            plain = member.decompress(memoryview(data)[at:])
+            while not member.eof and end < len(data):  # by pieces: what is left of one behind the member's end is copied
+                parts.append(member.decompress(data[end : end + PIECE]))
+                end = min(end + PIECE, len(data))
             problem = None if member.eof else "gzip member is cut off"
         except zlib.error as e:
-            plain, problem = b"", str(e)
+            problem = str(e)
         if problem is None:
-            yield from _plain_records(plain)
-            at = len(data) - len(member.unused_data)
+            yield from _plain_records(b"".join(parts))
+            at = end - len(member.unused_data)
         else:
             yield None, None, None, DAMAGED, None, {}, None, None, f"at byte {at}: {problem}"
             following = data.find(GZIP, at + 1)
