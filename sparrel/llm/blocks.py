@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparrel.llm.scratch import quoted
+
 #: UTF-8 bytes of text in a block on average; a block also holds its longest document whole.
 BLOCK_BYTES = 4 << 20
 #: With little text, blocks of this size at least are made until each shuffle partition has one.
@@ -56,7 +58,7 @@ def block_count(docs: DataFrame) -> int:
 
 def in_blocks(docs: DataFrame, count: int, others: list[str] | None = None) -> DataFrame:
     """(block, doc_id, text, and a struct of other columns if there are any); rows are dealt by a hash, so each block has rows of every source."""
-    carried = [F.struct(*others).alias("others")] if others else []
+    carried = [F.struct(*map(quoted, others)).alias("others")] if others else []
     return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).alias("block"), "doc_id", "text", *carried)
 
 

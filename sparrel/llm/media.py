@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparrel.llm.scratch import materialize
 
@@ -208,8 +209,7 @@ def store_texts(docs: DataFrame, text: str = "text", media: str = "media") -> Da
             columns = [b.column(b.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], [*names, "n_bytes", media])
 
-    out = docs.select(*names).schema.add("n_bytes", "long").add(media, "binary")
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(run, T.StructType([*schema, T.StructField("n_bytes", T.LongType()), T.StructField(media, T.BinaryType())]))
 
 
 def media_features(table: DataFrame, media: str = "media") -> DataFrame:
@@ -231,7 +231,8 @@ def media_features(table: DataFrame, media: str = "media") -> DataFrame:
             columns = [b.column(b.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([p for p, _ in pairs], pa.binary()), pa.array([f for _, f in pairs], pa.binary())], [*names, "payload", "feature"])
 
-    return table.mapInArrow(run, table.select(*names).schema.add("payload", "binary").add("feature", "binary"))
+    schema = T.StructType([f for f in table.schema.fields if f.name in names])
+    return table.mapInArrow(run, schema.add("payload", "binary").add("feature", "binary"))
 
 
 def media_digest(docs: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sparrel.llm.blocks import answers, ask, block_count, finish, in_blocks
 from sparrel.llm.components import components
-from sparrel.llm.scratch import materialize
+from sparrel.llm.scratch import materialize, quoted
 from sparrel.llm.words import column_hashes, distinct, mix, ngrams, seeded
 
 SHINGLE_WORDS, PERCENT = 5, 75
@@ -361,12 +361,12 @@ def first_of_copies(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     least = documents.where("node is not null").groupBy("node").agg(F.min(rank).alias("least"))
     chosen = least.join(named.select("node", "component"), "node").groupBy("component").agg(F.min("least").alias("least"))
-    worded = chosen.select(F.col("least.row").alias("_row"), F.lit(True).alias("_single"))
-    bare = documents.where("node is null").select(F.col("row").alias("_row"), F.lit(False).alias("_single")).distinct()
+    worded = chosen.select(F.col("least.row").alias("row"), F.lit(True).alias("single"))
+    bare = documents.where("node is null").select("row", F.lit(False).alias("single")).distinct()
     # equal rows have one key; the window needs no exchange beyond the join's
-    found = docs.withColumn("_row", row_key()).join(worded.union(bare), "_row")
-    nth = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
-    return found.withColumn("_nth", nth).where("not _single or _nth = 1").select(*docs.columns)
+    found = docs.select(row_key().alias("row"), F.struct(*map(quoted, docs.columns)).alias("whole")).join(worded.union(bare), "row")
+    nth = F.row_number().over(Window.partitionBy("row").orderBy("row"))
+    return found.withColumn("nth", nth).where("not single or nth = 1").select("whole.*")
 
 
 def row_key() -> Column:

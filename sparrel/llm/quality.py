@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrel.llm.blocks import give_back
-from sparrel.llm.scratch import materialize
+from sparrel.llm.scratch import materialize, quoted
 from sparrel.llm.words import seeded
 
 BUCKETS, FAMILIES, PREFIX = 1 << 18, 3, 4
@@ -138,7 +138,7 @@ def _scored(docs: DataFrame, sampled: DataFrame, keep: list[str]) -> DataFrame:
     """(row: the columns ``keep``, good, n_features, log_weight, key: log weight and noise, as a long that sorts alike) of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, sampled))
     inside = "text" in keep
-    row = F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in keep)).alias("row")
+    row = F.struct(*map(quoted, keep)).alias("row")
     named = docs.select("doc_id", row, F.xxhash64("doc_id", "text").alias("tie"), *([] if inside else ["text"]))
     own = named.join(F.broadcast(sampled), "doc_id", "left").select("row", "tie", "good", *([] if inside else ["text"]))
 

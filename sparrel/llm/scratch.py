@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that the driver and all executors share."""
+"""Intermediate tables in the folder that the driver and all executors share, and columns by any name."""
 
 from __future__ import annotations
 
@@ -6,13 +6,19 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Tables that this driver has written and not yet deleted.
 _WRITTEN: list[str] = []
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; a temporary one is set only on one machine, where none is. RuntimeError on a cluster without one."""
     sc = spark.sparkContext

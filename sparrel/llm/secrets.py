@@ -24,6 +24,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparrel.llm.scratch import quoted
+
 REACH = 256
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -164,7 +166,7 @@ def _in_scopes(spans: Column, scopes: Column) -> Column:
 
 def _scanned(docs: DataFrame, text: str) -> DataFrame:
     """(row: all columns of docs, spans). No other column of docs can clash, whatever its name."""
-    whole = docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    whole = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "key_id": KEY_ID, "key_secret": KEY_SECRET, "endpoint": ENDPOINT}
     found = whole.select("row", *(_spans(F.col("text"), k, p, LEAST.get(k, 0)).alias(k) for k, p in patterns.items()))
     strong = [F.col(k) for k in KINDS[:3]]

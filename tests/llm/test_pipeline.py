@@ -91,7 +91,12 @@ def test_one_row_of_each_group_of_copies(spark, small, documents):
 
 
 def test_missing_and_empty_texts_pass(spark, small):
-    docs = spark.createDataFrame([(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "a b c", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(1) for c in ("kept", "block", "n_words", "others", "node", "key")})
+    docs = spark.createDataFrame([(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "a b c", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["kept", "_kept", "block", "n_words", "others", "node", "key", "row", "_row", "_single", "_nth", "whole", "nth", "good", "spans", "_spans", "met", "tie", "a.b", "shard"]
+    docs = docs.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    columns = docs.columns
     for _, stage in corpus_pipeline.STAGES[:4]:
         docs = stage(spark, docs, small)
-        assert sorted(r["doc_id"] for r in docs.collect()) == [1, 2, 3]
+        rows = docs.collect()
+        assert docs.columns == columns and sorted(r["doc_id"] for r in rows) == [1, 2, 3] and all(list(r)[5:] == list(range(len(names))) for r in rows)
+    assert corpus_pipeline.STAGES[4][1](spark, docs, small).count() == 3
