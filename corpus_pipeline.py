@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparrel.llm import ngram_join, packing, quality, secrets, substrings
 from sparrel.llm.queries import tokenizer
-from sparrel.llm.scratch import materialize
+from sparrel.llm.scratch import materialize, quoted
 
 #: Window functions, sampling and hashes of whole texts have no equivalent in the oracle's SQL; tests hold run() against brute force.
 ORACLE_SQL = None
@@ -32,7 +32,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Without the passages that an earlier document has; documents of which nothing is left go."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     kept = substrings.keep_first(docs, others=others).where("n_removed = 0 or n_removed < n_words")
-    made = [F.col("doc_id"), F.col("kept").alias("text"), *(F.col("others")[c].alias(c) for c in others)]
+    made = [F.col("doc_id"), F.col("kept").alias("text"), *(F.col("others").getField(c).alias(c) for c in others)]
     return _with_text(kept.select(*made), docs)
 
 
@@ -49,7 +49,7 @@ def curve_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def _with_text(table: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of docs, with the length of the new text."""
     length = F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars")
-    return table.select(*(length if c == "n_chars" else F.col(c) for c in docs.columns))
+    return table.select(*(length if c == "n_chars" else quoted(c) for c in docs.columns))
 
 
 STAGES = [
