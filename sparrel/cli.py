@@ -26,12 +26,13 @@ INPUTS = (
     ("--audio-root", {}),
     ("--encoder", {"help": "module:factory of the encoder"}),
     ("--cache-dir", {"help": "keeps vectors and descriptions between runs"}),
+    ("--data-json", {"help": "must exist; part of the cache key"}),
     ("--max-words", {"type": int, "default": 32}),
     ("--max-frames", {"type": int, "default": 12}),
     ("--batch-size-val", {"type": int, "default": 100}),
     ("--temperature", {"type": float, "default": 1.0}),
 )
-IGNORED = (("--model-dir", str), ("--checkpoint", str), ("--data-json", str), ("--clip-weight", str), ("--device", str), ("--sim-header", str), ("--cross-num-hidden-layers", int), ("--audio-query-layers", int))
+IGNORED = (("--model-dir", str), ("--checkpoint", str), ("--clip-weight", str), ("--device", str), ("--sim-header", str), ("--cross-num-hidden-layers", int), ("--audio-query-layers", int))
 CHECKER = (
     ("--checker-base-url", {"required": True}),
     ("--checker-api-key", {"required": True}),
@@ -80,7 +81,7 @@ def engine_of(spark: SparkSession, args: argparse.Namespace) -> Engine:
     if args.split_csv:
         if not args.video_root:
             raise ValueError("--split-csv needs --video-root")
-        settings = Settings(args.split_csv, args.video_root, args.audio_root, args.encoder, args.cache_dir, args.max_words, args.max_frames, args.batch_size_val, args.temperature)
+        settings = Settings(args.split_csv, args.video_root, args.audio_root, args.encoder, args.cache_dir, args.max_words, args.max_frames, args.batch_size_val, args.temperature, args.data_json)
         texts, videos = ingest(spark, settings)
     else:
         if not (args.texts and args.videos):
@@ -127,6 +128,9 @@ def run(spark: SparkSession, args: argparse.Namespace):
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
+    for flag, _ in (*IGNORED, *IGNORED_BY_AGENTS):
+        if getattr(args, flag.strip("-").replace("-", "_"), None) is not None:
+            log.warning("%s changes nothing here", flag)
     spark = SparkSession.builder.appName("sparrel").getOrCreate()
     log.info("running %s", args.command)
     print(sinks.pretty(run(spark, args)))

@@ -101,11 +101,16 @@ def _settle(hinted: DataFrame, initial: DataFrame, results: DataFrame, state: Da
     return told.join(results_, "query_id"), initial, final
 
 
+def best_where(hits: DataFrame, hit: Column, name: str = "rank") -> DataFrame:
+    """(query_id, name): the first rank at which a predicate over the hits' columns holds."""
+    return hits.where(hit).groupBy("query_id").agg(F.min("rank").alias(name))
+
+
 def evaluated(runs: DataFrame, initial: DataFrame, final: DataFrame, targets: DataFrame) -> DataFrame:
     """Rows for ``summaries.summary``: best target's rank first and last, and the flags. targets: (query_id, item_id)."""
 
     def best(hits: DataFrame, name: str) -> DataFrame:
-        return hits.join(targets, ["query_id", "item_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias(name))
+        return best_where(hits.join(targets, ["query_id", "item_id"], "left_semi"), F.lit(True), name)
 
     own = runs.select("query_id", "omni_calls", F.col("fallback_used").alias("fallback"), (F.col("hints.audio_mode") == "off").alias("audio_off"), F.col("hints.query_text_override").isNotNull().alias("rewritten"))
     joined = own.join(best(initial, "first_rank"), "query_id", "left").join(best(final, "final_rank"), "query_id", "left")

@@ -32,10 +32,23 @@ class Settings:
     max_frames: int = 12
     batch_size: int = 100
     temperature: float = 1.0
+    data_json: str | None = None
+
+    def places(self) -> dict[str, str]:
+        """Files and folders that must exist; data_json is one, though nothing reads it."""
+        return {n: p for n, p in (("split_csv", self.split_csv), ("video_root", self.video_root), ("audio_root", self.audio_root), ("data_json", self.data_json)) if p}
+
+    @property
+    def audio_available(self) -> bool:
+        return bool(self.audio_root)
+
+    def task(self) -> dict:
+        """What an encoder is told: its sizes, and the two choices that are always made."""
+        return {"max_words": self.max_words, "max_frames": self.max_frames, "batch_size": self.batch_size, "temperature": self.temperature, "linear_patch": "2d", "loose_type": True}
 
     def key(self) -> str:
         """Changes with each file or folder (path, time, size) and number that the tables depend on."""
-        places = {n: paths.fingerprint(p) for n, p in (("split_csv", self.split_csv), ("video_root", self.video_root), ("audio_root", self.audio_root)) if p}
+        places = {n: paths.fingerprint(p) for n, p in self.places().items()}
         return paths.cache_key({n: v for n, v in asdict(self).items() if n not in ("cache_dir", *places)} | places)
 
 
@@ -64,7 +77,7 @@ def encoded_media(videos: DataFrame, encoder: Encoder) -> DataFrame:
 
 def ingest(spark: SparkSession, settings: Settings, encoder: Encoder | None = None) -> tuple[DataFrame, DataFrame]:
     """(texts, videos) as ``Engine`` takes them. With a cache folder, vectors made before from the same inputs are read again."""
-    captions.require(settings.split_csv, settings.video_root, *([settings.audio_root] if settings.audio_root else []))
+    captions.require(*settings.places().values())
     if encoder is None:
         if settings.encoder is None:
             raise ValueError("texts and videos without vectors need an encoder, module:factory")

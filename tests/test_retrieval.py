@@ -452,3 +452,55 @@ def test_malformed_answers(spark):
     assert paths.local_file("file://host/a%20b.mp4") == "/a b.mp4" and paths.local_file("/a%20b") == "/a%20b"
     assert one(spark, vectors.activations(F.lit(1.0))["gelu"]) == pytest.approx(0.8413447460685429)
     assert one(spark, vectors.frame_shift(F.lit(160_000), 16_000, 1024)) == pytest.approx(9.765625)
+
+
+def test_remote_files(tmp_path):
+    import http.server
+    import threading
+
+    from sparrel.sources import remote
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        etag, asked = '"1"', []
+
+        def do_HEAD(self):
+            self.send_response(200 if self.path == "/a.bin" else 404)
+            self.send_header("ETag", self.etag)
+            self.end_headers()
+
+        def do_GET(self):
+            self.asked.append(self.path)
+            self.do_HEAD()
+            self.wfile.write(self.etag.encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url, folder_ = f"http://127.0.0.1:{server.server_port}/a.bin", str(tmp_path / "kept")
+    try:
+        first = remote.cached_file(url, folder_)
+        assert remote.cached_file(url, folder_) == first and Handler.asked == ["/a.bin"]
+        assert json.loads(open(first + ".json").read()) == {"url": url, "etag": '"1"'}
+        Handler.etag = '"2"'
+        assert open(remote.cached_file(url, folder_)).read() == '"2"' and len(Handler.asked) == 2
+        with pytest.raises(OSError):
+            remote.cached_file(url + "x", folder_)
+    finally:
+        server.shutdown()
+    assert remote.optional("json") is json and remote.optional("no_such_library") is None
+    with pytest.raises(RuntimeError, match="decoding needs no_such_library"):
+        remote.needed("no_such_library", "decoding")
+
+
+def test_settings_and_predicates(spark, tmp_path):
+    from sparrel.plans.ingest import Settings
+
+    (tmp_path / "s.csv").write_text("x")
+    made = Settings(str(tmp_path / "s.csv"), str(tmp_path), max_words=16)
+    assert made.key() == Settings(str(tmp_path / "s.csv"), str(tmp_path), max_words=16, cache_dir="elsewhere").key()
+    assert made.key() != Settings(str(tmp_path / "s.csv"), str(tmp_path)).key()
+    assert made.task()["max_words"] == 16 and made.task()["loose_type"] and not made.audio_available
+    hits = spark.createDataFrame([(0, 1, "a"), (0, 2, "b"), (1, 1, "a")], "query_id long, rank long, item_id string")
+    assert [tuple(r) for r in agent.best_where(hits, F.col("item_id") == "b").collect()] == [(0, 2)]
