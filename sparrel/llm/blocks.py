@@ -21,7 +21,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrel.llm.scratch import quoted
@@ -67,8 +67,11 @@ GATHERED_BYTES = 16 << 20
 DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
 
-def chunked(docs: DataFrame, count: int) -> DataFrame:
-    """(block, rows): as ``in_blocks`` deals, but a task's rows of a block go together, as a compressed Arrow stream of doc_id and text."""
+def chunked(docs: DataFrame, count: int, numbers: dict[str, Column] | None = None) -> DataFrame:
+    """(block, rows): as ``in_blocks`` deals, but a task's rows of a block go together, as a compressed Arrow stream of doc_id, text and longs if there are any."""
+    schema, numbers = DOCUMENTS, numbers or {}
+    for name in numbers:
+        schema = schema.append(pa.field(name, pa.int64()))
 
     def run(batches):
         held, size = [], 0
@@ -82,8 +85,8 @@ def chunked(docs: DataFrame, count: int) -> DataFrame:
             streams = []
             for a, b in zip(starts, np.append(starts[1:], len(block)), strict=True):
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, DOCUMENTS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-                    stream.write_table(table[int(a) : int(b)].select(["doc_id", "text"]).cast(DOCUMENTS).combine_chunks())
+                with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                    stream.write_table(table[int(a) : int(b)].select(schema.names).cast(schema).combine_chunks())
                 streams.append(sink.getvalue().to_pybytes())
             return pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array(streams, pa.binary())], ["block", "rows"])
 
@@ -99,7 +102,8 @@ def chunked(docs: DataFrame, count: int) -> DataFrame:
         held.clear()
         give_back()
 
-    return in_blocks(docs, count).mapInArrow(run, "block long, rows binary")
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).alias("block"), "doc_id", "text", *(c.alias(n) for n, c in numbers.items()))
+    return dealt.mapInArrow(run, "block long, rows binary")
 
 
 def dechunked(table: pa.Table) -> pa.Table:

@@ -27,12 +27,11 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparrel.llm.blocks import answers, ask, block_count, finish, in_blocks
+from sparrel.llm.blocks import answers, ask, block_count, chunked, dechunked, finish
 from sparrel.llm.components import components
 from sparrel.llm.scratch import materialize, quoted
 from sparrel.llm.words import column_hashes, distinct, mix, ngrams, seeded
@@ -147,15 +146,16 @@ DOCUMENT, POSTING, SET = 0, 1, 2
 def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Rows of three kinds: each document's node and size; postings of nodes' prefixes; nodes' shared shingles."""
     count = block_count(docs)
-    blocks = in_blocks(docs.select("doc_id", "text", row_key().alias("row")), count, ["row"])
+    blocks = chunked(docs, count, {"row": row_key()})
 
     def request(table: pa.Table):
-        sets, _, first = _block_sets(table, size)
+        sets, _, first = _block_sets(dechunked(table), size)
         if not first:
             return np.empty(0, np.uint64), np.empty(0)
         return np.unique(np.concatenate([sets[k] for k in first]), return_counts=True)
 
     def rows(table: pa.Table, replies: pa.Table) -> pa.Table:
+        table = dechunked(table)
         sets, nodes, first = _block_sets(table, size)
         parts: list[pa.Table] = []
         schema = pa.schema([("kind", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("held", pa.int64()), ("rest", pa.int64()), ("tokens", pa.binary())])
@@ -163,7 +163,7 @@ def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
         def add(rows_: int, **columns):
             parts.append(pa.table([columns[f.name] if f.name in columns else pa.nulls(rows_, f.type) for f in schema], schema=schema))
 
-        add(len(sets), kind=pa.array([DOCUMENT] * len(sets), pa.int32()), row=pc.struct_field(table["others"].combine_chunks(), "row"), doc_id=table["doc_id"].cast(pa.int64()).combine_chunks(), node=pa.array(nodes, pa.int64()), n=pa.array([len(s) for s in sets], pa.int64()))
+        add(len(sets), kind=pa.array([DOCUMENT] * len(sets), pa.int32()), row=table["row"].combine_chunks(), doc_id=table["doc_id"].combine_chunks(), node=pa.array(nodes, pa.int64()), n=pa.array([len(s) for s in sets], pa.int64()))
         if first:
             every = np.concatenate([sets[k] for k in first])
             keys, back = np.unique(every, return_inverse=True)
