@@ -79,12 +79,18 @@ def _distinct_docs(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nd
     if not len(keys):
         return keys, np.empty(0)
     new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])])
-    keys, doc = keys[new], doc[new]
-    order = np.lexsort((doc, keys))
-    keys, doc = keys[order], doc[order]
+    keys, low, high = _spans_of(keys[new], doc[new])
+    return keys, 1 + (low != high)
+
+
+def _spans_of(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with the least and the greatest value of each."""
+    if not len(keys):
+        return keys, values, values
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
     start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    last = np.append(start[1:], len(keys)) - 1
-    return keys[start], 1 + (doc[start] != doc[last])
+    return keys[start], np.minimum.reduceat(values, start), np.maximum.reduceat(values, start)
 
 
 def _ids(table: pa.Table) -> np.ndarray:
@@ -136,13 +142,10 @@ def keep_first(docs: DataFrame, window: int = WINDOW, others: list[str] | None =
         shared = answers(replies, np.uint8)[np.searchsorted(keys, anchor)] > 0
         hashes = window_hashes(symbols, window)[first[shared]]
         ids = _ids(table)[doc[shared]]
-        order = np.lexsort((ids, hashes))
-        hashes, ids = hashes[order], ids[order]
-        start = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.empty(0, np.int64)
-        last = np.append(start[1:], len(hashes)) - 1
-        out = np.empty(len(start), VALUE)
-        out["least"], out["more"] = ids[start], ids[start] != ids[last] if len(start) else False
-        return hashes[start], out
+        hashes, low, high = _spans_of(hashes, ids)
+        out = np.empty(len(hashes), VALUE)
+        out["least"], out["more"] = low, low != high
+        return hashes, out
 
     def settled(table: pa.Table, merged: Merged, least: np.ndarray) -> pa.Table:
         """To each asker: its windows that an earlier document has, or that stand in several of its own, with the least doc_id."""
