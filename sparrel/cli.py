@@ -121,7 +121,7 @@ def run(spark: SparkSession, args: argparse.Namespace):
         told = engine.partial_eval(args.mode, model, args.sample_size, args.start_index, ks, args.rerank_window, args.output_dir, resume=args.resume, progress=lambda line: print(line, file=sys.stderr, flush=True))
         return sinks.rounded(told)
     runs, initial, final = engine.case(mode, args.query_text if mode == "t2v" else args.query_video_id, model, args.rerank_window)
-    told = sinks.rounded(runs.first().asDict(True))
+    told = sinks.trace(runs.first())
     hits = {name: [sinks.hit_dict(r) for r in table.orderBy("rank").collect()] for name, table in (("initial_hits", initial), ("reranked_hits", final))}
     return {"mode": f"{mode}-agent"} | told | hits
 

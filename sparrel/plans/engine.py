@@ -178,7 +178,7 @@ class Engine:
                 some = some.join(known.select(F.col("query_id").alias(index)), index, "left_anti")
             if not some.isEmpty():
                 told, traces = self._evaluated(mode, some, checker, window)
-                lines = [json.dumps(json.loads(r["value"]) | {"mode": f"{mode}-agent"}, ensure_ascii=False) for r in traces.orderBy("query_id").select(F.to_json(F.struct("*")).alias("value")).collect()]
+                lines = [json.dumps(sinks.trace(json.loads(r["value"])) | {"mode": f"{mode}-agent"}, ensure_ascii=False) for r in traces.orderBy("query_id").select(F.to_json(F.struct("*")).alias("value")).collect()]
                 told.write.mode("append").parquet(done)
                 sinks.add_lines(lines, output_dir)
             every = spark.read.parquet(done)

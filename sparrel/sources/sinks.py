@@ -22,6 +22,21 @@ def rounded(value, digits: int = 4):
     return [rounded(v, digits) for v in value] if isinstance(value, list) else value
 
 
+#: Digits of numbers in traces, by name.
+TRACE_DIGITS = {"score": 6, "original_score": 6, "confidence": 4}
+
+
+def trace(value, name: str = ""):
+    """A trace for output, nested as it is: numbers of some names rounded as Python does, nulls of rows left out."""
+    if isinstance(value, Row):
+        value = value.asDict()
+    if isinstance(value, dict):
+        return {k: trace(v, k) for k, v in value.items() if v is not None}
+    if isinstance(value, list):
+        return [trace(v, name) for v in value]
+    return round(value, TRACE_DIGITS[name]) if isinstance(value, float) and name in TRACE_DIGITS else value
+
+
 def pretty(value) -> str:
     return json.dumps(value, ensure_ascii=False, indent=2)
 

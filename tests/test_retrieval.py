@@ -356,6 +356,7 @@ def test_encoder(spark):
 
 
 def test_rounding():
+    assert sinks.trace({"score": 0.12345675, "hits": [{"score": 1 / 3, "x": None, "confidence": 0.00005}], "rate": 1 / 3}) == {"score": 0.123457, "hits": [{"score": 0.333333, "confidence": 0.0001}], "rate": 1 / 3}
     assert sinks.rounded({"a": [0.03125, 2.5]}) == {"a": [0.0312, 2.5]}
 
 
