@@ -146,7 +146,7 @@ def captures_of_pages(pages: DataFrame) -> DataFrame:
 
 def revisit_digest(pages: DataFrame) -> DataFrame:
     """What became of each record of ``captures_of_pages``, written as archives and read back; refers_to is -1 where there is none."""
-    read = read_warc(write_warc(captures_of_pages(pages))).drop("payload")
+    read = read_warc(write_warc(captures_of_pages(pages), level=0)).drop("payload")
     # written, as the range sort reads its input twice
     made = resolve_revisits(materialize(read.withColumn("record_id", F.regexp_extract("warc_id", r"(-?\d+)>$", 1).cast("long")), "records"))
     return made.select("record_id", "canonical_url", "kind", F.coalesce("refers_to", F.lit(-1).cast("long")).alias("refers_to"), "outcome", "payload_digest", header_lines(F.col("headers")).alias("headers"))
@@ -168,10 +168,10 @@ def write_record(kind: str, url: str | None, captured: str, headers: dict[str, s
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def write_warc(records: DataFrame) -> DataFrame:
+def write_warc(records: DataFrame, level: int = 1) -> DataFrame:
     """(path, content): archives of records (record_id, url, captured, kind, status, headers, payload_digest, payload), a gzip member each.
 
-    record_id becomes the end of WARC-Record-ID; a null URL, date or digest is left out.
+    level: of compression, 0 where archives are not kept. record_id becomes the end of WARC-Record-ID; a null URL, date or digest is left out.
     """
 
     def run(batches):
@@ -183,7 +183,7 @@ def write_warc(records: DataFrame) -> DataFrame:
 
         for b in batches:
             for i, url, at, kind, status, headers, digest, payload in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
-                members.append(gzip.compress(write_record(kind, url, at, dict(headers or ()), status, payload or b"", digest, f"<urn:sparrel:{i}>"), 1, mtime=0))
+                members.append(gzip.compress(write_record(kind, url, at, dict(headers or ()), status, payload or b"", digest, f"<urn:sparrel:{i}>"), level, mtime=0))
                 size += len(members[-1])
                 if size > ARCHIVE_BYTES:
                     yield out()
