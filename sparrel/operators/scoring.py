@@ -73,7 +73,7 @@ def _local(left: np.ndarray, frames: np.ndarray, counts: np.ndarray) -> np.ndarr
     return out
 
 
-def _score(kind: str, queries: pd.DataFrame, corpus: pd.DataFrame) -> np.ndarray:
+def _score(kind: str, queries: pd.DataFrame, corpus: pd.DataFrame, exact: bool = True) -> np.ndarray:
     left = _matrix(queries["query_vector"])
     if kind in ("lse", "hybrid"):
         frames, counts = _frames(corpus["item_vector"])
@@ -84,7 +84,7 @@ def _score(kind: str, queries: pd.DataFrame, corpus: pd.DataFrame) -> np.ndarray
             return np.full((len(left), len(counts)), np.nan)
         return (_local(left, frames, counts) + _dots(left, _unit(_pooled(frames, counts)))) / 2
     right = _matrix(corpus["item_vector"])
-    dots = _dots(left, right)
+    dots = _dots(left, right) if exact else left @ right.T
     if kind == "cosine":
         with np.errstate(divide="ignore", invalid="ignore"):
             dots = dots / np.multiply.outer(np.sqrt(np.diagonal(_dots(left, left))), np.sqrt(np.diagonal(_dots(right, right))))
@@ -105,9 +105,12 @@ def _crossed(queries: DataFrame, corpus: DataFrame, blocks: tuple[int, int] | No
     return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb"))
 
 
-def score_top_k(queries: DataFrame, corpus: DataFrame, k: int, kind: str = "dot", blocks: tuple[int, int] | None = None) -> DataFrame:
+def score_top_k(queries: DataFrame, corpus: DataFrame, k: int, kind: str = "dot", blocks: tuple[int, int] | None = None, exact: bool = True) -> DataFrame:
     """(query_id, item_idx, score, rank): the best k of (item_idx, vector) for each (query_id, vector).
 
+    exact: sums run in the order of the dimensions, so that any blocks, and the column expression, give the same to the
+    last bit; without it dot and cosine are matrix products, several times faster and equal but for rounding.
+
     kind: dot or cosine; or, where an item's vector is the array of a video's unmasked frames, lse (log-sum-exp over
     its frames) or hybrid (mean of that and of the pooled frames' score, all of unit length). Vectors must have one length; an empty side gives no rows.
     """
@@ -121,7 +124,7 @@ def score_top_k(queries: DataFrame, corpus: DataFrame, k: int, kind: str = "dot"
         if not len(q) or not len(c):
             return pd.DataFrame({"query_id": q["query_id"][:0], "item_idx": c["item_idx"][:0], "score": np.empty(0)})
         c = c.sort_values("item_idx", kind="stable")
-        scores = _score(kind, q, c)
+        scores = _score(kind, q, c, exact)
         ids = c["item_idx"].to_numpy()
         order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         return pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), order.shape[1]), "item_idx": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})

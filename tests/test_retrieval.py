@@ -43,6 +43,9 @@ def test_blocks_equal_pairs(spark, small):
     left, right = e.where("vec_id < 20").withColumnRenamed("vec_id", "query_id"), e.where("vec_id >= 20").withColumnRenamed("vec_id", "item_idx")
     whole = scoring.score_top_k(left, right, 7, blocks=(1, 1)).collect()
     assert sorted(scoring.score_top_k(left, right, 7, blocks=(3, 5)).collect()) == sorted(whole)
+    fast = scoring.score_top_k(left, right, 7, "cosine", (2, 2), exact=False).orderBy("query_id", "rank").collect()
+    slow_ = scoring.score_top_k(left, right, 7, "cosine").orderBy("query_id", "rank").collect()
+    assert [r["score"] for r in fast] == pytest.approx([r["score"] for r in slow_])
     assert scoring.score_top_k(left.limit(0), right, 7).count() == 0
     with pytest.raises(ValueError):
         scoring.score_top_k(left, right, 7, "other")
