@@ -32,7 +32,7 @@ ORDER = 3
 BLOCK_BYTES, LEAST_BYTES = 8 << 20, 256 << 10
 #: Key of the token that ends each text (no word has this hash but by a chance of 2**-64).
 END = np.uint64(0x5DEECE66D1234567)
-#: Bits of an n-gram's key beyond those that number the corpus's bytes: two of the corpus share a key with a chance under 2**-20.
+#: Bits of an n-gram's key beyond those that number the corpus's bytes (63 at most): one shares its key with another of the corpus with a chance under 2**-20.
 SPARE_BITS = 20
 #: Texts are walked side by side in segments of so many tokens.
 SEGMENT = 512
