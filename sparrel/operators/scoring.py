@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from sparrel.functions import vectors
 
-#: Rows of a block of queries and of a block of the corpus.
-QUERY_BLOCK, CORPUS_BLOCK = 512, 4096
+#: Rows of a block of queries, rows (of videos: frames) of a block of the corpus, and products of frames that are held at once.
+QUERY_BLOCK, CORPUS_BLOCK, TILE = 512, 4096, 1 << 18
 
 
 def best_first(score: str, index: str) -> list[Column]:
@@ -43,9 +43,17 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64) if len(column) else np.empty((0, 0))
 
 
+def _norms(rows: np.ndarray) -> np.ndarray:
+    """Lengths, with squares summed in the order of the dimensions."""
+    squares = np.zeros(len(rows))
+    for d in range(rows.shape[1]):
+        squares += rows[:, d] * rows[:, d]
+    return np.sqrt(squares)
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
-        return rows / np.sqrt(np.diagonal(_dots(rows, rows)))[:, None]
+        return rows / _norms(rows)[:, None]
 
 
 def _frames(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -64,12 +72,25 @@ def _pooled(frames: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _local(left: np.ndarray, frames: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """ln of the sum over a video's frames of exp(dot); minus infinity without frames."""
+    """ln of the sum over a video's frames, in their order, of exp(dot); minus infinity without frames. Some videos at a time."""
     out = np.full((len(left), len(counts)), -np.inf)
-    if len(frames):
-        on = counts > 0
-        with np.errstate(over="ignore"):
-            out[:, on] = np.log(np.add.reduceat(np.exp(_dots(left, frames)), (np.cumsum(counts) - counts)[on], axis=1))
+    if not len(frames):
+        return out
+    ends = np.cumsum(counts)
+    begins, low = ends - counts, 0
+    while low < len(counts):
+        high = max(low + 1, int(np.searchsorted(ends, begins[low] + TILE // len(left), "right")))
+        some, first = frames[begins[low] : ends[high - 1]], begins[low:high] - begins[low]
+        step = max(1, TILE // max(1, len(some)))  # less than all queries only where one video has very many frames
+        for q in range(0, len(left), step):
+            total = np.zeros((high - low, len(left[q : q + step])))
+            with np.errstate(over="ignore", divide="ignore"):
+                each = np.exp(_dots(some, left[q : q + step]))
+                for k in range(int(counts[low:high].max())):
+                    on = counts[low:high] > k
+                    total[on] += each[first[on] + k]
+                out[q : q + step, low:high] = np.log(total).T
+        low = high
     return out
 
 
@@ -87,7 +108,7 @@ def _score(kind: str, queries: pd.DataFrame, corpus: pd.DataFrame, exact: bool =
     dots = _dots(left, right) if exact else left @ right.T
     if kind == "cosine":
         with np.errstate(divide="ignore", invalid="ignore"):
-            dots = dots / np.multiply.outer(np.sqrt(np.diagonal(_dots(left, left))), np.sqrt(np.diagonal(_dots(right, right))))
+            dots = dots / np.multiply.outer(_norms(left), _norms(right))
     return dots
 
 
@@ -130,6 +151,9 @@ def score_top_k(queries: DataFrame, corpus: DataFrame, k: int, kind: str = "dot"
         return pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), order.shape[1]), "item_idx": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
 
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_idx {corpus.schema['item_idx'].dataType.simpleString()}, score double"
+    if blocks is None and kind in ("lse", "hybrid"):
+        held = right.agg(F.sum(F.greatest(F.size("item_vector"), F.lit(1)))).first()[0] or 0
+        blocks = max(1, math.ceil(left.count() / QUERY_BLOCK)), max(1, math.ceil(held / CORPUS_BLOCK))
     best = _crossed(left, right, blocks).applyInPandas(cell, schema)
     return top_k(best.withColumn("score", F.coalesce("score", F.lit(float("nan")))), "query_id", k)  # NaN comes back from pandas as null
 

@@ -66,6 +66,36 @@ def test_loss_of_large_scores(spark):
     assert scoring.contrastive_loss(s).first()["loss"] == pytest.approx(math.log(1 + math.exp(-1)))
 
 
+@pytest.mark.parametrize("kind", ["cosine", "lse", "hybrid"])
+def test_memory_of_a_cell(kind):
+    """Of all pairs of frames nothing is held, and of pairs of queries and frames a part."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    made = np.random.default_rng(5)
+    counts = [3000, 0, *made.integers(0, 13, 600)] if kind != "cosine" else [1] * 4000
+    videos = [made.normal(size=(n, 16)) / 4 for n in counts]
+    queries = made.normal(size=(150, 16)) / 4
+    corpus = pd.DataFrame({"item_vector": [list(v) for v in videos] if kind != "cosine" else [v[0] for v in videos]})
+    tracemalloc.start()
+    scores = scoring._score(kind, pd.DataFrame({"query_vector": list(queries)}), corpus)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6
+    unit = lambda rows: rows / np.linalg.norm(rows, axis=1)[:, None]
+    for item in (0, 1, 2, len(videos) - 1):
+        v = videos[item]
+        if kind == "cosine":
+            want = unit(queries) @ unit(v)[0]
+        elif kind == "lse":
+            want = np.log(np.exp(queries @ v.T).sum(axis=1)) if len(v) else np.full(150, -np.inf)
+        else:
+            want = (np.log(np.exp(unit(queries) @ unit(v).T).sum(axis=1)) + unit(queries) @ unit(unit(v).mean(axis=0)[None])[0]) / 2 if len(v) else np.full(150, np.nan)
+        assert scores[:, item] == pytest.approx(want, nan_ok=True)
+
+
 @pytest.mark.parametrize("kind", ["lse", "hybrid"])
 def test_blocks_of_videos_equal_columns(spark, small, kind):
     from sparrel.plans import queries
