@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import accumulate
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException as SparkException
@@ -63,18 +64,23 @@ def row_slice(table: DataFrame, index: str, start: int, size: int) -> DataFrame:
 
 
 def numbered(videos: DataFrame, order: str = "first_idx", name: str = "video_idx") -> DataFrame:
-    """Consecutive numbers from 0 in the order of a column, without one task for all rows.
+    """Consecutive numbers from 0 in the order of a column, nulls last, without one task for all rows.
 
-    Rows are range-sorted; each partition counts from the sum of the counts before it, of which there is one per partition.
+    A first job cuts the rows into ranges and counts them; one row per range goes to the driver. Rows then belong to a range by
+    their value alone, since Spark draws the limits of its ranges anew wherever a plan sorts the same rows with other columns.
     """
-    spark = videos.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = videos.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(order)).cast("long")
-    counts = placed.groupBy("_part").count()
-    before = F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
-    return placed.withColumn("_within", within).join(starts, "_part").withColumn(name, F.col("_start") + F.col("_within") - 1).drop("_part", "_start", "_within")
+    parts = int(videos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    value = F.col(order)
+    ranges = videos.select(order).where(value.isNotNull()).repartitionByRange(parts, order).groupBy(F.spark_partition_id())
+    told = ranges.agg(F.min(order).alias("low"), F.count("*").alias("n")).orderBy("low").collect()
+    lows = F.array(*(F.lit(r["low"]) for r in told)).cast(T.ArrayType(videos.schema[order].dataType))
+    starts = F.array(*(F.lit(n).cast("long") for n in accumulate((r["n"] for r in told), initial=0)))
+    # halving: how many ranges begin at or before the value
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(told).bit_length() or 1))))
+    begun = F.aggregate(steps, F.lit(0), lambda found, step: F.when(F.get(lows, found + step - 1) <= value, found + step).otherwise(found))
+    placed = videos.withColumn("_part", F.when(value.isNull(), len(told)).otherwise(begun - 1))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(value.asc_nulls_last()))
+    return placed.withColumn(name, F.get(starts, F.col("_part")) + within - 1).drop("_part")
 
 
 def media_listing(spark: SparkSession, root: str) -> DataFrame:

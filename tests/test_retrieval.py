@@ -351,6 +351,29 @@ def test_split(spark, tmp_path):
         captions.require(str(path), "/nowhere")
 
 
+def test_numbers_are_consecutive_where_ranges_are_drawn_from_samples(spark):
+    """Of many rows Spark looks at some to cut its ranges, and at others each time."""
+    n = 60_000
+    videos = spark.range(0, n, 1, 8).select(F.concat(F.lit("v"), F.col("id")).alias("video_id"), (F.pmod(F.col("id") * 7919, F.lit(n)) * 1000 - 5_000_000).alias("first_idx"))
+    made = captions.numbered(videos)
+    assert made.schema["video_idx"].dataType.simpleString() == "bigint"
+    found = made.collect()  # all columns, so that sorts of some of them are others
+    assert len({r["video_id"] for r in found}) == n
+    assert all(r["first_idx"] == r["video_idx"] * 1000 - 5_000_000 for r in found)
+
+
+def test_numbers_of_few_rows(spark):
+    def numbers(values, kind="long"):
+        return {r["v"]: r["video_idx"] for r in captions.numbered(spark.createDataFrame([(v,) for v in values], f"v {kind}"), "v").collect()}
+
+    assert numbers([]) == {}
+    assert numbers([None]) == {None: 0}
+    assert numbers([3, None, -2, 2**60]) == {-2: 0, 3: 1, 2**60: 2, None: 3}  # as the SQL has it
+    assert numbers(["b", "a", "ä"], "string") == {"a": 0, "b": 1, "ä": 2}
+    same = captions.numbered(spark.createDataFrame([(5, k) for k in range(9)], "first_idx long, k long")).collect()
+    assert sorted(r["video_idx"] for r in same) == list(range(9))
+
+
 def test_feature_cache(spark, tmp_path, small):
     e = spark.read.parquet(f"{small}/embeddings.parquet")
     assert captions.cached_features(spark, str(tmp_path / "none"), e.schema) is None
